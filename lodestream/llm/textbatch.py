@@ -46,8 +46,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, bytes of their texts, offsets) for runs of whole rows; a null text counts as empty."""
+def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE, rows: int = 1024) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, bytes of their texts, offsets) for runs of at most ``rows`` whole rows; a null text counts as empty."""
     if not batch.num_rows:
         return
     texts = pc.fill_null(batch.column(column).cast(pa.large_string()), "")
@@ -56,7 +56,7 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE) -> Iterator[t
     whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+        to = min(at + rows, max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1))
         yield batch.slice(at, to - at), whole[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
 
