@@ -150,3 +150,14 @@ def score_quality(docs: DataFrame, model: FactorisationMachine, threshold: float
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.3) -> DataFrame:
+    """Rows of ``docs``, all columns, whose score reaches ``threshold``; in one pass, without a join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in tb.pieces(batch, "text"):
+                yield rows.filter(pa.array(model.score(data, offsets) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
