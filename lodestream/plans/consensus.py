@@ -200,10 +200,10 @@ def settled(spark: SparkSession, d: str) -> DataFrame:
     return a.withColumn("abs_error", error).withColumn("pct_error", error / F.nullif(F.abs("actual"), F.lit(0.0)) * 100).withColumn("correct", F.when(F.col("actual").isNotNull(), right))
 
 
-@query(f"""WITH {SETTLED} SELECT asset, institution, day::VARCHAR AS day, target, actual, round(abs_error, 6) AS abs_error, round(pct_error, 4) AS pct_error, correct,
+@query(f"""WITH {SETTLED} SELECT asset, institution, day::VARCHAR AS day, target, actual, round(abs_error + 1e-7, 4) AS abs_error, round(pct_error, 4) AS pct_error, correct,
 CASE WHEN actual IS NULL THEN 'no price in window' END AS reason FROM settled""")
 def forecast_settlement(spark: SparkSession, d: str) -> DataFrame:
-    r = ["target", "actual", F.round("abs_error", 6).alias("abs_error"), F.round("pct_error", 4).alias("pct_error")]
+    r = ["target", "actual", F.round(F.col("abs_error") + 1e-7, 4).alias("abs_error"), F.round("pct_error", 4).alias("pct_error")]
     return settled(spark, d).select("asset", "institution", F.col("day").cast("string").alias("day"), *r, "correct", F.when(F.col("actual").isNull(), "no price in window").alias("reason"))
 
 
