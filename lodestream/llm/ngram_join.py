@@ -11,15 +11,17 @@ Two texts link when the Jaccard similarity of their shingle sets is at least
    set and the prefix (about a fifth of the set) are kept. Equal sets form one
    class, classes of equal prefix and size form one group, and only one member
    of a group posts the prefix.
-3. *Stars.* In each posting list every group meets the smallest one and the one
-   before it: linear in the list. Heavy lists are salted, and a second level
-   joins the salts' smallest groups.
+3. *Stars.* In each posting list every group meets the best hub (the one with
+   the smallest share of light shingles) and the one before it: linear in the
+   list. Heavy lists are salted, and a second level joins the salts' hubs.
 4. *Filter, expand, verify.* From the number of prefix shingles that a pair of
    groups shares follows an upper bound of the overlap; pairs above it expand to
    member classes, whose sets are intersected exactly.
 5. *The rest.* Links found so far give components. Only lists (and groups) that
    still hold several components are joined with themselves, and only across
-   components: links inside one cannot change the result.
+   components: links inside one cannot change the result. In heavy lists a bound
+   from each posting's own counts keeps apart what heavy shingles alone cannot
+   link; pairs that share a light shingle meet in its (short) list.
 
 Rows with a null id keep their shingle count and get no component. Rows that
 repeat an id count as one document with several texts. Null, empty and
@@ -106,15 +108,16 @@ def _sets(heavy: np.ndarray, size: int, num: int, den: int):
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, sets in _keys(batch, heavy, size):
-                out: list[list] = [[], [], [], [], []]
+                out: list[list] = [[], [], [], [], [], []]
                 for keys in sets:
                     n = len(keys)
                     prefix = keys[: n - (num * n + den - 1) // den + 1] if n else keys
-                    for column, value in zip(out, (n, *_signature(keys), _signature(prefix)[0], prefix.tobytes()), strict=True):
+                    light = int(np.searchsorted(keys, _HEAVY_BIT))
+                    for column, value in zip(out, (n, *_signature(keys), _signature(prefix)[0], light, prefix.tobytes()), strict=True):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), *[pa.array(c, pa.int64()) for c in out[:4]], pa.array(out[4], pa.binary())],
-                    ["doc_id", "n", "set_a", "set_b", "psig", "prefix"],
+                    [rows.column("doc_id"), *[pa.array(c, pa.int64()) for c in out[:5]], pa.array(out[5], pa.binary())],
+                    ["doc_id", "n", "set_a", "set_b", "psig", "light", "prefix"],
                 )
 
     return summarise
@@ -129,10 +132,10 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.concatenate(prefixes)
         ids = np.repeat(batch.column("doc_id").to_numpy(), many)
         salt = np.where(keys >= _HEAVY_BIT, tb.mix(ids.view(np.uint64)) % np.uint64(SALTS), np.uint64(0)).astype(np.int32)
-        columns = [keys, salt, ids, np.repeat(batch.column("n").to_numpy(), many), np.repeat([p[-1] for p in prefixes], many)]
+        columns = [keys, salt, ids, np.repeat(batch.column("n").to_numpy(), many), np.repeat([p[-1] for p in prefixes], many), np.repeat(batch.column("light").to_numpy(), many)]
         step = 100_000
         for at in range(0, len(keys), step):
-            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + step]) for c in columns], ["k", "salt", "g", "n", "last"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + step]) for c in columns], ["k", "salt", "g", "n", "last", "light"])
 
 
 def _whole_sets(heavy: np.ndarray, size: int):
@@ -144,22 +147,46 @@ def _whole_sets(heavy: np.ndarray, size: int):
     return whole
 
 
-def _entry(prefix: str = ""):
-    return F.struct("n", "g", "last")
+def _entry():
+    """A posting as a struct whose order puts hubs first: sets with the smallest share of light shingles."""
+    return F.struct(F.floor(F.col("light") * 20 / F.col("n")).alias("hub"), "n", "g", "last", "light")
+
+
+def _enough(overlap, a, b, num: int, den: int):
+    """Whether an overlap reaches the threshold for two sets of known sizes."""
+    return overlap * (num + den) >= num * (a["n"] + b["n"])
+
+
+def _heavy_can_do(a, b, num: int, den: int):
+    """Whether two sets could link through heavy shingles alone: a bound from each posting by itself."""
+    return _enough(F.least(a["n"] - a["light"], b["n"] - b["light"]), a, b, num, den)
 
 
 def _may_link(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Group pairs (a, b as structs n, g, last; ``shared`` prefix keys) whose overlap can reach the threshold.
+    """Group pairs (a, b; ``shared_light`` and ``shared_heavy`` prefix keys) whose overlap can reach the threshold.
 
     The prefix that ends first holds every key that both sets share up to its
-    last key, so the overlap is at most ``shared`` plus the rest of that set.
+    last key, so the overlap is at most the shared ones plus the rest of that
+    set. Where both prefixes reach into the heavy keys, all light keys are in
+    them, and the overlap is at most the shared light keys plus the heavy keys
+    of either set; if no light key is shared, the first bound holds with the
+    shared heavy keys. A pair that shares light keys needs no count of heavy ones.
     """
-    length = lambda s: s["n"] - F.ceil(s["n"] * num / F.lit(den)).cast("long") + 1
     a, b = F.col("a"), F.col("b")
-    rest = F.when(a["last"] <= b["last"], a["n"] - length(a)).otherwise(b["n"] - length(b))
-    return pairs.where((F.col("shared") + rest) * (num + den) >= num * (a["n"] + b["n"])).select(
-        a["g"].alias("g1"), b["g"].alias("g2")
+    rest = lambda s: s["n"] - (s["n"] - F.ceil(s["n"] * num / F.lit(den)).cast("long") + 1)
+    first_rest = F.when(a["last"] <= b["last"], rest(a)).otherwise(rest(b))
+    ends_light = F.least(a["last"], b["last"]) < _HEAVY_BIT
+    by_light = F.when(ends_light, F.col("shared_light") + first_rest).otherwise(
+        F.col("shared_light") + F.least(a["n"] - a["light"], b["n"] - b["light"])
     )
+    by_heavy = F.least(by_light, F.col("shared_heavy") + first_rest)
+    bound = F.when(F.col("shared_light") > 0, by_light).otherwise(by_heavy)
+    return pairs.where(_enough(bound, a, b, num, den)).select(a["g"].alias("g1"), b["g"].alias("g2"))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    heavy = F.col("k") >= _HEAVY_BIT
+    return rows.groupBy("a", "b").agg(F.count_if(~heavy).alias("shared_light"), F.count_if(heavy).alias("shared_heavy"))
 
 
 def _sizes_fit(a, b, num: int, den: int):
@@ -174,7 +201,7 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     heavy = heavy_shingles(docs, size)
     table = materialize(
-        docs.mapInArrow(_sets(heavy, size, num, den), "doc_id long, n long, set_a long, set_b long, psig long, prefix binary"),
+        docs.mapInArrow(_sets(heavy, size, num, den), "doc_id long, n long, set_a long, set_b long, psig long, light long, prefix binary"),
         "shingle-sets",
     )
     narrow = table.select("doc_id", "n", "set_a", "set_b", "psig")
@@ -193,13 +220,13 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
         narrow.where("n > 0 AND doc_id IS NOT NULL").select("doc_id").distinct().join(posting_ids, "doc_id", "left_anti"), "no-posting"
     )
     postings = (
-        table.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "prefix")
+        table.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "light", "prefix")
         .join(keys_hint(not_posting), "doc_id", "left_anti")
-        .mapInArrow(_postings, "k long, salt int, g long, n long, last long")
+        .mapInArrow(_postings, "k long, salt int, g long, n long, last long, light long")
     )
-    by_list = Window.partitionBy("k", "salt").orderBy("n", "g")
+    by_list = Window.partitionBy("k", "salt").orderBy(_entry())
     shared_lists = materialize(
-        postings.select("k", "salt", "g", "n", "last", F.first(_entry()).over(by_list).alias("top"),
+        postings.select("k", "salt", "g", "n", "last", "light", F.first(_entry()).over(by_list).alias("top"),
                         F.lag(_entry()).over(by_list).alias("prev"), F.lead("g").over(by_list).alias("next"))
         .where(f"prev IS NOT NULL OR next IS NOT NULL OR k >= {_HEAVY_BIT}").drop("next"),
         "shingle-lists",
@@ -230,19 +257,18 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
             discard(old)
         return found
 
-    # Links by stars: in each list the smallest group and the neighbour in order.
+    # Links by stars: in each list the best hub and the neighbour in order.
     tops = shared_lists.where(f"k >= {_HEAVY_BIT} AND g = top.g").select("k", _entry().alias("b"))
     level = Window.partitionBy("k").orderBy("b")
-    tops = tops.select(F.first("b").over(level).alias("a"), "b")
+    tops = tops.select("k", F.first("b").over(level).alias("a"), "b")
     candidates = (
-        shared_lists.select(F.col("top").alias("a"), _entry().alias("b"))
-        .union(shared_lists.where("prev IS NOT NULL AND prev.g <> top.g").select(F.col("prev").alias("a"), _entry().alias("b")))
+        shared_lists.select("k", F.col("top").alias("a"), _entry().alias("b"))
+        .union(shared_lists.where("prev IS NOT NULL AND prev.g <> top.g").select("k", F.col("prev").alias("a"), _entry().alias("b")))
         .union(tops)
     )
     a, b = F.col("a"), F.col("b")
-    stars = _may_link(
-        candidates.where((a["g"] != b["g"]) & _sizes_fit(a, b, num, den)).groupBy("a", "b").agg(F.count("*").alias("shared")), num, den
-    ).toDF("u", "v")
+    heavy_fits = (F.col("k") < _HEAVY_BIT) | _heavy_can_do(a, b, num, den)
+    stars = _may_link(_counted(candidates.where((a["g"] != b["g"]) & _sizes_fit(a, b, num, den) & heavy_fits)), num, den).toDF("u", "v")
     links = verified(stars.union(inner.select(F.col("g").alias("u"), F.col("cid").alias("v"))))
 
     # The rest: lists and groups that still hold several components.
@@ -254,7 +280,7 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     )
     member = materialize(as_class, "members")
     span = member.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    listed = materialize(shared_lists.select("k", "g", "n", "last").join(span, "g"), "listed")
+    listed = materialize(shared_lists.select("k", "g", "n", "last", "light").join(span, "g"), "listed")
     open_lists = materialize(
         listed.groupBy("k").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("c")).where("lo < hi AND c > 1").select("k"),
         "open-lists",
@@ -264,11 +290,10 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     across = (
         side("a").join(side("b"), "k")
         .where(((a["n"] < b["n"]) | ((a["n"] == b["n"]) & (a["g"] < b["g"]))) & _sizes_fit(a, b, num, den))
-        .where("NOT (lo_a = hi_a AND lo_b = hi_b AND lo_a = lo_b)")
-        .groupBy("a", "b").agg(F.count("*").alias("shared"))
+        .where("NOT (lo_a = hi_a AND lo_b = hi_b AND lo_a = lo_b)").where(heavy_fits)
     )
     of = lambda g, c: member.select(F.col("g").alias(g), F.col("cid").alias(c), F.col("comp").alias(f"comp_{c}"))
-    group_pairs = _may_link(across, num, den).union(
+    group_pairs = _may_link(_counted(across), num, den).union(
         span.where("lo < hi").select(F.col("g").alias("g1"), F.col("g").alias("g2"))
     )
     rest = (
