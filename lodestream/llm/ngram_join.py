@@ -3,20 +3,20 @@
 Two texts link when the Jaccard similarity of their shingle sets is at least
 ``num / den``. The plan:
 
-1. *Heavy shingles.* Each task counts the shingles of its own texts; those seen
+1. *Classes.* Each text becomes a sorted set of shingle hashes, of which only the
+   size and two signatures are kept; equal sets form one class, for which one
+   document stands from then on.
+2. *Heavy shingles.* Each task counts the shingles of its own texts; those seen
    more than once in a piece are summed over the corpus. The heaviest go to the
    end of the global order, so common passages leave the prefixes. The order is
-   only a matter of speed: any order gives the same links.
-2. *Sets.* Each text becomes a sorted set; only its size, two signatures of the
-   set and the prefix (about a fifth of the set) are kept. Equal sets form one
-   class, classes of equal prefix and size form one group, and only one member
-   of a group posts the prefix.
+   only a matter of speed: any order gives the same links. Sets of equal prefix
+   (about a fifth of the set) and size form one group; one of it posts the prefix.
 3. *Stars.* In each posting list every group meets the best hub (the one with
-   the smallest share of light shingles) and the one before it: linear in the
-   list. Heavy lists are salted, and a second level joins the salts' hubs.
+   the smallest share of light shingles): linear in the list. Heavy lists are
+   salted, and a second level joins the salts' hubs.
 4. *Filter, expand, verify.* From the number of prefix shingles that a pair of
    groups shares follows an upper bound of the overlap; pairs above it expand to
-   member classes, whose sets are intersected exactly.
+   members, whose sets are intersected exactly.
 5. *The rest.* Links found so far give components. Only lists (and groups) that
    still hold several components are joined with themselves, and only across
    components: links inside one cannot change the result. In heavy lists a bound
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from lodestream.llm import textbatch as tb
 from lodestream.llm.components import components
-from lodestream.llm.store import discard, keys_hint, materialize
+from lodestream.llm.store import BROADCAST_KEYS, discard, keys_hint, materialize
 
 #: Shingles in at least this many texts may count as heavy.
 HEAVY_FROM = 8
@@ -104,23 +104,30 @@ def _signature(keys: np.ndarray) -> tuple[int, int]:
         return int(tb.mix(wide).sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(tb.mix(wide + np.uint64(0x5851F42D4C957F2D)), initial=np.uint64(0)).view(np.int64))
 
 
-def _sets(heavy: np.ndarray, size: int, num: int, den: int):
-    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signatures(size: int):
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, sets in _keys(batch, np.zeros(0, np.int64), size):
+                signed = [(len(keys), *_signature(keys)) for keys in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("doc_id"), *[pa.array([x[k] for x in signed], pa.int64()) for k in range(3)]], ["doc_id", "n", "set_a", "set_b"]
+                )
+
+    return sign
+
+
+def _prefixes(heavy: np.ndarray, size: int, num: int, den: int):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, sets in _keys(batch, heavy, size):
-                out: list[list] = [[], [], [], [], [], []]
-                for keys in sets:
-                    n = len(keys)
-                    prefix = keys[: n - (num * n + den - 1) // den + 1] if n else keys
-                    light = int(np.searchsorted(keys, _HEAVY_BIT))
-                    for column, value in zip(out, (n, *_signature(keys), _signature(prefix)[0], light, prefix.tobytes()), strict=True):
-                        column.append(value)
+                parts = [keys[: len(keys) - (num * len(keys) + den - 1) // den + 1] if len(keys) else keys for keys in sets]
+                columns = [[len(k) for k in sets], [_signature(p)[0] for p in parts], [int(np.searchsorted(k, _HEAVY_BIT)) for k in sets]]
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), *[pa.array(c, pa.int64()) for c in out[:5]], pa.array(out[5], pa.binary())],
-                    ["doc_id", "n", "set_a", "set_b", "psig", "light", "prefix"],
+                    [rows.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns], pa.array([p.tobytes() for p in parts], pa.binary())],
+                    ["doc_id", "n", "psig", "light", "prefix"],
                 )
 
-    return summarise
+    return cut
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,36 +206,34 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     ``size`` words a shingle (8 at most); texts link from similarity ``num / den`` on.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    heavy = heavy_shingles(docs, size)
+    signed = materialize(docs.mapInArrow(_signatures(size), "doc_id long, n long, set_a long, set_b long"), "shingle-signatures")
+    usable = signed.where("n > 0 AND doc_id IS NOT NULL")
+    classes = materialize(usable.groupBy("n", "set_a", "set_b").agg(F.min("doc_id").alias("cid")), "shingle-classes")
+    copies = materialize(usable.select("doc_id").distinct().join(classes.select(F.col("cid").alias("doc_id")), "doc_id", "left_anti"), "shingle-copies")
+    # From here on one document stands for each set.
+    firsts = docs.where("doc_id IS NOT NULL").join(keys_hint(copies), "doc_id", "left_anti")
+    heavy = heavy_shingles(firsts, size)
     table = materialize(
-        docs.mapInArrow(_sets(heavy, size, num, den), "doc_id long, n long, set_a long, set_b long, psig long, light long, prefix binary"),
-        "shingle-sets",
+        firsts.mapInArrow(_prefixes(heavy, size, num, den), "doc_id long, n long, psig long, light long, prefix binary").where("n > 0"), "shingle-prefixes"
     )
-    narrow = table.select("doc_id", "n", "set_a", "set_b", "psig")
-    classes = materialize(
-        narrow.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "set_a", "set_b", "psig").agg(F.min("doc_id").alias("cid")),
-        "shingle-classes",
-    )
-    groups = materialize(classes.groupBy("n", "psig").agg(F.min("cid").alias("g"), F.count("*").alias("m")), "shingle-groups")
-    several = groups.where("m > 1").select("n", "psig", "g")
-    #: Classes whose group has another representative; the others represent themselves.
+    narrow = table.select("doc_id", "n", "psig")
+    groups = materialize(narrow.groupBy("n", "psig").agg(F.min("doc_id").alias("g"), F.count("*").alias("m")), "shingle-groups")
+    #: Documents whose group has another representative.
     inner = materialize(
-        classes.select("n", "psig", "cid").join(several, ["n", "psig"]).where("cid <> g").select("cid", "g"), "shingle-members"
-    )
-    posting_ids = groups.select(F.col("g").alias("doc_id"))
-    not_posting = materialize(
-        narrow.where("n > 0 AND doc_id IS NOT NULL").select("doc_id").distinct().join(posting_ids, "doc_id", "left_anti"), "no-posting"
+        narrow.join(groups.where("m > 1").select("n", "psig", "g"), ["n", "psig"]).where("doc_id <> g")
+        .select(F.col("doc_id").alias("cid"), "g", "psig").distinct(), "shingle-members",
     )
+    silent = inner.select(F.col("cid").alias("doc_id"), "psig")
     postings = (
-        table.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "light", "prefix")
-        .join(keys_hint(not_posting), "doc_id", "left_anti")
+        table.join(F.broadcast(silent) if silent.count() <= BROADCAST_KEYS // 2 else silent, ["doc_id", "psig"], "left_anti")
+        .select("doc_id", "n", "light", "prefix")
         .mapInArrow(_postings, "k long, salt int, g long, n long, last long, light long")
     )
     by_list = Window.partitionBy("k", "salt").orderBy(_entry())
     shared_lists = materialize(
         postings.select("k", "salt", "g", "n", "last", "light", F.first(_entry()).over(by_list).alias("top"),
-                        F.lag(_entry()).over(by_list).alias("prev"), F.lead("g").over(by_list).alias("next"))
-        .where(f"prev IS NOT NULL OR next IS NOT NULL OR k >= {_HEAVY_BIT}").drop("next"),
+                        F.lead("g").over(by_list).alias("next"))
+        .where(f"top.g <> g OR next IS NOT NULL OR k >= {_HEAVY_BIT}").drop("next"),
         "shingle-lists",
     )
 
@@ -257,13 +262,12 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
             discard(old)
         return found
 
-    # Links by stars: in each list the best hub and the neighbour in order.
+    # Links by stars: each list's groups with its best hub.
     tops = shared_lists.where(f"k >= {_HEAVY_BIT} AND g = top.g").select("k", _entry().alias("b"))
     level = Window.partitionBy("k").orderBy("b")
     tops = tops.select("k", F.first("b").over(level).alias("a"), "b")
     candidates = (
         shared_lists.select("k", F.col("top").alias("a"), _entry().alias("b"))
-        .union(shared_lists.where("prev IS NOT NULL AND prev.g <> top.g").select("k", F.col("prev").alias("a"), _entry().alias("b")))
         .union(tops)
     )
     a, b = F.col("a"), F.col("b")
@@ -274,7 +278,7 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     # The rest: lists and groups that still hold several components.
     known = materialize(components(links), "components")
     as_class = (
-        groups.select("g", F.col("g").alias("cid")).union(inner.select("g", "cid"))
+        groups.select("g", F.col("g").alias("cid")).union(inner.select("g", "cid")).distinct()
         .join(known.withColumnRenamed("node", "cid"), "cid", "left")
         .select("g", "cid", F.coalesce("component", "cid").alias("comp"))
     )
@@ -303,8 +307,7 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     more = verified(rest)
 
     # An id with several texts is one document.
-    doc_class = narrow.join(classes.drop("psig"), ["n", "set_a", "set_b"], "left").select("doc_id", "n", "cid")
-    doc_class = materialize(doc_class, "doc-classes")
+    doc_class = materialize(signed.join(classes, ["n", "set_a", "set_b"], "left").select("doc_id", "n", "cid"), "doc-classes")
     same_id = (
         doc_class.where("cid IS NOT NULL").groupBy("doc_id").agg(F.min("cid").alias("u"), F.max("cid").alias("w"), F.collect_set("cid").alias("all"))
         .where("u <> w").select("u", F.explode("all").alias("v"))
@@ -315,6 +318,6 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
         .select("doc_id", F.col("n").alias("n_shingles"),
                 F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "cid", "doc_id")).alias("component_id"))
     )
-    for old in (table, shared_lists, listed, open_rows):
+    for old in (signed, table, shared_lists, listed, open_rows):
         discard(old)
     return out
