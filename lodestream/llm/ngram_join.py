@@ -48,6 +48,8 @@ HEAVY_FROM = 8
 HEAVY_MOST = 500_000
 #: Salts for the posting list of a heavy shingle.
 SALTS = 64
+#: Partners of a hub that one task verifies.
+PARTNERS = 256
 _HEAVY_BIT = 1 << 62
 
 
@@ -121,10 +123,13 @@ def _prefixes(heavy: np.ndarray, size: int, num: int, den: int):
         for batch in batches:
             for rows, sets in _keys(batch, heavy, size):
                 parts = [keys[: len(keys) - (num * len(keys) + den - 1) // den + 1] if len(keys) else keys for keys in sets]
-                columns = [[len(k) for k in sets], [_signature(p)[0] for p in parts], [int(np.searchsorted(k, _HEAVY_BIT)) for k in sets]]
+                columns = [
+                    [len(k) for k in sets], [_signature(p)[0] for p in parts], [int(np.searchsorted(k, _HEAVY_BIT)) for k in sets],
+                    [int(p[-1]) if len(p) else None for p in parts],
+                ]
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns], pa.array([p.tobytes() for p in parts], pa.binary())],
-                    ["doc_id", "n", "psig", "light", "prefix"],
+                    ["doc_id", "n", "psig", "light", "last", "prefix"],
                 )
 
     return cut
@@ -139,10 +144,10 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.concatenate(prefixes)
         ids = np.repeat(batch.column("doc_id").to_numpy(), many)
         salt = np.where(keys >= _HEAVY_BIT, tb.mix(ids.view(np.uint64)) % np.uint64(SALTS), np.uint64(0)).astype(np.int32)
-        columns = [keys, salt, ids, np.repeat(batch.column("n").to_numpy(), many), np.repeat([p[-1] for p in prefixes], many), np.repeat(batch.column("light").to_numpy(), many)]
+        columns = [keys, salt, ids, np.repeat(batch.column("n").to_numpy(), many), np.repeat(batch.column("light").to_numpy(), many)]
         step = 100_000
         for at in range(0, len(keys), step):
-            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + step]) for c in columns], ["k", "salt", "g", "n", "last", "light"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + step]) for c in columns], ["k", "salt", "g", "n", "light"])
 
 
 def _whole_sets(heavy: np.ndarray, size: int):
@@ -154,9 +159,32 @@ def _whole_sets(heavy: np.ndarray, size: int):
     return whole
 
 
+def _passing(num: int, den: int):
+    """Rows sorted by hub, its own set first: the partners that link with it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, []
+        for batch in batches:
+            keys = batch.column("keys")
+            edges, flat = keys.offsets.to_numpy(), keys.values.to_numpy()
+            u, v = [], []
+            for k, (hub, part, role, node) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("hub", "part", "role", "node")], strict=True)):
+                if (hub, part) != at:
+                    at, own = (hub, part), []
+                mine = flat[edges[k] : edges[k + 1]]
+                if role == 0:  # an id with several texts has several sets
+                    own.append(mine)
+                elif any((both := len(np.intersect1d(mine, x, assume_unique=True))) and both * den >= num * (len(mine) + len(x) - both) for x in own):
+                    u.append(min(hub, node))
+                    v.append(max(hub, node))
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return run
+
+
 def _entry():
     """A posting as a struct whose order puts hubs first: sets with the smallest share of light shingles."""
-    return F.struct(F.floor(F.col("light") * 20 / F.col("n")).alias("hub"), "n", "g", "last", "light")
+    return F.struct(F.floor(F.col("light") * 1000 / F.col("n")).alias("hub"), "n", "g", "light")
 
 
 def _enough(overlap, a, b, num: int, den: int):
@@ -169,8 +197,8 @@ def _heavy_can_do(a, b, num: int, den: int):
     return _enough(F.least(a["n"] - a["light"], b["n"] - b["light"]), a, b, num, den)
 
 
-def _may_link(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Group pairs (a, b; ``shared_light`` and ``shared_heavy`` prefix keys) whose overlap can reach the threshold.
+def _may_link(pairs: DataFrame, lasts: DataFrame, num: int, den: int) -> DataFrame:
+    """Group pairs (a, b as entries; ``shared_light`` and ``shared_heavy`` prefix keys) whose overlap can reach the threshold.
 
     The prefix that ends first holds every key that both sets share up to its
     last key, so the overlap is at most the shared ones plus the rest of that
@@ -180,9 +208,11 @@ def _may_link(pairs: DataFrame, num: int, den: int) -> DataFrame:
     shared heavy keys. A pair that shares light keys needs no count of heavy ones.
     """
     a, b = F.col("a"), F.col("b")
+    pairs = pairs.join(lasts.select(F.col("g").alias("ga"), F.col("last").alias("la")), a["g"] == F.col("ga"))
+    pairs = pairs.join(lasts.select(F.col("g").alias("gb"), F.col("last").alias("lb")), b["g"] == F.col("gb"))
     rest = lambda s: s["n"] - (s["n"] - F.ceil(s["n"] * num / F.lit(den)).cast("long") + 1)
-    first_rest = F.when(a["last"] <= b["last"], rest(a)).otherwise(rest(b))
-    ends_light = F.least(a["last"], b["last"]) < _HEAVY_BIT
+    first_rest = F.when(F.col("la") <= F.col("lb"), rest(a)).otherwise(rest(b))
+    ends_light = F.least("la", "lb") < _HEAVY_BIT
     by_light = F.when(ends_light, F.col("shared_light") + first_rest).otherwise(
         F.col("shared_light") + F.least(a["n"] - a["light"], b["n"] - b["light"])
     )
@@ -214,7 +244,7 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     firsts = docs.where("doc_id IS NOT NULL").join(keys_hint(copies), "doc_id", "left_anti")
     heavy = heavy_shingles(firsts, size)
     table = materialize(
-        firsts.mapInArrow(_prefixes(heavy, size, num, den), "doc_id long, n long, psig long, light long, prefix binary").where("n > 0"), "shingle-prefixes"
+        firsts.mapInArrow(_prefixes(heavy, size, num, den), "doc_id long, n long, psig long, light long, last long, prefix binary").where("n > 0"), "shingle-prefixes"
     )
     narrow = table.select("doc_id", "n", "psig")
     groups = materialize(narrow.groupBy("n", "psig").agg(F.min("doc_id").alias("g"), F.count("*").alias("m")), "shingle-groups")
@@ -223,42 +253,54 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
         narrow.join(groups.where("m > 1").select("n", "psig", "g"), ["n", "psig"]).where("doc_id <> g")
         .select(F.col("doc_id").alias("cid"), "g", "psig").distinct(), "shingle-members",
     )
+    lasts = materialize(groups.select("g", "n", "psig").join(table.select(F.col("doc_id").alias("g"), "n", "psig", "last"), ["g", "n", "psig"]).select("g", "last").distinct(), "shingle-lasts")
     silent = inner.select(F.col("cid").alias("doc_id"), "psig")
     postings = (
         table.join(F.broadcast(silent) if silent.count() <= BROADCAST_KEYS // 2 else silent, ["doc_id", "psig"], "left_anti")
         .select("doc_id", "n", "light", "prefix")
-        .mapInArrow(_postings, "k long, salt int, g long, n long, last long, light long")
+        .mapInArrow(_postings, "k long, salt int, g long, n long, light long")
     )
     by_list = Window.partitionBy("k", "salt").orderBy(_entry())
     shared_lists = materialize(
-        postings.select("k", "salt", "g", "n", "last", "light", F.first(_entry()).over(by_list).alias("top"),
+        postings.select("k", "salt", "g", "n", "light", F.first(_entry()).over(by_list).alias("top"),
                         F.lead("g").over(by_list).alias("next"))
         .where(f"top.g <> g OR next IS NOT NULL OR k >= {_HEAVY_BIT}").drop("next"),
         "shingle-lists",
     )
 
-    def wanted(ids: DataFrame) -> DataFrame:
-        """Whole sets of the named documents; ids are broadcast only behind a check of their number."""
-        return materialize(
-            docs.join(keys_hint(ids), F.col("doc_id") == F.col("node"), "left_semi")
-            .mapInArrow(_whole_sets(heavy, size), "node long, keys array<long>"),
-            "shingle-wanted",
-        )
-
     def verified(pairs: DataFrame) -> DataFrame:
-        """Of class pairs (u, v) those that link."""
+        """Of class pairs (u, v) those that link.
+
+        The side with more partners is the pair's hub. Each set goes once to each of its hubs, and a hub's set to
+        as many tasks as its partners need; there the partners pass by one after another.
+        """
         pairs = materialize(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
-        nodes = materialize(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "nodes")
-        sets = wanted(nodes)
+        ends = pairs.select("u").union(pairs.select("v")).toDF("node")
+        degree = materialize(ends.groupBy("node").agg(F.count("*").alias("d")), "degrees")
+        side = lambda x: degree.select(F.col("node").alias(x), F.col("d").alias(f"d{x}"))
+        hub = F.col("du") >= F.col("dv")
+        placed = materialize(
+            pairs.join(side("u"), "u").join(side("v"), "v").select(
+                F.when(hub, F.col("u")).otherwise(F.col("v")).alias("hub"), F.when(hub, F.col("v")).otherwise(F.col("u")).alias("node"),
+                F.ceil(F.greatest("du", "dv") / F.lit(PARTNERS)).cast("int").alias("m"),
+            ).withColumn("part", F.pmod(F.xxhash64("node"), F.col("m")).cast("int")), "placed-pairs",
+        )
+        spots = placed.select("node", "hub", "part", F.lit(1).alias("role")).union(
+            placed.select(F.col("hub").alias("node"), "hub", "part", F.lit(0).alias("role")).distinct()
+        )
+        spots = materialize(spots, "set-places")
+        few = spots.count() <= BROADCAST_KEYS
+        sets = (
+            docs.join(F.broadcast(degree.select("node")) if few else degree.select("node"), F.col("doc_id") == F.col("node"), "left_semi")
+            .mapInArrow(_whole_sets(heavy, size), "node long, keys array<long>")
+        )
         found = materialize(
-            pairs.join(sets.select(F.col("node").alias("u"), F.col("keys").alias("ku")), "u")
-            .join(sets.select(F.col("node").alias("v"), F.col("keys").alias("kv")), "v")
-            .withColumn("both", F.size(F.array_intersect("ku", "kv")))
-            .where((F.col("both") > 0) & (F.col("both") * den >= num * (F.size("ku") + F.size("kv") - F.col("both"))))
-            .select("u", "v"),
+            sets.join(F.broadcast(spots) if few else spots, "node")
+            .repartition("hub", "part").sortWithinPartitions("hub", "part", "role", "node")
+            .mapInArrow(_passing(num, den), "u long, v long").distinct(),
             "links",
         )
-        for old in (pairs, nodes, sets):
+        for old in (pairs, degree, placed, spots):
             discard(old)
         return found
 
@@ -272,7 +314,7 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     )
     a, b = F.col("a"), F.col("b")
     heavy_fits = (F.col("k") < _HEAVY_BIT) | _heavy_can_do(a, b, num, den)
-    stars = _may_link(_counted(candidates.where((a["g"] != b["g"]) & _sizes_fit(a, b, num, den) & heavy_fits)), num, den).toDF("u", "v")
+    stars = _may_link(_counted(candidates.where((a["g"] != b["g"]) & _sizes_fit(a, b, num, den) & heavy_fits)), lasts, num, den).toDF("u", "v")
     links = verified(stars.union(inner.select(F.col("g").alias("u"), F.col("cid").alias("v"))))
 
     # The rest: lists and groups that still hold several components.
@@ -284,7 +326,7 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     )
     member = materialize(as_class, "members")
     span = member.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    listed = materialize(shared_lists.select("k", "g", "n", "last", "light").join(span, "g"), "listed")
+    listed = materialize(shared_lists.select("k", "g", "n", "light").join(span, "g"), "listed")
     open_lists = materialize(
         listed.groupBy("k").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("c")).where("lo < hi AND c > 1").select("k"),
         "open-lists",
@@ -297,7 +339,7 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
         .where("NOT (lo_a = hi_a AND lo_b = hi_b AND lo_a = lo_b)").where(heavy_fits)
     )
     of = lambda g, c: member.select(F.col("g").alias(g), F.col("cid").alias(c), F.col("comp").alias(f"comp_{c}"))
-    group_pairs = _may_link(_counted(across), num, den).union(
+    group_pairs = _may_link(_counted(across), lasts, num, den).union(
         span.where("lo < hi").select(F.col("g").alias("g1"), F.col("g").alias("g2"))
     )
     rest = (
