@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lodestream.plans import behaviour, consensus, documents, listing, macro  # noqa: F401  (register on import)
+from lodestream.plans import behaviour, consensus, documents, listing, macro, signals  # noqa: F401  (register on import)
 from lodestream.plans.base import QUERIES, SQL
 
 
