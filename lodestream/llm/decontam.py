@@ -156,7 +156,7 @@ def _sql_template(text: str) -> tuple[str, str]:
 
 
 def oracle() -> str:
-    """DuckDB SQL with the same result."""
+    """DuckDB SQL with the contaminated pairs."""
     raw, template = _sql_template("text")
     split = lambda x: f"regexp_split_to_array(trim({x}), '  +')"
     return f"""
@@ -182,4 +182,4 @@ said AS (SELECT doc_id, item_id, windows, len(same) AS same_words, item_words, l
            AND len(list_distinct([x.a FOR x IN slot])) = len(list_distinct([x.b FOR x IN slot])) AS consistent,
          len(list_filter(slot, lambda x: x.a <> x.b)) = 0 AS exact FROM slot)
 SELECT doc_id, item_id, CAST(windows AS BIGINT) AS windows, CAST(same_words AS INTEGER) AS same_words, CAST(item_words AS INTEGER) AS item_words,
-       CAST(slots AS INTEGER) AS slots, consistent, exact, consistent AND (same_words * 2 >= item_words OR same_words >= {ENOUGH}) AS contaminated FROM said"""
+       CAST(slots AS INTEGER) AS slots, consistent, exact, consistent AND (same_words * 2 >= item_words OR same_words >= {ENOUGH}) AS contaminated FROM said WHERE contaminated"""
