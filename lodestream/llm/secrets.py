@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -216,10 +217,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """Tokens that may be secrets and overlap no base finding."""
+    starts, ends = [], []  # of the base findings, joined where they overlap
+    for start, _, end in base:
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
     out = []
     for m in TOKEN.finditer(text):
-        if _LETTER.search(m[0]) and _DIGIT.search(m[0]) and not any(a < m.end() and m.start() < b for a, _, b in base):
-            out.append(m.span())
+        if _LETTER.search(m[0]) and _DIGIT.search(m[0]):
+            k = bisect_left(starts, m.end()) - 1  # the last finding that begins before the token ends
+            if k < 0 or ends[k] <= m.start():
+                out.append(m.span())
     return out
 
 
