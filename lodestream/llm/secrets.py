@@ -22,6 +22,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -176,8 +177,9 @@ def _encode(found: list[tuple[str, int, int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([m[0] for m in made]), np.array([m[1] for m in made])
 
 
+@lru_cache(maxsize=2)
 def train(findings: int = 4000, epochs: int = 8) -> CharCnn:
-    """Fit, calibrate and set the threshold; deterministic, a few seconds on one core."""
+    """Fit, calibrate and set the threshold; deterministic, a few seconds on one core, once in a driver process."""
     net = CharCnn.fresh()
     found, y = labelled_findings(findings, 1)
     codes, inside = _encode(found)
