@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Topics and the patterns that name them.
-TOPICS = {"links": r"https?://", "licence": "licensed under", "mail": "[a-z0-9.]+@[a-z0-9]+", "english": r"\bthe\b", "german": r"\bund\b", "french": r"\bles\b", "spanish": r"\blos\b"}
+TOPICS = {"links": r"https?://", "licence": "licensed under", "mail": "[a-z0-9.]+@[a-z0-9]+", "english": "(^|[^a-z])the([^a-z]|$)", "german": "(^|[^a-z])und([^a-z]|$)", "french": "(^|[^a-z])les([^a-z]|$)", "spanish": "(^|[^a-z])los([^a-z]|$)"}
 
 
 def words(text: Column) -> Column:

@@ -167,14 +167,14 @@ def asof_backward_click(spark: SparkSession, d: str) -> DataFrame:
     return asof_backward(left, right, ["user_id"], "ts", "ts", "prior_id", "event_id", "prior_id").select("event_id", "prior_id")
 
 
-PRICES = """p AS (SELECT l_partkey % 20 AS asset, CAST(l_shipdate AS DATE) AS day, round(avg(l_extendedprice / l_quantity), 6) AS price FROM lineitem GROUP BY ALL)"""
+PRICES = """p AS (SELECT l_partkey % 20 AS asset, CAST(l_shipdate AS DATE) AS day, round(avg(l_extendedprice / l_quantity) + 2e-8, 6) AS price FROM lineitem GROUP BY ALL)"""
 TARGETS = PRICES + """, t AS (SELECT asset, date_trunc('month', day)::DATE AS month, min(day) AS day, min_by(price, day) AS price FROM p GROUP BY ALL),
 g AS (SELECT t.asset, t.day, t.price AS base, s AS institution, t.price * (1 + (s - 3) / CAST(100 AS DOUBLE)) AS target, s - 3 AS dir, t.day + 30 AS due FROM t, range(7) r(s))"""
 
 
 def prices(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
-    return li.groupBy((F.col("l_partkey") % 20).alias("asset"), F.to_date("l_shipdate").alias("day")).agg(F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")), 6).alias("price"))
+    return li.groupBy((F.col("l_partkey") % 20).alias("asset"), F.to_date("l_shipdate").alias("day")).agg(F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")) + 2e-8, 6).alias("price"))
 
 
 def targets(spark: SparkSession, d: str) -> DataFrame:
@@ -245,13 +245,13 @@ def target_chain(spark: SparkSession, d: str) -> DataFrame:
     return g.where(F.col("prev").isNull() | (F.col("prev") != F.col("step"))).select("asset", "institution", F.col("day").cast("string").alias("day"), "step", "prev")
 
 
-@query("""WITH q AS (SELECT l_partkey % 20 AS asset, l_suppkey % 3 AS source, CAST(l_shipdate AS DATE) AS day, round(avg(l_extendedprice / l_quantity), 6) AS price FROM lineitem GROUP BY ALL),
+@query("""WITH q AS (SELECT l_partkey % 20 AS asset, l_suppkey % 3 AS source, CAST(l_shipdate AS DATE) AS day, round(avg(l_extendedprice / l_quantity) + 2e-8, 6) AS price FROM lineitem GROUP BY ALL),
 g AS (SELECT asset, source, min(day) AS a, max(day) AS b, min_by(price, day) AS first, max_by(price, day) AS last FROM q GROUP BY ALL)
 SELECT asset, source, a::VARCHAR AS first_day, b::VARCHAR AS last_day, round((last - first) / first * 100, 4) AS move_pct FROM g QUALIFY row_number() OVER (PARTITION BY asset ORDER BY b - a DESC, source) = 1""")
 def market_moves(spark: SparkSession, d: str) -> DataFrame:
     """Move from the first to the last price of a source; the source with the longest span speaks for the asset."""
     q = table(spark, d, "lineitem").groupBy((F.col("l_partkey") % 20).alias("asset"), (F.col("l_suppkey") % 3).alias("source"), F.to_date("l_shipdate").alias("day")).agg(
-        F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")), 6).alias("price"))
+        F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")) + 2e-8, 6).alias("price"))
     g = q.groupBy("asset", "source").agg(F.min("day").alias("a"), F.max("day").alias("b"), F.min_by("price", "day").alias("first"), F.max_by("price", "day").alias("last"))
     best = top_per_group(g, ["asset"], [F.desc(F.datediff("b", "a")), F.col("source")], 1)
     return best.select("asset", "source", F.col("a").cast("string").alias("first_day"), F.col("b").cast("string").alias("last_day"), F.round((F.col("last") - F.col("first")) / F.col("first") * 100, 4).alias("move_pct"))

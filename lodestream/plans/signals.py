@@ -161,12 +161,12 @@ def cache_hit_rate(spark: SparkSession, d: str) -> DataFrame:
     return g.select("role", "calls", "hits", rate(F.col("hits"), F.col("calls")).alias("hit_pct"), "avoided")
 
 
-@query("""WITH a AS (SELECT doc_id, lang AS l1, CASE WHEN regexp_matches(text, '\\b(the|of|and)\\b') THEN 'en' WHEN regexp_matches(text, '\\b(und|der|die)\\b') THEN 'de' WHEN regexp_matches(text, '\\b(les|des|une)\\b') THEN 'fr' ELSE 'es' END AS l2 FROM documents)
+@query("""WITH a AS (SELECT doc_id, lang AS l1, CASE WHEN regexp_matches(text, '(^|[^a-z])(the|of|and)([^a-z]|$)') THEN 'en' WHEN regexp_matches(text, '(^|[^a-z])(und|der|die)([^a-z]|$)') THEN 'de' WHEN regexp_matches(text, '(^|[^a-z])(les|des|une)([^a-z]|$)') THEN 'fr' ELSE 'es' END AS l2 FROM documents)
 SELECT l1, l2, count(*) AS n, l1 = l2 AS agree FROM a GROUP BY ALL""")
 def agreement_summary(spark: SparkSession, d: str) -> DataFrame:
     """How a rule's answers agree with the stored ones, as counts per pair of answers."""
     t = F.col("text")
-    l2 = F.when(t.rlike(r"\b(the|of|and)\b"), "en").when(t.rlike(r"\b(und|der|die)\b"), "de").when(t.rlike(r"\b(les|des|une)\b"), "fr").otherwise("es")
+    l2 = F.when(t.rlike("(^|[^a-z])(the|of|and)([^a-z]|$)"), "en").when(t.rlike("(^|[^a-z])(und|der|die)([^a-z]|$)"), "de").when(t.rlike("(^|[^a-z])(les|des|une)([^a-z]|$)"), "fr").otherwise("es")
     return table(spark, d, "documents").select(F.col("lang").alias("l1"), l2.alias("l2")).groupBy("l1", "l2").agg(F.count("*").alias("n")).withColumn("agree", F.col("l1") == F.col("l2"))
 
 
