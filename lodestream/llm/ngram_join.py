@@ -208,9 +208,14 @@ def _may_link(pairs: DataFrame, lasts: DataFrame, num: int, den: int) -> DataFra
     shared heavy keys. A pair that shares light keys needs no count of heavy ones.
     """
     a, b = F.col("a"), F.col("b")
+    rest = lambda s: s["n"] - (s["n"] - F.ceil(s["n"] * num / F.lit(den)).cast("long") + 1)
+    # What neither order of the prefix ends allows goes before they are looked up.
+    most = F.greatest(rest(a), rest(b))
+    heavies = F.least(a["n"] - a["light"], b["n"] - b["light"])
+    loose = F.when(F.col("shared_light") > 0, F.col("shared_light") + F.greatest(most, heavies)).otherwise(F.least(F.greatest(heavies, most), F.col("shared_heavy") + most))
+    pairs = pairs.where(_enough(loose, a, b, num, den))
     pairs = pairs.join(lasts.select(F.col("g").alias("ga"), F.col("last").alias("la")), a["g"] == F.col("ga"))
     pairs = pairs.join(lasts.select(F.col("g").alias("gb"), F.col("last").alias("lb")), b["g"] == F.col("gb"))
-    rest = lambda s: s["n"] - (s["n"] - F.ceil(s["n"] * num / F.lit(den)).cast("long") + 1)
     first_rest = F.when(F.col("la") <= F.col("lb"), rest(a)).otherwise(rest(b))
     ends_light = F.least("la", "lb") < _HEAVY_BIT
     by_light = F.when(ends_light, F.col("shared_light") + first_rest).otherwise(
@@ -326,12 +331,16 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     )
     member = materialize(as_class, "members")
     span = member.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    listed = materialize(shared_lists.select("k", "g", "n", "light").join(span, "g"), "listed")
+    # Groups of one class that no link has reached stand for themselves; only the others are looked up.
+    moved = materialize(span.where("lo <> g OR hi <> g"), "moved-groups")
+    known_span = F.broadcast(moved) if moved.count() <= BROADCAST_KEYS // 2 else moved
+    listed = shared_lists.select("k", "g", "n", "light").join(known_span, "g", "left")
+    listed = listed.withColumn("lo", F.coalesce("lo", "g")).withColumn("hi", F.coalesce("hi", "g"))
     open_lists = materialize(
         listed.groupBy("k").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("c")).where("lo < hi AND c > 1").select("k"),
         "open-lists",
     )
-    open_rows = materialize(listed.join(open_lists, "k"), "open-rows")
+    open_rows = materialize(listed.join(keys_hint(open_lists), "k"), "open-rows")
     side = lambda x: open_rows.select("k", _entry().alias(x), F.col("lo").alias(f"lo_{x}"), F.col("hi").alias(f"hi_{x}"))
     across = (
         side("a").join(side("b"), "k")
@@ -360,6 +369,6 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
         .select("doc_id", F.col("n").alias("n_shingles"),
                 F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "cid", "doc_id")).alias("component_id"))
     )
-    for old in (signed, table, shared_lists, listed, open_rows):
+    for old in (signed, table, shared_lists, open_rows):
         discard(old)
     return out
