@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm.store import new_path
+from lodestream.llm.store import materialize, new_path
 
 _KEY = ("source", "lang", "tokenizer")
 ROWS = "doc_id long, source string, lang string, tokenizer string, docs long, tokens long"
@@ -149,7 +149,8 @@ def corpus_totals(docs: DataFrame) -> DataFrame:
     ledger = TokenLedger(docs.sparkSession, new_path(docs.sparkSession, "token-ledger"))
     ledger.commit("1-load", upserts=count(docs))
     digest = docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha")).where("doc_id IS NOT NULL AND sha IS NOT NULL")
-    firsts = digest.groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    # Written before it is joined back: then both sides are plain exchanges, and a large group of copies can be split.
+    firsts = materialize(digest.groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1"), "copy-groups")
     ledger.commit("2-copies", deletes=digest.join(firsts, "sha").where("doc_id <> first_id").select("doc_id"))
     lines = F.array_join(F.array_distinct(F.split("text", "\n")), "\n")
     revised = docs.withColumn("new", lines).where("doc_id IS NOT NULL AND new <> text")
