@@ -1,5 +1,7 @@
 """Embedding near-duplicates (operator 6): NN-descent on cosine, threshold links, exact counts inside components.
 
+Equal unit vectors are one weighted vector until the end, so copies do not fill lists.
+
 1. *Start.* Random hyperplanes give each vector a few sort orders; neighbours in
    an order are first candidates.
 2. *Descent.* Each round every vector brings its best neighbours, and some that
@@ -11,9 +13,12 @@
    theirs, new sort orders, lists twice as long and another round follow. Links
    that the audit finds are kept.
 4. *Saturated lists.* A vector whose whole list passes the threshold may have
-   more links than its list holds. So the lists of linked vectors are enlarged to
-   their components: components are cut into blocks, pairs of blocks are
-   multiplied, and each vector's links are counted exactly. No pair is written.
+   more links than its list holds. A link that neither side's list holds joins two
+   such vectors. So those of different components are compared exactly, in blocks;
+   pairs of blocks whose centres and radii rule a link out (triangle inequality of
+   angles) are left out. What links joins components, before recall is measured.
+5. *Counts.* Components are cut into blocks, pairs of blocks are multiplied, and
+   each vector's links are counted exactly. No pair is written.
 
 Null, zero and non-finite vectors, and vectors of another length than most, link
 with nothing. Null ids are left out of links and are their own rows with null
@@ -100,9 +105,13 @@ def _adjacent(reach: int, k: int):
 
 
 def _best(a: np.ndarray, b: np.ndarray, c: np.ndarray, k: int) -> pa.RecordBatch:
-    """Both directions of the pairs, each vector's best ``k``."""
+    """Both directions of the pairs, each once, each vector's best ``k``."""
     keep = a != b
     a, b, c = np.concatenate([a[keep], b[keep]]), np.concatenate([b[keep], a[keep]]), np.concatenate([c[keep], c[keep]])
+    order = np.lexsort((-c, b, a))
+    a, b, c = a[order], b[order], c[order]
+    new = (np.diff(a, prepend=a[:1] - 1) != 0) | (np.diff(b, prepend=b[:1] - 1) != 0)
+    a, b, c = a[new], b[new], c[new]
     order = np.lexsort((b, -c, a))
     a, b, c = a[order], b[order], c[order]
     begin = np.flatnonzero(np.diff(a, prepend=a[:1] - 1)) if len(a) else np.zeros(0, int)
@@ -180,8 +189,72 @@ def _links_of(queries: tuple[np.ndarray, np.ndarray], threshold: float):
     return run
 
 
+def _balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each block's centre and the largest angle to it."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            x = _matrix(batch.column("rows").slice(k, 1).flatten().field("v"))
+            mean = x.mean(0)
+            norm = np.linalg.norm(mean)
+            centre = mean / norm if norm > 1e-9 else x[0]
+            radius = float(np.arccos(np.clip(x @ centre, -1, 1)).max())
+            yield pa.RecordBatch.from_arrays([batch.column("component").slice(k, 1), batch.column("i").slice(k, 1), pa.array([centre.tolist()]), pa.array([radius])], ["component", "i", "centre", "radius"])
+
+
+def _near_balls(threshold: float):
+    """Rows of two groups of balls: pairs of blocks of different components that can hold a link."""
+    widest = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one, two = (batch.column(c).slice(k, 1).flatten() for c in ("one", "two"))
+                (c1, i1, r1), (c2, i2, r2) = ([side.field(f).to_numpy() for f in ("component", "i", "radius")] for side in (one, two))
+                angle = np.arccos(np.clip(_matrix(one.field("centre")) @ _matrix(two.field("centre")).T, -1, 1))
+                hit = (angle <= r1[:, None] + r2[None] + widest) & (c1[:, None] != c2[None])
+                if batch.column("p")[k].as_py() == batch.column("q")[k].as_py():
+                    hit = np.triu(hit)
+                a, b = np.nonzero(hit)
+                yield pa.RecordBatch.from_arrays([pa.array(c1[a]), pa.array(i1[a]), pa.array(c2[b]), pa.array(i2[b])], ["c1", "i1", "c2", "i2"])
+
+    return run
+
+
+def _best_pair(threshold: float):
+    """Rows of two blocks of different components: their best pair, if it is a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v = [], []
+            for k in range(batch.num_rows):
+                one, two = (batch.column(c).slice(k, 1).flatten() for c in ("one", "two"))
+                g = _matrix(one.field("v")) @ _matrix(two.field("v")).T
+                i, j = np.unravel_index(int(g.argmax()), g.shape)
+                if g[i, j] >= threshold:
+                    u.append(one.field("id")[int(i)].as_py())
+                    v.append(two.field("id")[int(j)].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return run
+
+
+def _saturated_links(graph: DataFrame, member: DataFrame, vectors: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(u, v): a link of every two blocks of different components that are linked, over vectors whose full list passes ``threshold``."""
+    lists = graph.groupBy("a").agg(F.count("*").alias("n"), F.min("cos").alias("worst"))
+    full = lists.where((F.col("n") >= k) & (F.col("worst") >= threshold)).select(F.col("a").alias("node"))
+    blocks = materialize(_blocks(member.join(full, "node"), vectors), "full-blocks")
+    balls = materialize(blocks.select("component", "i", "rows").mapInArrow(_balls, "component long, i int, centre array<double>, radius double"), "balls")
+    groups = balls.count() // BLOCK + 1
+    dealt = balls.withColumn("p", F.pmod(F.xxhash64("component", "i"), F.lit(groups))).groupBy("p")
+    dealt = materialize(dealt.agg(F.collect_list(F.struct("component", "i", "centre", "radius")).alias("one")), "ball-groups")
+    both = dealt.crossJoin(dealt.toDF("q", "two")).where("p <= q")
+    near = materialize(both.mapInArrow(_near_balls(threshold), "c1 long, i1 int, c2 long, i2 int"), "near-blocks")
+    rows = blocks.select("component", "i", "rows")
+    return near.join(rows.toDF("c1", "i1", "one"), ["c1", "i1"]).join(rows.toDF("c2", "i2", "two"), ["c2", "i2"]).mapInArrow(_best_pair(threshold), "u long, v long")
+
+
 def _count_pairs(threshold: float):
-    """Rows of two blocks of one component: each vector's links with the other block."""
+    """Rows of two blocks of one component: each vector's links with the other block, by weight."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,23 +263,29 @@ def _count_pairs(threshold: float):
                 same = batch.column("i")[k].as_py() == batch.column("j")[k].as_py()
                 ids, others = one.field("id").to_numpy(), two.field("id").to_numpy()
                 hit = _matrix(one.field("v")) @ _matrix(two.field("v")).T >= threshold
+                mine, theirs = one.field("weight").to_numpy(), two.field("weight").to_numpy()
                 if same:
                     hit &= ids[:, None] != others[None]
-                    parts = [(ids, hit.sum(1))]
+                    parts = [(ids, hit @ theirs)]
                 else:
-                    parts = [(ids, hit.sum(1)), (others, hit.sum(0))]
+                    parts = [(ids, hit @ theirs), (others, mine @ hit)]
                 for who, n in parts:
                     yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(n.astype(np.int64))], ["id", "n"])
 
     return run
 
 
-def _exact_counts(member: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
-    """(id, n_links) inside components: blocks of about ``BLOCK / 2`` members, every pair of blocks a row of its own."""
+def _blocks(member: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(component, m, i, rows): each component's members in ``m`` blocks of about ``BLOCK / 2``."""
     sizes = member.groupBy("component").agg(F.ceil(F.count("*") * 2 / F.lit(BLOCK)).cast("int").alias("m"))
     rows = member.join(sizes, "component").join(vectors, F.col("node") == F.col("id"))
-    rows = rows.select("component", "m", F.pmod(F.xxhash64("id"), F.col("m")).cast("int").alias("i"), "id", "v")
-    blocks = materialize(rows.groupBy("component", "m", "i").agg(F.collect_list(F.struct("id", "v")).alias("rows")), "blocks")
+    rows = rows.select("component", "m", F.pmod(F.xxhash64("id"), F.col("m")).cast("int").alias("i"), "id", "v", "weight")
+    return rows.groupBy("component", "m", "i").agg(F.collect_list(F.struct("id", "v", "weight")).alias("rows"))
+
+
+def _exact_counts(member: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """(id, n_links) inside components, every pair of blocks a row of its own."""
+    blocks = materialize(_blocks(member, vectors), "blocks")
     left = blocks.select("component", "i", F.explode(F.sequence("i", F.col("m") - 1)).alias("j"), F.col("rows").alias("one"))
     right = blocks.select("component", F.explode(F.sequence(F.lit(0), "i")).alias("i"), F.col("i").alias("j"), F.col("rows").alias("two"))
     return left.join(right, ["component", "i", "j"]).mapInArrow(_count_pairs(threshold), "id long, n long").groupBy("id").agg(F.sum("n").alias("n_links"))
@@ -218,7 +297,10 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, k: int = NEIGHBOUR
     ``audit`` bounds the number of query vectors of the recall audit (a choice by hash of the id); ``recall`` is the
     share of their links, by comparison with all vectors, that the neighbour graph's components hold.
     """
-    vectors = materialize(_vectors(table), "vectors")
+    given = materialize(_vectors(table), "given-vectors")
+    vectors = materialize(given.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("weight")).select("id", "v", "weight"), "vectors")
+    repeated = vectors.where("weight > 1").select(F.col("id").alias("first"), "v", "weight")
+    copies = materialize(given.join(repeated, "v").select(F.col("id").alias("vid"), "first", "weight"), "copies")
     chosen = vectors.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(audit).collect()
     width = len(chosen[0]["v"]) if chosen else 0
     if width:
@@ -241,6 +323,10 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, k: int = NEIGHBOUR
             graph = after
         found = graph.where(F.col("cos") >= threshold).select(F.col("a").alias("u"), F.col("b").alias("v"))
         member = materialize(components(found), "found-components")
+        across = materialize(_saturated_links(graph, member, vectors, threshold, k), "saturated-links")
+        if not across.isEmpty():
+            found = found.union(across)
+            member = materialize(components(found), "found-components")
         if wanted:
             known = truth.join(member.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(
                 member.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b"
@@ -258,10 +344,12 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, k: int = NEIGHBOUR
     counts = materialize(saturated, "link-counts")
     out = (
         table.select(F.col("vec_id"), F.col("vec_id").cast("long").alias("vid"))
-        .join(counts.withColumnRenamed("id", "vid"), "vid", "left")
-        .join(member.select(F.col("node").alias("vid"), F.col("component")), "vid", "left")
+        .join(copies, "vid", "left").withColumn("first", F.coalesce("first", "vid"))
+        .join(counts.withColumnRenamed("id", "first"), "first", "left")
+        .join(member.select(F.col("node").alias("first"), F.col("component")), "first", "left")
     )
+    alike = F.coalesce("n_links", F.lit(0)) + F.coalesce("weight", F.lit(1)) - 1  # links of the vector and its own copies
     return out.select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vid").alias("component_id"),
-        (F.coalesce("component", "vid") == F.col("vid")).alias("kept"), F.lit(float(recall)).alias("recall"),
+        "vec_id", alike.cast("long").alias("n_links"), F.coalesce("component", "first").alias("component_id"),
+        (F.coalesce("component", "first") == F.col("vid")).alias("kept"), F.lit(float(recall)).alias("recall"),
     )

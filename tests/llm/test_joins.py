@@ -162,6 +162,25 @@ def test_embeddings(spark):
     assert embed.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_saturated_groups(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(260, 16))
+    a = x[0] / np.linalg.norm(x[0])
+    b = x[1] - (x[1] @ a) * a
+    b = 0.93 * a + (1 - 0.93**2) ** 0.5 * b / np.linalg.norm(b)
+    x[100:140] = a + rng.normal(scale=1e-7, size=(40, 16))  # unequal copies fill each other's lists
+    x[140:180] = b + rng.normal(scale=1e-7, size=(40, 16))
+    c = x[2] / np.linalg.norm(x[2])
+    d = x[3] - (x[3] @ c) * c
+    x[180:220], x[220:260] = c, 0.95 * c + (1 - 0.95**2) ** 0.5 * d / np.linalg.norm(d)  # equal copies
+    rows = [(i, v.tolist()) for i, v in enumerate(x[4:], 4)] + [(1168, rng.normal(size=16).tolist())]  # by its hash the one audit query
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embed.near_duplicates(df, k=6, audit=1).collect()}
+    assert {(got[i].component_id, got[i].n_links) for i in range(100, 180)} == {(100, 79)}
+    assert {(got[i].component_id, got[i].n_links) for i in range(180, 260)} == {(180, 79)}
+    assert sum(r.kept for r in got.values()) == 99
+
+
 def test_token_ledger(spark):
     rows = [(1, "s", "en", "a b c"), (2, "s", "en", "a b c"), (3, "t", None, "x y\nx y"), (4, None, "de", None), (5, "t", "de", ""), (None, "s", "en", "q"), (3, "t", None, "x y\nx y")]
     docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").withColumn("tokens", F.lit(9)).withColumn("docs", F.lit(9))
