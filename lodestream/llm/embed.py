@@ -8,10 +8,14 @@ Equal unit vectors are one weighted vector until the end, so copies do not fill
    have it as a neighbour, together: a task holds the vectors that meet at one
    vector and proposes the pairs better than either side's worst neighbour.
    Lists keep the best ``k``.
-3. *Audit.* A bounded set of query vectors is compared with all vectors, in
-   blocks. If the components of the links found hold less than ``RECALL`` of
-   theirs, new sort orders, lists twice as long and another round follow. Links
-   that the audit finds are kept.
+3. *Audit.* Query vectors are compared with all vectors, in blocks. More are drawn,
+   outside the groups seen so far, until ``LINKED`` of small groups have links or a
+   bound is reached. Recall is each query's share of links that the components
+   found hold, by size of its group; the worst size counts. Below ``RECALL``, new
+   sort orders, lists twice as long and another round follow, and after four
+   attempts more orders while it is below ``FLOOR``; then the run fails. Without any
+   link to judge by, recall is null, or 1 if no vector was left to draw. Links that
+   the audit finds are kept.
 4. *Saturated lists.* A vector whose whole list passes the threshold may have
    more links than its list holds. A link that neither side's list holds joins two
    such vectors. So those of different components are compared exactly, in blocks;
@@ -40,6 +44,7 @@ from lodestream.llm.store import discard, materialize
 
 TABLES, BITS, REACH = 16, 14, 6
 NEIGHBOURS, ROUNDS, RECALL = 10, 3, 0.97
+FLOOR, ATTEMPTS, LINKED, DRAWS = 0.9, 16, 64, 16
 BLOCK = 1024
 _EDGE = "a long, b long, cos double"
 
@@ -64,9 +69,14 @@ def _vectors(table: DataFrame) -> DataFrame:
     return rows.withColumn("v", F.transform("v", lambda x: x / norm))
 
 
-def _orders(width: int, tables: int, seed: int):
+def _bits(n: int) -> int:
+    """Hyperplanes of an order: about three of ``n`` vectors a key, whatever their number."""
+    return max(BITS, round(np.log2(max(n, 3) / 3)))
+
+
+def _orders(width: int, tables: int, seed: int, bits: int = BITS):
     """Rows of each sort order: (table, key, id, v)."""
-    planes = np.random.default_rng(seed).normal(size=(tables, BITS, width))
+    planes = np.random.default_rng(seed).normal(size=(tables, bits, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,7 +85,7 @@ def _orders(width: int, tables: int, seed: int):
                 for t in range(tables):
                     side = x @ planes[t].T > 0
                     gray = np.bitwise_xor.accumulate(side, axis=1)  # neighbours in the order differ in one side
-                    key = gray @ (1 << np.arange(BITS)[::-1])
+                    key = gray @ (1 << np.arange(bits)[::-1])
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(key), batch.column("id"), batch.column("v")], ["t", "key", "id", "v"])
 
     return run
@@ -291,29 +301,61 @@ def _exact_counts(member: DataFrame, vectors: DataFrame, threshold: float) -> Da
     return left.join(right, ["component", "i", "j"]).mapInArrow(_count_pairs(threshold), "id long, n long").groupBy("id").agg(F.sum("n").alias("n_links"))
 
 
+def _audit(vectors: DataFrame, threshold: float, audit: int, small: int) -> tuple[DataFrame | None, bool]:
+    """Links of drawn vectors with all vectors, and whether none was left to draw; no frame if there is no vector.
+
+    Draws double until ``LINKED`` drawn vectors have 1 to ``small`` links or ``DRAWS * audit`` are drawn.
+    """
+    order = F.struct(F.xxhash64("id", F.lit(3)), "id")
+    truth, pool, size, drawn = None, vectors, audit, 0
+    while True:
+        chosen = pool.select("id", "v", order.alias("o")).orderBy("o").limit(size).collect()
+        if not chosen:
+            return truth, True
+        queries = np.array([r["id"] for r in chosen]), np.array([r["v"] for r in chosen])
+        part = materialize(vectors.mapInArrow(_links_of(queries, threshold), _EDGE), "audit-links")
+        truth = part if truth is None else truth.union(part)
+        drawn += len(chosen)
+        if len(chosen) < size:
+            return truth, True
+        if drawn >= DRAWS * audit or truth.groupBy("a").count().where(F.col("count") <= small).count() >= LINKED:
+            return truth, False
+        last = chosen[-1]["o"]
+        later = F.xxhash64("id", F.lit(3))
+        pool = vectors.where((later > last[0]) | ((later == last[0]) & (F.col("id") > last[1])))
+        pool = pool.join(truth.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
+        size *= 2
+
+
+def _recall(truth: DataFrame, member: DataFrame) -> float | None:
+    """Mean share of a query's links inside its component, of the size of group (powers of two) where it is least."""
+    side = lambda end, c: member.select(F.col("node").alias(end), F.col("component").alias(c))
+    held = truth.select("a", "b").join(side("a", "ca"), "a", "left").join(side("b", "cb"), "b", "left")
+    each = held.groupBy("a").agg(F.count("*").alias("n"), F.count(F.when(F.col("ca") == F.col("cb"), 1)).alias("hit"))
+    sizes = each.groupBy(F.floor(F.log2("n")).alias("size")).agg(F.avg(F.col("hit") / F.col("n")).alias("share"))
+    return sizes.agg(F.min("share")).first()[0]
+
+
 def near_duplicates(table: DataFrame, threshold: float = 0.9, k: int = NEIGHBOURS, rounds: int = ROUNDS, audit: int = 1024) -> DataFrame:
     """``table(vec_id, embedding, ...)`` -> (vec_id, n_links, component_id, kept, recall), one row per input row.
 
-    ``audit`` bounds the number of query vectors of the recall audit (a choice by hash of the id); ``recall`` is the
-    share of their links, by comparison with all vectors, that the neighbour graph's components hold.
+    ``audit`` is the first number of query vectors of the recall audit (a choice by hash of the id); ``recall`` is the
+    share of a query's links, by comparison with all vectors, that the components hold, in groups of the worst size.
     """
     given = materialize(_vectors(table), "given-vectors")
     vectors = materialize(given.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("weight")).select("id", "v", "weight"), "vectors")
     repeated = vectors.where("weight > 1").select(F.col("id").alias("first"), "v", "weight")
     copies = materialize(given.join(repeated, "v").select(F.col("id").alias("vid"), "first", "weight"), "copies")
-    chosen = vectors.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(audit).collect()
-    width = len(chosen[0]["v"]) if chosen else 0
-    if width:
-        queries = np.array([r["id"] for r in chosen]), np.array([r["v"] for r in chosen])
-        truth = materialize(vectors.mapInArrow(_links_of(queries, threshold), _EDGE), "audit-links")
-        wanted = truth.count()
-    else:
-        truth, wanted = table.sparkSession.createDataFrame([], _EDGE), 0
-    graph, recall = None, 1.0
+    truth, whole = _audit(vectors, threshold, audit, k)
+    first = vectors.select(F.size("v")).first()
+    width, n = (first[0], vectors.count()) if first else (0, 0)
+    if truth is None:
+        truth = table.sparkSession.createDataFrame([], _EDGE)
+    graph, recall = None, 1.0 if whole else None
     links = truth.select(F.col("a").alias("u"), F.col("b").alias("v"))
     member = components(links)
-    for attempt in range(4 if width else 0):
-        orders = vectors.mapInArrow(_orders(width, TABLES, 100 + attempt), "t int, key long, id long, v array<double>")
+    for attempt in range(ATTEMPTS if width else 0):
+        orders = vectors.mapInArrow(_orders(width, TABLES, 100 + attempt, _bits(n)), "t int, key long, id long, v array<double>")
         start = orders.repartitionByRange("t", "key", "id").sortWithinPartitions("t", "key", "id").mapInArrow(_adjacent(REACH, k), _EDGE)
         graph = materialize(_top(start if graph is None else start.union(graph.select("a", "b", "cos")), k), "neighbours")
         for _ in range(rounds):
@@ -327,14 +369,14 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, k: int = NEIGHBOUR
         if not across.isEmpty():
             found = found.union(across)
             member = materialize(components(found), "found-components")
-        if wanted:
-            known = truth.join(member.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(
-                member.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b"
-            )
-            recall = known.where("ca = cb").count() / wanted
-        if recall >= RECALL:
+        measured = _recall(truth, member)
+        recall = recall if measured is None else measured
+        if measured is None or measured >= (RECALL if attempt < 3 else FLOOR):
             break
-        k, rounds = 2 * k, 1
+        k, rounds = min(2 * k, 8 * NEIGHBOURS) if k < 8 * NEIGHBOURS else k, 1
+    else:
+        if width:
+            raise RuntimeError(f"the links found hold {recall:.3f} of the audited ones after {ATTEMPTS} attempts")
     if graph is not None:
         links = found.union(links)
         member = materialize(components(links), "all-components")
@@ -351,5 +393,5 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, k: int = NEIGHBOUR
     alike = F.coalesce("n_links", F.lit(0)) + F.coalesce("weight", F.lit(1)) - 1  # links of the vector and its own copies
     return out.select(
         "vec_id", alike.cast("long").alias("n_links"), F.coalesce("component", "first").alias("component_id"),
-        (F.coalesce("component", "first") == F.col("vid")).alias("kept"), F.lit(float(recall)).alias("recall"),
+        (F.coalesce("component", "first") == F.col("vid")).alias("kept"), F.lit(recall).cast("double").alias("recall"),
     )

@@ -181,6 +181,16 @@ def test_embeddings_of_saturated_groups(spark):
     assert sum(r.kept for r in got.values()) == 99
 
 
+def test_embeddings_audit(spark):
+    x = np.random.default_rng(6).normal(size=(300, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert [r.recall for r in embed.near_duplicates(df, audit=1).select("recall").distinct().collect()] == [None]  # no link to judge by
+    truth = spark.createDataFrame([(1, b, 1.0) for b in range(2, 102)] + [(200, 201, 0.95)], "a long, b long, cos double")
+    member = spark.createDataFrame([(b, 1) for b in range(1, 102)], "node long, component long")
+    assert embed._recall(truth, member) == 0.0 and embed._recall(truth.where("a = 1"), member) == 1.0
+    assert embed._bits(51_282) == 14 and embed._bits(3_000_000) == 20
+
+
 def test_token_ledger(spark):
     rows = [(1, "s", "en", "a b c"), (2, "s", "en", "a b c"), (3, "t", None, "x y\nx y"), (4, None, "de", None), (5, "t", "de", ""), (None, "s", "en", "q"), (3, "t", None, "x y\nx y")]
     docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").withColumn("tokens", F.lit(9)).withColumn("docs", F.lit(9))
