@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.llm import textbatch as tb
+from lodestream.llm.store import bounded_batches
 
 MARK = "▁"
 #: Words that a worker remembers; longer words than this many characters are never kept.
@@ -273,6 +274,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, check: bool = True) -> DataF
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), lists, pa.array(many, pa.int32()), same], ["doc_id", "ids", "n_tokens", "round_trip"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, n_tokens int, round_trip boolean")
 
 

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from lodestream.llm import textbatch as tb
 from lodestream.llm.labelled import held_out, sigmoid, training_sample
+from lodestream.llm.store import bounded_batches
 
 BUCKETS = 2048
 RANK = 8
@@ -48,17 +49,32 @@ _SINGLE = [ord(c) for c in ".,!?|\n"]
 N_STRUCTURE = len(_CLASSES) + len(_SINGLE) + 12
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """One row per text: ``BUCKETS`` word features, then ``N_STRUCTURE`` statistics (not yet standardised)."""
+@dataclass
+class Features:
+    """Present words as (text, bucket, value), by text, and ``N_STRUCTURE`` statistics of each text (not yet standardised)."""
+
+    text: np.ndarray
+    bucket: np.ndarray
+    value: np.ndarray
+    stats: np.ndarray
+
+    def dense(self) -> np.ndarray:
+        out = np.zeros((len(self.stats), BUCKETS + N_STRUCTURE), np.float32)
+        out[self.text, self.bucket] = self.value
+        out[:, BUCKETS:] = self.stats
+        return out
+
+
+def features(data: np.ndarray, offsets: np.ndarray) -> Features:
     n = len(offsets) - 1
     starts, ends, first = tb.words(data, offsets)
     hashes = tb.hash_words(data, starts, ends)
     many = np.diff(first)
     doc = np.repeat(np.arange(n), many)
-    counts = np.bincount(doc * BUCKETS + (hashes >> np.uint64(20)).astype(np.int64) % BUCKETS, minlength=n * BUCKETS).reshape(n, BUCKETS)
+    spots, counts = np.unique(doc * BUCKETS + (hashes >> np.uint64(20)).astype(np.int64) % BUCKETS, return_counts=True)
+    text, bucket = spots // BUCKETS, spots % BUCKETS
     some = np.maximum(many, 1).astype(np.float32)
-    out = np.zeros((n, BUCKETS + N_STRUCTURE), np.float32)
-    np.sqrt(counts / some[:, None], out=out[:, :BUCKETS], casting="same_kind")
+    value = np.sqrt(counts / some[text]).astype(np.float32)
     size = np.maximum(np.diff(offsets), 1).astype(np.float32)
 
     def per_byte(values: np.ndarray) -> np.ndarray:
@@ -73,13 +89,14 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     same[1:] = (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])
     last, head = data[ends - 1], data[starts]
     lines = per_byte(data == 10) + 1
+    most = np.zeros(n)
+    np.maximum.at(most, text, counts)
     columns += [
         np.log1p(size), np.log1p(many), per_word(length), np.log1p(size / lines),
         per_word(length == 1), per_word(length > 16), per_word(same), per_word(_SYMBOL[last]), per_word(_MARK[last]), per_word(_UPPER[head]),
-        (counts > 0).sum(1) / np.minimum(some, BUCKETS), counts.max(1, initial=0) / some,
+        np.bincount(text, minlength=n) / np.minimum(some, BUCKETS), most / some,
     ]
-    out[:, BUCKETS:] = np.stack(columns, 1)
-    return out
+    return Features(text, bucket, value, np.stack(columns, 1).astype(np.float32))
 
 
 @dataclass
@@ -98,12 +115,21 @@ class FactorisationMachine:
         """Score of prepared rows in time linear in the features."""
         return self.bias + x @ self.linear + 0.5 * (((x @ self.factors) ** 2).sum(1) - (x * x) @ (self.factors**2).sum(1))
 
+    def margin_of(self, f: Features) -> np.ndarray:
+        """The same from the words that are present alone: their rows are gathered and summed by text."""
+        s = np.clip((f.stats - self.mean) / self.scale, -4, 4) / 2
+        linear, factors, n = self.linear[BUCKETS:], self.factors[BUCKETS:], len(s)
+        known, squares = self.factors[f.bucket] * f.value[:, None], (self.factors**2).sum(1)
+        sums = np.stack([np.bincount(f.text, known[:, r], minlength=n) for r in range(known.shape[1])], 1) + s @ factors
+        own = np.bincount(f.text, squares[f.bucket] * f.value**2, minlength=n) + (s * s) @ squares[BUCKETS:]
+        return self.bias + np.bincount(f.text, self.linear[f.bucket] * f.value, minlength=n) + s @ linear + 0.5 * ((sums**2).sum(1) - own)
+
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        return sigmoid(self.margin(self.prepare(features(data, offsets))).astype(np.float64))
+        return sigmoid(self.margin_of(features(data, offsets)))
 
 
 def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 25, batch: int = 256, rate: float = 0.01, decay: float = 1e-4) -> FactorisationMachine:
-    """Weighted logistic loss, Adam, fixed seed. ``x`` is as :func:`features` gives it and is standardised in place."""
+    """Weighted logistic loss, Adam, fixed seed. ``x`` holds dense :class:`Features` and is standardised in place."""
     rng = np.random.default_rng(11)
     if len(set(y.tolist())) < 2:
         width = BUCKETS + N_STRUCTURE
@@ -135,7 +161,7 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 25, batc
 
 def train(docs: DataFrame, labels: DataFrame) -> FactorisationMachine:
     texts, y, weight = training_sample(docs, labels, "quality", PER_CLASS, MAX_CHARS)
-    rows = [features(d, o) for _, d, o in tb.pieces(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]), "text")]
+    rows = [features(d, o).dense() for _, d, o in tb.pieces(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]), "text")]
     return fit(np.concatenate(rows) if rows else np.zeros((0, BUCKETS + N_STRUCTURE), np.float32), y, weight)
 
 
@@ -148,6 +174,7 @@ def score_quality(docs: DataFrame, model: FactorisationMachine, threshold: float
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(model.score(data, offsets))], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
+    bounded_batches(docs.sparkSession)
     scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -160,4 +187,5 @@ def keep(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.3) -
             for rows, data, offsets in tb.pieces(batch, "text"):
                 yield rows.filter(pa.array(model.score(data, offsets) >= threshold))
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 
 from lodestream.llm import textbatch as tb
 from lodestream.llm.labelled import sigmoid
+from lodestream.llm.store import bounded_batches
 
 KINDS = ("assign", "access", "hex", "cnn")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -292,6 +293,7 @@ def scan(docs: DataFrame, net: CharCnn) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_cnn long, base_sha256 string, spans string")
 
 
@@ -317,4 +319,5 @@ def redact(docs: DataFrame, net: CharCnn, mark: str = "[SECRET]") -> DataFrame:
                     columns["n_chars"] = pa.array([None if null else len(t) for t, null in zip(new, was_null, strict=True)]).cast(columns["n_chars"].type)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names)
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 #: Rows up to which a list of 8-byte keys is broadcast (at most 64 MB of hash table).
 BROADCAST_KEYS = 2_000_000
 
+#: Bytes and rows of an Arrow batch between Spark and Python, unless the session sets less.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
+
 _own: dict[str, str] = {}
 
 
@@ -33,6 +36,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to the bounds above, for workers that hold a batch beside their own arrays."""
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        now = str(spark.conf.get(key)).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, most)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/lodestream/{name}-{uuid.uuid4().hex}"
 
