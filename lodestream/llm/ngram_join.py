@@ -90,7 +90,7 @@ def _heavy_counts(size: int):
 def heavy_shingles(docs: DataFrame, size: int) -> np.ndarray:
     """Sorted keys of the heaviest shingles, ``HEAVY_MOST`` at most."""
     counts = materialize(
-        docs.select("text").mapInArrow(_heavy_counts(size), "k long, n long")
+        docs.select("text").mapInArrow(tb.task(_heavy_counts(size)), "k long, n long")
         .groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY_FROM),
         "shingle-counts",
     )
@@ -296,7 +296,7 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     bounded_batches(docs.sparkSession)
-    signed = materialize(docs.mapInArrow(_signatures(size), "doc_id long, n long, set_a long, set_b long"), "shingle-signatures")
+    signed = materialize(docs.mapInArrow(tb.task(_signatures(size)), "doc_id long, n long, set_a long, set_b long"), "shingle-signatures")
     usable = signed.where("n > 0 AND doc_id IS NOT NULL")
     classes = materialize(usable.groupBy("n", "set_a", "set_b").agg(F.min("doc_id").alias("cid")), "shingle-classes")
     doc_class = materialize(
@@ -312,7 +312,7 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     heavy = heavy_shingles(firsts, size)
     table = materialize(
         firsts.mapInArrow(
-            _prefixes(heavy, size, num, den), "doc_id long, n long, psig long, light long, last long, bits binary, prefix binary"
+            tb.task(_prefixes(heavy, size, num, den)), "doc_id long, n long, psig long, light long, last long, bits binary, prefix binary"
         ).where("n > 0"), "shingle-prefixes",
     )
     bitmaps = materialize(table.select(F.col("doc_id").alias("node"), "n", "bits"), "shingle-bitmaps")
@@ -328,7 +328,7 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     postings = (
         table.join(F.broadcast(silent) if silent.count() <= BROADCAST_KEYS // 2 else silent, ["doc_id", "psig"], "left_anti")
         .select("doc_id", "n", "light", "prefix")
-        .mapInArrow(_postings, "k long, salt int, g long, at long")
+        .mapInArrow(tb.task(_postings), "k long, salt int, g long, at long")
     )
     by_list = Window.partitionBy("k", "salt").orderBy(_entry())
     shared_lists = materialize(
@@ -365,7 +365,7 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
         found = materialize(
             rows.join(F.broadcast(nodes) if few else nodes, "node", "left_semi").join(F.broadcast(spots) if few else spots, "node")
             .repartition("hub", "part").sortWithinPartitions("hub", "part", "role", "node")
-            .mapInArrow(test, "u long, v long").distinct(),
+            .mapInArrow(tb.task(test), "u long, v long").distinct(),
             name,
         )
         for old in (degree, placed, spots):
@@ -377,7 +377,7 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
         pairs = materialize(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
         near = at_hubs(pairs, bitmaps, _near(num, den), "near-pairs")
         ends = materialize(near.select(F.col("u").alias("doc_id")).union(near.select("v")).distinct(), "near-docs")
-        sets = docs.join(keys_hint(ends), "doc_id", "left_semi").mapInArrow(_whole_sets(heavy, size), "node long, keys array<long>")
+        sets = docs.join(keys_hint(ends), "doc_id", "left_semi").mapInArrow(tb.task(_whole_sets(heavy, size)), "node long, keys array<long>")
         found = at_hubs(near, sets, _passing(num, den), "links")
         for old in (pairs, near, ends):
             discard(old)

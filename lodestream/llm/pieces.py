@@ -224,15 +224,12 @@ class Encoder:
         return out
 
 
-_workers: dict[str, Encoder] = {}
-
-
 def encoder_of(vocabulary: Vocabulary) -> Encoder:
     """This worker's encoder of a vocabulary: a worker that runs several tasks keeps what it knows."""
-    if vocabulary.name not in _workers:
-        _workers.clear()
-        _workers[vocabulary.name] = Encoder(vocabulary)
-    return _workers[vocabulary.name]
+    if vocabulary.name not in tb.held:
+        tb.held.clear()
+        tb.held[vocabulary.name] = Encoder(vocabulary)
+    return tb.held[vocabulary.name]
 
 
 def decode_bytes(vocabulary: Vocabulary, ids: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -259,7 +256,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, check: bool = True) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(vocabulary)
         for batch in batches:
-            for rows, data, offsets in tb.pieces(batch, "text", 4 << 20):
+            for rows, data, offsets in tb.pieces(batch, "text", 1 << 20):
                 texts = pc.fill_null(rows.column("text"), "").to_pylist()
                 packed = encoder.encode(texts)
                 many = np.array([len(p) // 4 for p in packed])
@@ -275,7 +272,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, check: bool = True) -> DataF
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     bounded_batches(docs.sparkSession)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, n_tokens int, round_trip boolean")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tb.task(run, keeps=True), f"doc_id {kind}, ids array<int>, n_tokens int, round_trip boolean")
 
 
 def decode(tokens: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -293,4 +290,4 @@ def decode(tokens: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
-    return tokens.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+    return tokens.select("doc_id", "ids").mapInArrow(tb.task(run), f"doc_id {kind}, text string")

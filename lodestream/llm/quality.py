@@ -175,7 +175,7 @@ def score_quality(docs: DataFrame, model: FactorisationMachine, threshold: float
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     bounded_batches(docs.sparkSession)
-    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(tb.task(run), f"doc_id {kind}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -188,4 +188,4 @@ def keep(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.3) -
                 yield rows.filter(pa.array(model.score(data, offsets) >= threshold))
 
     bounded_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tb.task(run), docs.schema)

@@ -7,7 +7,8 @@ token and over the context before it, and a logistic output. The network is
 trained here on labelled findings drawn from a seeded generator of secret and
 harmless shapes (:func:`labelled_findings`); a logistic map fitted on findings
 that training has not seen calibrates it, and the threshold is the largest one
-that still recalls ``RECALL`` of the secrets among them.
+that still recalls ``RECALL`` of the secrets among them. That recall is of the
+generator's shapes; for other corpora, train on findings of their own.
 
 Tokens longer than the network's view are scored in overlapping views. Texts are
 scanned whole; null and empty texts have no findings. Spans are in code points,
@@ -41,6 +42,8 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _LETTER, _DIGIT = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]")
 LEFT, VIEW, RIGHT = 24, 48, 8
 WIDTH = LEFT + VIEW + RIGHT
+#: Views that are held and scored at a time.
+VIEWS = 512
 #: Share of labelled secrets that the threshold must recall.
 RECALL = 0.97
 
@@ -71,8 +74,9 @@ def _view(text: str, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
     return codes, inside
 
 
-def views(text: str, start: int, end: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    return [_view(text, at, end) for at in range(start, max(start + 1, end - VIEW // 2), VIEW // 2)]
+def view_starts(start: int, end: int) -> range:
+    """Where the views of a token begin; each half overlaps the next."""
+    return range(start, max(start + 1, end - VIEW // 2), VIEW // 2)
 
 
 def _token(rng: np.random.Generator, alphabet: str, low: int, high: int) -> str:
@@ -260,18 +264,25 @@ def find(batch: pa.RecordBatch, net: CharCnn) -> Iterator[tuple[pa.RecordBatch,
         signs = np.concatenate([[0], np.cumsum((data == 58) | (data == 61))])
         may = (np.diff(signs[offsets]) > 0) | _run_of(data, offsets, _TOKEN_BYTES, 16) | _run_of(data, offsets, _HEX_BYTES, 24)
         found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        ask, codes, inside = [], [], []
+        held: list[tuple[tuple[int, int, int], np.ndarray, np.ndarray]] = []
+        secret: set[tuple[int, int, int]] = set()
+
+        def judge() -> None:
+            if held:
+                sure = net.probabilities(np.array([h[1] for h in held]), np.array([h[2] for h in held])) >= net.threshold
+                secret.update(h[0] for h, s in zip(held, sure, strict=True) if s)
+                held.clear()
+
         for k in np.flatnonzero(may).tolist():
             found[k] = base_spans(texts[k])
             for start, end in candidates(texts[k], found[k]):
-                for c, i in views(texts[k], start, end):
-                    ask.append((k, start, end))
-                    codes.append(c)
-                    inside.append(i)
-        if ask:
-            sure = net.probabilities(np.array(codes), np.array(inside)) >= net.threshold
-            for k, start, end in {a for a, s in zip(ask, sure, strict=True) if s}:
-                found[k].append((start, 3, end))
+                for at in view_starts(start, end):
+                    held.append(((k, start, end), *_view(texts[k], at, end)))
+                    if len(held) == VIEWS:
+                        judge()
+        judge()
+        for k, start, end in secret:
+            found[k].append((start, 3, end))
         yield rows, texts, [sorted(f) for f in found]
 
 
@@ -294,7 +305,7 @@ def scan(docs: DataFrame, net: CharCnn) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     bounded_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_cnn long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(tb.task(run), f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_cnn long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, net: CharCnn, mark: str = "[SECRET]") -> DataFrame:
@@ -320,4 +331,4 @@ def redact(docs: DataFrame, net: CharCnn, mark: str = "[SECRET]") -> DataFrame:
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names)
 
     bounded_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tb.task(run), docs.schema)

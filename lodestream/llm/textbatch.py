@@ -7,7 +7,10 @@ bounded by the piece and by the longest single text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,32 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+#: What a worker keeps from one task of an operator to its next.
+held: dict[str, Any] = {}
+
+
+def task(run: Callable, keeps: bool = False) -> Callable:
+    """``run`` as a task that gives its memory back when it ends: Spark's workers live on and serve other operators.
+
+    Only tasks with ``keeps`` leave what the worker holds in :data:`held`.
+    """
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            held.clear()
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # not the GNU library
+                pass
+
+    return tidy
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply), so that every bit of a hash is usable."""
     x = x ^ (x >> np.uint64(30))

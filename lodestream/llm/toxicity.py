@@ -277,5 +277,5 @@ def score_toxicity(docs: DataFrame, model: Machine, threshold: float = 0.5) -> D
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(model.score(data, offsets))], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(tb.task(run), f"doc_id {kind}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

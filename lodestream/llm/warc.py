@@ -3,7 +3,8 @@
 Writing. The payload of a page is its html in UTF-8 (null: empty). Records whose
 payload of at least ``least`` bytes occurs before are revisits of the record with
 the largest page id; which one that is follows from narrow rows (digest, length,
-id) before any payload moves. Each task writes archives of about ``ROLL`` bytes
+id). The digests that occur twice are broadcast to the payloads while their counted
+number allows it; beyond that each payload is shuffled once. Each task writes archives of about ``ROLL`` bytes
 under a name of its own and reports them in a manifest, which is written as a
 table; files of attempts that failed are in no manifest and are never read.
 Files go through Arrow's file systems, so any store that both Spark and Arrow
@@ -33,7 +34,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.store import materialize, new_path
+from lodestream.llm.store import BROADCAST_KEYS, bounded_batches, materialize, new_path
 
 #: Bytes after which a task begins its next archive, and bytes read at once.
 ROLL, CHUNK = 64 << 20, 1 << 16
@@ -70,6 +71,7 @@ def plan(pages: DataFrame, least: int = 0) -> DataFrame:
     firsts = materialize(
         rows.where(F.col("size") >= least).groupBy("sha", "size").agg(F.max("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1"), "warc-firsts"
     ).select("sha", "size", "first_id")
+    firsts = F.broadcast(firsts) if firsts.count() <= BROADCAST_KEYS // 8 else firsts  # about 100 bytes a row
     return rows.join(firsts, ["sha", "size"], "left").select(
         "page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to")
     )
@@ -100,6 +102,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{d[0]}" for d in done]), *[pa.array([d[k] for d in done], pa.int64()) for k in (1, 2)]], ["path", "records", "bytes"])
 
+    bounded_batches(pages.sparkSession)
     return materialize(plan(pages, least).mapInArrow(run, "path string, records long, bytes long"), "warc-manifest")
 
 
@@ -195,7 +198,8 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
 
     kinds = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
-    return manifest.select("path").repartition(F.col("path")).mapInArrow(run, kinds)
+    # As many partitions as archives: a count of its own keeps Spark from joining a few small rows into one task.
+    return manifest.select("path").repartition(max(1, manifest.count()), "path").mapInArrow(run, kinds)
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:

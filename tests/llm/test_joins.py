@@ -116,6 +116,29 @@ def test_decontamination(spark):
     assert decontam.contaminated_pairs(d.limit(0), b).count() == 0 and decontam.contaminated_pairs(d, b.limit(0)).count() == 0
 
 
+def test_decontamination_judges_every_alignment(spark):
+    ask = "In total Anna bought 12 apples and 5 pears for 20 dollars, then Bob gave Anna 12 more apples today."
+    good = ask.replace("Anna", "Maria").replace("12", "31").replace("Bob", "Tom")
+    bad = good.replace("gave Maria", "gave Karl")
+    items = [(1, ask), (2, "What is 12 + 30 - 4 * 2?"), (3, "Why not?"), (4, "The Big Red Dog Sat On The Old Log By Our House.")]
+    long = [f"w{chr(97 + k // 5)}{chr(97 + k % 5)}" for k in range(30)]
+    items.append((5, " ".join(long)))
+    split = " ".join([*long[:10], "put", "in", *long[10:20], "once", "more", *long[20:]])  # no alignment holds half of it
+    docs = [
+        (10, f"Yes. {bad} Well. {good}"), (11, f"Yes. {good} Well. {bad}"), (12, f"Yes. {bad}"), (13, ask.lower()), (14, ask.replace("by", "by\n").replace(" gave", "\ngave")),
+        (15, "he asked: what is 12 + 30 - 4 * 2?"), (16, "why not"), (17, "why not go there then"), (18, "the big red dog sat on the old log by our house"), (19, split), (20, "x"), (20, f"Yes. {good}"),
+        (21, "word " * 50_000 + ask), (22, bad), (22, "other text entirely of no interest to anyone who reads it"),
+    ]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    pairs = decontam.contaminated_pairs(d, b).collect()
+    assert len({(r.doc_id, r.item_id) for r in pairs}) == len(pairs)
+    caught = {(r.doc_id, r.item_id) for r in pairs if r.contaminated}
+    assert caught == {(10, 1), (11, 1), (13, 1), (14, 1), (15, 2), (16, 3), (18, 4), (19, 5), (20, 1), (21, 1)}
+    clean = {(r.doc_id, r.item_id): r for r in pairs if not r.contaminated}
+    assert not clean[12, 1].consistent and clean[12, 1].same_words * 2 >= clean[12, 1].item_words and (22, 1) in clean
+    assert {r.doc_id for r in decontam.remove_contaminated(d, b).collect()} == {12, 17, 22}
+
+
 def test_warc(spark):
     rows = [(1, "http://a", "abc"), (2, "http://b\r\nX: 1", "abc"), (3, None, None), (4, "c", ""), (5, "d", "é" * 300_000), (None, "z", "abc"), (2, "q", "abc"), (6, "e", "\r\n\r\nWARC/1.1\r\n\r\n")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit("clash"))
@@ -130,6 +153,8 @@ def test_warc(spark):
             assert r.payload.decode() in want
     assert sorted((r.page_id or 0, r.record_type, r.refers_to) for r in read if r.payload_bytes == 3) == [(0, "revisit", 2), (1, "revisit", 2), (2, "response", None), (2, "response", None)]
     assert {(r.page_id, r.refers_to) for r in read if r.payload_bytes == 0} == {(3, 4), (4, None)}
+    read = warc.read_archives(spark.createDataFrame([(f"{k}",) for k in range(9)], "path string"))
+    assert read.rdd.getNumPartitions() == 9  # an archive is a task
     assert warc.round_trip(pages.limit(0)).count() == 0 and sum(r.records for r in manifest.collect()) == len(rows)
 
 
@@ -205,6 +230,11 @@ def test_token_ledger(spark):
     assert {(r.source, r.lang): r.docs for r in ledger.totals().where("tokenizer = 'words'").collect()}["s", "en"] == 2
     ledger.commit("d")
     assert ledger.committed() == ["a", "b", "c", "d"]
+    before = [sorted(map(str, x.collect())) for x in (ledger.totals(), ledger.rows())]
+    ledger.compact()
+    assert [sorted(map(str, x.collect())) for x in (ledger.totals(), ledger.rows())] == before and len(ledger._parts()) == 1
+    assert not ledger.commit("a", upserts=counted) and ledger.commit("e", deletes=spark.createDataFrame([(2,)], "doc_id long"))
+    assert {(r.source, r.lang): r.docs for r in ledger.totals().where("tokenizer = 'words'").collect()}["s", "en"] == 1 and len(ledger._parts()) == 2
     assert token_counts.corpus_totals(docs.limit(0)).count() == 0
 
 
@@ -221,6 +251,15 @@ def test_urls(spark):
     got = sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge(df).collect())
     assert [g[3:] for g in got] == [("net/", "block"), (None, "allow"), (None, "allow"), ("example.net/en/", "allow"), (None, "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"), (None, "allow"), (None, "block"), (None, "block"), (None, "allow"), (None, "allow")]
     assert got[0][1:3] == ("foo.net", "/x") and urlfilter.judge(df.limit(0)).count() == 0
+    rules = spark.createDataFrame([("net/", "block", 0), ("*", "allow", 1), ("^q^", "block", 1), ("*b*", "block", 1), (None, "block", 0), ("net/", "block", 0)], "pattern string, verdict string, tier int")
+    said = {r.page_id: (r.pattern, r.verdict) for r in urlfilter.judge(df, rules).collect()}
+    assert said[1] == ("net/", "block") and said[5] == ("*", "allow") and said[9] == ("*b*", "block") and said[3] == (None, "allow")
+    few, urlfilter.INDEX_ROWS = urlfilter.INDEX_ROWS, 0
+    hot, urlfilter.HOT = urlfilter.HOT, 2
+    try:
+        assert {r.page_id: (r.pattern, r.verdict) for r in urlfilter.judge(df, rules).collect()} == said
+    finally:
+        urlfilter.INDEX_ROWS, urlfilter.HOT = few, hot
     loose = [urlfilter.Rule("*evil*", "block"), urlfilter.Rule("good/", "allow")]
     assert urlfilter.judge(spark.createDataFrame([(1, "http://medEvil.org/"), (2, "http://medevil.org/")], "page_id long, url string"), loose).where("verdict = 'block'").count() == 2
 

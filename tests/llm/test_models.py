@@ -45,6 +45,9 @@ def test_interactions_are_the_identity():
     rng = np.random.default_rng(0)
     width = quality.BUCKETS + quality.N_STRUCTURE
     fm = quality.FactorisationMachine(0.1, rng.normal(size=width), rng.normal(size=(width, 3)), np.zeros(quality.N_STRUCTURE), np.ones(quality.N_STRUCTURE))
+    text = "Some words, some of them twice: words.\n\nA line | of # marks".encode()
+    f = quality.features(np.frombuffer(text * 2, np.uint8), np.array([0, 0, len(text), 2 * len(text)]))
+    assert fm.margin_of(f) == pytest.approx(fm.margin(fm.prepare(f.dense())), rel=1e-5)
     x = np.zeros((1, width))
     at = rng.choice(width, 6, replace=False)
     x[0, at] = rng.normal(size=6)
