@@ -39,12 +39,16 @@ def visitor(key: Column, device: Column) -> Column:
     return F.coalesce(key, F.concat(F.lit("d:"), device.cast("string")))
 
 
+#: What feeds write where a number is missing, in lower case.
+MISSING = ["", ".", "..", "-", "--", "n/a", "na", "(na)", "nan", "none", "null"]
+
+
 def decimal_text(text: Column) -> Column:
-    """Number in a feed's text: commas, unicode minus, parentheses for negatives, missing tokens; null if it is none."""
-    t = F.translate(F.trim(text), "−,  ", "-")
-    t = F.when(t.isin("", "-", ".", "N/A", "NA", "n/a", "null", "(NA)"), None).otherwise(t)
+    """Number in a feed's text as a decimal: commas, unicode minus, parentheses for negatives, missing tokens; null if it is none."""
+    t = F.translate(F.trim(text), "−,\u00a0 ", "-")
+    t = F.when(~F.lower(t).isin(*MISSING), t)
     t = F.when(t.rlike(r"^\(.*\)$"), F.concat(F.lit("-"), F.regexp_extract(t, r"^\((.*)\)$", 1))).otherwise(t)
-    return F.when(t.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"), t.try_cast("double"))
+    return F.when(t.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"), t.try_cast("decimal(38, 12)"))
 
 
 def period_start(text: Column) -> Column:
@@ -60,26 +64,50 @@ def period_start(text: Column) -> Column:
     )
 
 
-def horizon_end(start: Column, text: Column) -> Column:
-    """Date that a horizon such as 3M, 2 weeks, end of 2026, 2026-Q3 or YE26 points to, from ``start``; null if unclear."""
-    t = F.lower(F.trim(text))
-    n = F.regexp_extract(t, r"^(\d{1,3})\s*(d|day|days|w|week|weeks|m|month|months|y|year|years)$", 1).try_cast("int")
-    unit = F.substring(F.regexp_extract(t, r"^(\d{1,3})\s*(d|day|days|w|week|weeks|m|month|months|y|year|years)$", 2), 1, 1)
-    year = F.coalesce(
-        F.regexp_extract(t, r"^(?:end of|end-|year-end|by end of)\s*(\d{4})$", 1).try_cast("int"),
-        2000 + F.regexp_extract(t, r"^ye\s?(\d{2})$", 1).try_cast("int"),
+#: Days of a unit, and days of the usual bands.
+UNIT_DAYS = {"day": 1, "week": 7, "month": 30, "quarter": 91, "year": 365}
+CODE_DAYS = {"w": 7, "m": 30, "q": 91, "y": 365}
+BANDS = [(r"(near|short)[ _-]?term", 30), ("tactical", 30), (r"(short|near)[ _-]?to[ _-]?intermediate[ _-]?term", 60), (r"(medium|intermediate|mid)[ _-]?term", 90), (r"long[ _-]?term", 365), ("strategic", 365)]
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+
+
+def horizon_text(raw: Column) -> Column:
+    """A horizon in lower case, without what is in brackets, single blanks."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(raw), r"[(（].*?[)）]", " "), r"\s+", " "))
+
+
+def horizon_end(start: Column, t: Column) -> Column:
+    """Date that a horizon (a column of :func:`horizon_text`) points to, from ``start``; null if unclear, or if a date so named is not after ``start``.
+
+    Named dates: a day, a month (2026-07, July 2026, July: the next one), a quarter or half (Q3 2026, 2026H2), a year,
+    the end of this year; each means its last day. Spans: a number or the middle of two, in days (a month has 30).
+    """
+    got = lambda p, k=1: F.nullif(F.regexp_extract(t, p, k), F.lit(""))
+    number = lambda p, k=1: got(p, k).try_cast("int")
+    last = lambda y, m: F.last_day(F.when(m.between(1, 12), F.make_date(y, m, F.lit(1))))
+    month_no = lambda name: F.nullif(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), name), F.lit(0)).cast("int")
+    day = F.concat_ws("-", got(r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})$"), F.lpad(got(r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})$", 2), 2, "0"), F.lpad(got(r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})$", 3), 2, "0"))
+    dash = r"^(\d{4})(?:[-/]| ?年 ?)(\d{1,2}) ?月?$"
+    named = r"^([a-z]+) (\d{4})$"
+    quarter_first, quarter_last = r"^q([1-4]) ?(\d{4})$", r"^(\d{4})[ -]?q([1-4])$"
+    half_first, half_last = r"^h([12]) ?(\d{4})$", r"^(\d{4}) ?h([12])$"
+    year = r"^(?:end[ -]?(?:of[ -]?)?|remainder of |rest of )?(\d{4})(?: ?(?:end|year[ -]?end))?$"
+    bare = last(F.year(start), month_no(t))
+    date = F.coalesce(
+        day.try_cast("date"), last(number(dash), number(dash, 2)), last(number(named, 2), month_no(got(named))),
+        last(number(quarter_first, 2), number(quarter_first) * 3), last(number(quarter_last), number(quarter_last, 2) * 3),
+        last(number(half_first, 2), number(half_first) * 6), last(number(half_last), number(half_last, 2) * 6), last(number(year), F.lit(12)),
+        F.when(t.rlike(r"^(year[ -]?end|end of (the )?year)$"), last(F.year(start), F.lit(12))),
+        F.when(bare > start, bare), last(F.year(start) + 1, month_no(t)),
     )
-    quarter_year = F.regexp_extract(t, r"^(\d{4})-?q([1-4])$", 1).try_cast("int")
-    quarter = F.regexp_extract(t, r"^(\d{4})-?q([1-4])$", 2).try_cast("int")
-    return F.coalesce(
-        F.when(unit == "d", F.date_add(start, n)).when(unit == "w", F.date_add(start, n * 7))
-        .when(unit == "m", F.add_months(start, n)).when(unit == "y", F.add_months(start, n * 12)),
-        F.make_date(year, F.lit(12), F.lit(31)),
-        F.last_day(F.make_date(quarter_year, quarter * 3, F.lit(1))),
-        F.when(t.isin("near term", "near-term", "short term"), F.add_months(start, 3)),
-        F.when(t.isin("medium term", "medium-term"), F.add_months(start, 12)),
-        F.when(t.isin("long term", "long-term"), F.add_months(start, 36)),
+    days_of = lambda unit: F.coalesce(*[F.when(F.regexp_replace(unit, "s$", "") == k, n) for k, n in UNIT_DAYS.items()])
+    band, one, code = r"(\d+) ?(?:-|–|to) ?(\d+) ?([a-z]+)", r"(\d+) ?([a-z]+)", r"^(\d+)([wmqy])$"
+    days = F.coalesce(
+        (number(band) + number(band, 2)) / 2.0 * days_of(got(band, 3)), number(one) * days_of(got(one, 2)),
+        number(code) * F.coalesce(*[F.when(got(code, 2) == k, n) for k, n in CODE_DAYS.items()]), *[F.when(t.rlike(f"^{p}$"), n) for p, n in BANDS],
     )
+    unclear = t.isNull() | t.rlike("^(unknown|not specified|n/a|none)?$")
+    return F.when(~unclear & date.isNotNull(), F.when(date > start, date)).when(~unclear, F.date_add(start, half_up(days).cast("int")))
 
 
 def local_to_utc(text: Column, zone: str) -> Column:
@@ -92,3 +120,39 @@ def local_to_utc(text: Column, zone: str) -> Column:
 def backoff_minutes(attempt: Column, base: int = 5, most: int = 1440) -> Column:
     """Minutes to wait after the n-th failure: doubling, capped."""
     return F.least(F.lit(float(most)), F.lit(float(base)) * F.pow(F.lit(2.0), attempt - 1)).cast("long")
+
+
+def clamp_confidence(said: Column) -> Column:
+    """A confidence within 0 and 1; one that was not said, or is no number, is 1."""
+    return F.when(said.isNull() | F.isnan(said), F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), said)))
+
+
+def clean_text(raw: Column, most: int) -> Column:
+    """Text without blanks at its ends, cut to ``most`` characters; null if nothing is left."""
+    return F.left(F.nullif(F.trim(raw), F.lit("")), F.lit(most))
+
+
+def clamped_number(raw: Column, low: int, high: int) -> Column:
+    """A text's number, rounded and kept within bounds; null if it is none or not finite."""
+    x = raw.try_cast("double")
+    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+    return F.when(finite, F.least(F.lit(high), F.greatest(F.lit(low), half_up(x))))
+
+
+def level_from_forecast(kind: Column, forecast: Column, previous: Column, scale: Column, most: float = 0.25) -> Column:
+    """A forecast as a level: as it is, as a change from or a multiple of a unit of the previous level, or as a percentage of it.
+
+    Changes and multiples that end further than ``most`` of the previous level away from it are null (a unit error).
+    """
+    value = F.when(kind == "delta", previous + forecast * scale).when(kind == "scaled", forecast * scale).when(kind == "relative", previous * (1 + forecast / 100))
+    far = (kind != "relative") & (F.abs(value - previous) > F.abs(previous) * most)
+    return F.when(kind == "level", forecast).when(~far, value)
+
+
+def period_fits(period: Column, frequency: Column) -> Column:
+    """Whether a period's first day is one that its frequency allows."""
+    first = F.day(period) == 1
+    return (
+        F.when(frequency.isin("DAILY", "WEEKLY", "EVENT"), F.lit(True)).when(frequency == "MONTHLY", first)
+        .when(frequency == "QUARTERLY", first & ((F.month(period) - 1) % 3 == 0)).when(frequency == "ANNUAL", first & (F.month(period) == 1)).otherwise(False)
+    )

@@ -67,5 +67,6 @@ def wildcard_regex(pattern: str) -> str:
 
 def robots_verdict(path: Column, rules: list[tuple[str, str]]) -> Column:
     """Whether a path is allowed: the longest fitting pattern decides, allow wins ties, no pattern allows."""
-    best = {v: F.greatest(F.lit(-1), *[F.when(path.rlike(wildcard_regex(p)), len(p)).otherwise(-1) for w, p in rules if w == v]) for v in ("allow", "disallow")}
+    fits = lambda p: F.when(path.rlike(wildcard_regex(p)), len(p.removesuffix("$"))).otherwise(-1)
+    best = {v: F.array_max(F.array(F.lit(-1), *[fits(p) for w, p in rules if w == v])) for v in ("allow", "disallow")}
     return (best["allow"] >= best["disallow"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestream.functions.scalar import half_up, wilson
@@ -167,14 +167,20 @@ def asof_backward_click(spark: SparkSession, d: str) -> DataFrame:
     return asof_backward(left, right, ["user_id"], "ts", "ts", "prior_id", "event_id", "prior_id").select("event_id", "prior_id")
 
 
-PRICES = """p AS (SELECT l_partkey % 20 AS asset, CAST(l_shipdate AS DATE) AS day, round(avg(l_extendedprice / l_quantity) + 2e-8, 6) AS price FROM lineitem GROUP BY ALL)"""
+PRICES = """p AS (SELECT l_partkey % 20 AS asset, CAST(l_shipdate AS DATE) AS day, CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) / CAST(sum(CAST(l_quantity AS DECIMAL(18, 2))) AS DOUBLE) AS price FROM lineitem GROUP BY ALL)"""
 TARGETS = PRICES + """, t AS (SELECT asset, date_trunc('month', day)::DATE AS month, min(day) AS day, min_by(price, day) AS price FROM p GROUP BY ALL),
 g AS (SELECT t.asset, t.day, t.price AS base, s AS institution, t.price * (1 + (s - 3) / CAST(100 AS DOUBLE)) AS target, s - 3 AS dir, t.day + 30 AS due FROM t, range(7) r(s))"""
 
 
+def mean_price() -> Column:
+    """Mean price by quantity; exact sums, so that every order of rows gives the same number."""
+    total = lambda c: F.sum(F.col(c).cast("decimal(18, 2)")).cast("double")
+    return total("l_extendedprice") / total("l_quantity")
+
+
 def prices(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
-    return li.groupBy((F.col("l_partkey") % 20).alias("asset"), F.to_date("l_shipdate").alias("day")).agg(F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")) + 2e-8, 6).alias("price"))
+    return li.groupBy((F.col("l_partkey") % 20).alias("asset"), F.to_date("l_shipdate").alias("day")).agg(mean_price().alias("price"))
 
 
 def targets(spark: SparkSession, d: str) -> DataFrame:
@@ -200,10 +206,10 @@ def settled(spark: SparkSession, d: str) -> DataFrame:
     return a.withColumn("abs_error", error).withColumn("pct_error", error / F.nullif(F.abs("actual"), F.lit(0.0)) * 100).withColumn("correct", F.when(F.col("actual").isNotNull(), right))
 
 
-@query(f"""WITH {SETTLED} SELECT asset, institution, day::VARCHAR AS day, target, actual, round(abs_error + 1e-7, 4) AS abs_error, round(pct_error, 4) AS pct_error, correct,
+@query(f"""WITH {SETTLED} SELECT asset, institution, day::VARCHAR AS day, target, actual, abs_error, pct_error, correct,
 CASE WHEN actual IS NULL THEN 'no price in window' END AS reason FROM settled""")
 def forecast_settlement(spark: SparkSession, d: str) -> DataFrame:
-    r = ["target", "actual", F.round(F.col("abs_error") + 1e-7, 4).alias("abs_error"), F.round("pct_error", 4).alias("pct_error")]
+    r = ["target", "actual", "abs_error", "pct_error"]
     return settled(spark, d).select("asset", "institution", F.col("day").cast("string").alias("day"), *r, "correct", F.when(F.col("actual").isNull(), "no price in window").alias("reason"))
 
 
@@ -218,19 +224,19 @@ def institution_accuracy_wilson(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {TARGETS}, l AS (SELECT asset, institution, max_by(target, day) AS target FROM g GROUP BY ALL)
-SELECT asset, count(*) AS n, min(target) AS low, max(target) AS high, list_sort(list(target))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS median, round(avg(target) + 1e-8, 4) AS average FROM l GROUP BY asset HAVING count(*) >= 2""")
+SELECT asset, count(*) AS n, min(target) AS low, max(target) AS high, list_sort(list(target))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS median, round(avg(target), 9) AS average FROM l GROUP BY asset HAVING count(*) >= 2""")
 def target_distribution(spark: SparkSession, d: str) -> DataFrame:
     """Spread of the institutions' latest targets with the upper median; two institutions at least."""
     last = targets(spark, d).groupBy("asset", "institution").agg(F.max_by("target", "day").alias("target"))
     mid = ranked_values(last, ["asset"], "target", {"median": F.floor(F.col("n") / 2)}).drop("n")
-    g = last.groupBy("asset").agg(F.count("*").alias("n"), F.min("target").alias("low"), F.max("target").alias("high"), F.round(F.avg("target") + 1e-8, 4).alias("average"))
+    g = last.groupBy("asset").agg(F.count("*").alias("n"), F.min("target").alias("low"), F.max("target").alias("high"), F.round(F.avg("target"), 9).alias("average"))
     return g.where("n >= 2").join(mid, "asset").select("asset", "n", "low", "high", "median", "average")
 
 
-@query(f"""WITH {TARGETS} SELECT asset, day::VARCHAR AS day, round(median(target), 6) AS median, round(avg(target) + 1e-8, 4) AS mean, min(target) AS low, max(target) AS high, array_to_string(list(institution ORDER BY target DESC, institution), ',') AS contributors FROM g GROUP BY asset, day""")
+@query(f"""WITH {TARGETS} SELECT asset, day::VARCHAR AS day, median(target) AS median, round(avg(target), 9) AS mean, min(target) AS low, max(target) AS high, array_to_string(list(institution ORDER BY target DESC, institution), ',') AS contributors FROM g GROUP BY asset, day""")
 def forecast_aggregate_median(spark: SparkSession, d: str) -> DataFrame:
     g = targets(spark, d).groupBy("asset", F.col("day").cast("string").alias("day")).agg(
-        F.round(F.median("target"), 6).alias("median"), F.round(F.avg("target") + 1e-8, 4).alias("mean"), F.min("target").alias("low"), F.max("target").alias("high"),
+        F.median("target").alias("median"), F.round(F.avg("target"), 9).alias("mean"), F.min("target").alias("low"), F.max("target").alias("high"),
         F.sort_array(F.collect_list(F.struct((-F.col("target")).alias("t"), "institution"))).alias("c"),
     )  # at most one row per institution and month
     return g.withColumn("contributors", F.concat_ws(",", F.transform("c", lambda x: x["institution"].cast("string")))).drop("c")
@@ -245,13 +251,13 @@ def target_chain(spark: SparkSession, d: str) -> DataFrame:
     return g.where(F.col("prev").isNull() | (F.col("prev") != F.col("step"))).select("asset", "institution", F.col("day").cast("string").alias("day"), "step", "prev")
 
 
-@query("""WITH q AS (SELECT l_partkey % 20 AS asset, l_suppkey % 3 AS source, CAST(l_shipdate AS DATE) AS day, round(avg(l_extendedprice / l_quantity) + 2e-8, 6) AS price FROM lineitem GROUP BY ALL),
+@query("""WITH q AS (SELECT l_partkey % 20 AS asset, l_suppkey % 3 AS source, CAST(l_shipdate AS DATE) AS day, CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) / CAST(sum(CAST(l_quantity AS DECIMAL(18, 2))) AS DOUBLE) AS price FROM lineitem GROUP BY ALL),
 g AS (SELECT asset, source, min(day) AS a, max(day) AS b, min_by(price, day) AS first, max_by(price, day) AS last FROM q GROUP BY ALL)
 SELECT asset, source, a::VARCHAR AS first_day, b::VARCHAR AS last_day, round((last - first) / first * 100, 4) AS move_pct FROM g QUALIFY row_number() OVER (PARTITION BY asset ORDER BY b - a DESC, source) = 1""")
 def market_moves(spark: SparkSession, d: str) -> DataFrame:
     """Move from the first to the last price of a source; the source with the longest span speaks for the asset."""
     q = table(spark, d, "lineitem").groupBy((F.col("l_partkey") % 20).alias("asset"), (F.col("l_suppkey") % 3).alias("source"), F.to_date("l_shipdate").alias("day")).agg(
-        F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")) + 2e-8, 6).alias("price"))
+        mean_price().alias("price"))
     g = q.groupBy("asset", "source").agg(F.min("day").alias("a"), F.max("day").alias("b"), F.min_by("price", "day").alias("first"), F.max_by("price", "day").alias("last"))
     best = top_per_group(g, ["asset"], [F.desc(F.datediff("b", "a")), F.col("source")], 1)
     return best.select("asset", "source", F.col("a").cast("string").alias("first_day"), F.col("b").cast("string").alias("last_day"), F.round((F.col("last") - F.col("first")) / F.col("first") * 100, 4).alias("move_pct"))

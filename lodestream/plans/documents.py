@@ -163,16 +163,34 @@ def number_grounding(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""WITH b AS (SELECT item_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS q FROM benchmark), t AS (SELECT doc_id, lower(regexp_replace(text, '\s+', ' ', 'g')) AS x FROM documents) SELECT item_id, doc_id FROM b JOIN t ON contains(x, q)""")
 def quote_containment(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold a quote after folding blanks and case: the quote's first four whole words, hashed, find candidates; containment is then checked."""
+    """Documents that hold a quote after folding blanks and case."""
+    return quotes_in(docs(spark, d), table(spark, d, "benchmark"))
+
+
+def quotes_in(texts: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(item_id, doc_id) of the ``quotes(item_id, text)`` that ``texts(doc_id, text)`` contain, blanks and case folded.
+
+    The first and last word of a quote may be parts of longer ones in a text, so the words between them, four at most,
+    are hashed and looked up among the texts' word windows; containment is then checked. Quotes without such words
+    (a stated set) are tried on every text.
+    """
     fold = lambda c: F.lower(F.regexp_replace(c, r"\s+", " "))
-    head = lambda ws, i: F.xxhash64(F.slice(ws, i, 4))
-    b = table(spark, d, "benchmark").select("item_id", F.trim(fold(F.col("text"))).alias("q"))
-    b = b.select("item_id", "q", head(F.split("q", " "), F.lit(2)).alias("h"))  # from the second word on: the first may be the end of a longer one
-    t = docs(spark, d).select("doc_id", fold(F.col("text")).alias("x"))
+    b = quotes.select("item_id", F.trim(fold(F.col("text"))).alias("q")).where("q <> ''").withColumn("ws", F.split("q", " "))
+    b = b.withColumn("k", F.least(F.size("ws") - 2, F.lit(4))).withColumn("h", F.when(F.col("k") >= 1, F.xxhash64(F.slice("ws", F.lit(2), F.greatest("k", F.lit(1))))))
+    t = texts.where("text IS NOT NULL").select("doc_id", fold(F.col("text")).alias("x"))
+    sizes = sorted(r["k"] for r in b.select("k").distinct().collect())  # six values at most
     ws = t.select("doc_id", F.split("x", " ").alias("ws"))
-    hs = ws.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("ws") - 3, F.lit(1))), lambda i: head(F.col("ws"), i)))).alias("h"))
-    found = hs.join(b.select("item_id", "h"), "h").select("doc_id", "item_id").distinct()
-    return found.join(t, "doc_id").join(b.select("item_id", "q"), "item_id").where(F.contains("x", F.col("q"))).select("item_id", "doc_id")
+    window = lambda k: lambda i: F.xxhash64(F.slice("ws", i, k))
+    each = [F.when(F.size("ws") >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.size("ws") - (k - 1), F.lit(1))), window(k))).otherwise(F.array().cast("array<bigint>")) for k in sizes if k >= 1]
+    out = []
+    if each:
+        hs = ws.select("doc_id", F.explode(F.array_distinct(F.concat(*each))).alias("h"))
+        found = hs.join(b.where("k >= 1").select("item_id", "h"), "h").select("doc_id", "item_id").distinct()
+        out.append(found.join(t.join(found.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id").join(b.select("item_id", "q"), "item_id").where(F.contains("x", F.col("q"))).select("item_id", "doc_id"))
+    if any(k < 1 for k in sizes):
+        short = b.where("k < 1").select("item_id", "q")
+        out.append(t.join(short, F.contains("x", F.col("q"))).select("item_id", "doc_id"))
+    return out[0] if len(out) == 1 else out[0].union(out[1]) if out else t.select(F.lit(None).cast("long").alias("item_id"), "doc_id").where("false")
 
 
 _TOPIC_SQL = " UNION ALL ".join(f"SELECT '{k}' AS topic, doc_id, source, lang FROM documents WHERE regexp_matches(lower(text), '{p}')" for k, p in TOPICS.items())
@@ -224,7 +242,7 @@ ROBOTS = [("allow", "/en/"), ("disallow", "/en/7"), ("disallow", "/fr/*1$"), ("d
 
 
 @query("""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages), r(verdict, pattern, regex) AS (VALUES ('allow', '/en/', '^/en/'), ('disallow', '/en/7', '^/en/7'), ('disallow', '/fr/*1$', '^/fr/.*1$'), ('disallow', '/de/', '^/de/'), ('allow', '/de/*5', '^/de/.*5')),
-m AS (SELECT page_id, max(CASE WHEN verdict = 'allow' THEN length(pattern) ELSE -1 END) AS a, max(CASE WHEN verdict = 'disallow' THEN length(pattern) ELSE -1 END) AS x FROM p JOIN r ON regexp_matches(path, regex) GROUP BY 1)
+m AS (SELECT page_id, max(CASE WHEN verdict = 'allow' THEN length(rtrim(pattern, '$')) ELSE -1 END) AS a, max(CASE WHEN verdict = 'disallow' THEN length(rtrim(pattern, '$')) ELSE -1 END) AS x FROM p JOIN r ON regexp_matches(path, regex) GROUP BY 1)
 SELECT p.page_id, path, coalesce(a >= x, true) AS allowed FROM p LEFT JOIN m USING (page_id)""")
 def robots_longest_match(spark: SparkSession, d: str) -> DataFrame:
     """The longest rule decides, allow wins ties; rules are a given list, so they are one expression per row."""

@@ -143,14 +143,14 @@ def polymorphic_target(spark: SparkSession, d: str) -> DataFrame:
     return e.join(c, "c", "left").join(s, "s", "left").select("event_id", F.coalesce("c_name", "s_name").alias("name"), F.when(F.col("c_name").isNotNull(), "customer").when(F.col("s_name").isNotNull(), "supplier").alias("kind"))
 
 
-@query("""SELECT a.l_partkey AS partkey, a.l_suppkey AS suppkey, b.l_suppkey AS peer FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_partkey <= 200) a JOIN (SELECT l_partkey, l_suppkey, max(l_shipdate) AS t FROM lineitem WHERE l_partkey <= 200 GROUP BY ALL) b ON a.l_partkey = b.l_partkey AND a.l_suppkey <> b.l_suppkey
+@query("""SELECT a.l_partkey AS partkey, a.l_suppkey AS suppkey, b.l_suppkey AS peer FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) a JOIN (SELECT l_partkey, l_suppkey, max(l_shipdate) AS t FROM lineitem GROUP BY ALL) b ON a.l_partkey = b.l_partkey AND a.l_suppkey <> b.l_suppkey
 QUALIFY row_number() OVER (PARTITION BY a.l_partkey, a.l_suppkey ORDER BY t DESC, b.l_suppkey) <= 3""")
 def same_asset_peers(spark: SparkSession, d: str) -> DataFrame:
     """The three newest peers of each supplier of a part, itself left out.
 
     The newest four suppliers of a part hold them for everyone, so no pair of all suppliers of a part is made.
     """
-    last = table(spark, d, "lineitem").where("l_partkey <= 200").groupBy("l_partkey", "l_suppkey").agg(F.max("l_shipdate").alias("t"))
+    last = table(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.max("l_shipdate").alias("t"))
     top = top_per_group(last, ["l_partkey"], [F.desc("t"), F.col("l_suppkey")], 4, "r").select("l_partkey", F.col("l_suppkey").alias("peer"), "t")
     pairs = last.select("l_partkey", "l_suppkey").join(top, "l_partkey").where("l_suppkey <> peer")
     return top_per_group(pairs, ["l_partkey", "l_suppkey"], [F.desc("t"), F.col("peer")], 3).select(F.col("l_partkey").alias("partkey"), F.col("l_suppkey").alias("suppkey"), "peer")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestream.functions.scalar import backoff_minutes, horizon_end, period_start
+from lodestream.functions.scalar import backoff_minutes, horizon_end, horizon_text, period_start
 from lodestream.operators.relational import latest_per_key
 from lodestream.plans.base import query
 from lodestream.session import table
@@ -114,12 +114,19 @@ def weekly_schedule_exceptions(spark: SparkSession, d: str) -> DataFrame:
     return s.join(x, "day", "left").where("hit IS NULL OR moved IS NOT NULL").select(F.col("day").cast("string").alias("planned"), F.coalesce("moved", "day").cast("string").alias("held"))
 
 
-@query("""WITH t AS (SELECT o_orderkey, o_orderdate::DATE AS start, CASE o_orderkey % 6 WHEN 0 THEN '3M' WHEN 1 THEN '2 weeks' WHEN 2 THEN 'end of 2001' WHEN 3 THEN '1998-Q3' WHEN 4 THEN 'near term' ELSE 'soon' END AS horizon FROM orders)
-SELECT o_orderkey, horizon, CASE o_orderkey % 6 WHEN 0 THEN (start + INTERVAL 3 MONTH)::DATE WHEN 1 THEN start + 14 WHEN 2 THEN DATE '2001-12-31' WHEN 3 THEN DATE '1998-09-30' WHEN 4 THEN (start + INTERVAL 3 MONTH)::DATE END::VARCHAR AS due FROM t""")
+HORIZONS = ["3M", "2 Weeks", "end of 2001", "1998-Q3", "near term", "soon", "3-6 months", "H2 1997", "July", "July 1996", "2001-02", "long_term"]
+
+
+@query(f"""WITH t AS (SELECT o_orderkey, o_orderdate::DATE AS start, {HORIZONS}[o_orderkey % {len(HORIZONS)} + 1] AS horizon FROM orders), p AS (SELECT *, lower(horizon) AS h, try_cast(nullif(regexp_extract(lower(horizon), '([0-9]{{4}})', 1), '') AS INT) AS y, try_cast(nullif(regexp_extract(lower(horizon), '^([0-9]{{1,3}})', 1), '') AS INT) AS n FROM t),
+x AS (SELECT *, CASE WHEN regexp_matches(h, '^end of [0-9]{{4}}$') THEN make_date(y, 12, 31) WHEN regexp_matches(h, '^[0-9]{{4}}-q[1-4]$') THEN last_day(make_date(y, right(h, 1)::INT * 3, 1)) WHEN regexp_matches(h, '^h[12] [0-9]{{4}}$') THEN last_day(make_date(y, substr(h, 2, 1)::INT * 6, 1))
+WHEN regexp_matches(h, '^[0-9]{{4}}-[0-9]{{2}}$') THEN last_day(make_date(y, right(h, 2)::INT, 1)) WHEN regexp_matches(h, '^[a-z]+ [0-9]{{4}}$') THEN last_day(strptime('1 ' || h, '%d %B %Y')::DATE)
+WHEN h = 'july' THEN CASE WHEN make_date(year(start), 7, 31) > start THEN make_date(year(start), 7, 31) ELSE make_date(year(start) + 1, 7, 31) END END AS named,
+CASE WHEN regexp_matches(h, '^[0-9]+m$') THEN n * 30 WHEN regexp_matches(h, '^[0-9]+ weeks$') THEN n * 7 WHEN regexp_matches(h, '^[0-9]+-[0-9]+ months$') THEN (n + regexp_extract(h, '-([0-9]+)', 1)::INT) * 15 WHEN h = 'near term' THEN 30 WHEN h = 'long_term' THEN 365 END AS days FROM p)
+SELECT o_orderkey, horizon, CASE WHEN named IS NOT NULL THEN CASE WHEN named > start THEN named END ELSE start + days END::VARCHAR AS due FROM x""")
 def horizon_parse(spark: SparkSession, d: str) -> DataFrame:
-    texts = F.array(*[F.lit(x) for x in ("3M", "2 weeks", "end of 2001", "1998-Q3", "near term", "soon")])
-    o = table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("start"), F.element_at(texts, (F.col("o_orderkey") % 6 + 1).cast("int")).alias("horizon"))
-    return o.select("o_orderkey", "horizon", horizon_end(F.col("start"), F.col("horizon")).cast("string").alias("due"))
+    texts = F.array(*[F.lit(x) for x in HORIZONS])
+    o = table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("start"), F.element_at(texts, (F.col("o_orderkey") % len(HORIZONS) + 1).cast("int")).alias("horizon"))
+    return o.withColumn("h", horizon_text(F.col("horizon"))).select("o_orderkey", "horizon", horizon_end(F.col("start"), F.col("h")).cast("string").alias("due"))
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y') WHEN 1 THEN strftime(o_orderdate, '%Y') || '-Q' || quarter(o_orderdate) WHEN 2 THEN strftime(o_orderdate, '%Y-%m') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS period,

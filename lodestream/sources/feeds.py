@@ -6,7 +6,7 @@ number of files is parsed in parallel; malformed payloads give no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestream.functions.scalar import decimal_text, period_start
@@ -25,19 +25,19 @@ def bls_series(raw: DataFrame, text: str, fetched: str) -> DataFrame:
     rows = rows.select(F.col("s.seriesID").alias("series"), F.explode("s.data").alias("d"), "vintage").where(F.col("d.period").rlike("^M(0[1-9]|1[0-2])$"))
     early = F.exists(F.coalesce("d.footnotes", F.array().cast("array<struct<code:string>>")), lambda f: f["code"] == "P")
     period = F.concat("d.year", F.lit("-"), F.substring("d.period", 2, 2))
-    return _series(rows.select("series", period_start(period).alias("period"), decimal_text(F.col("d.value")).alias("value"), F.when(early, "PRELIMINARY").otherwise("FINAL").alias("status"), "vintage"))
+    return _series(rows.select("series", period_start(period).alias("period"), decimal_text(F.col("d.value")).alias("value"), F.when(early, "PRELIMINARY").otherwise("PUBLISHED").alias("status"), "vintage"))
 
 
 def fred_series(raw: DataFrame, text: str, series: str) -> DataFrame:
     """Observations whose realtime start is the vintage; ``.`` is a missing value."""
     rows = raw.select(F.col(series).alias("series"), F.explode(F.from_json(text, "observations ARRAY<STRUCT<realtime_start: STRING, date: STRING, value: STRING>>")["observations"]).alias("o"))
-    return _series(rows.select("series", period_start(F.col("o.date")).alias("period"), decimal_text(F.col("o.value")).alias("value"), F.lit("FINAL").alias("status"), F.col("o.realtime_start").try_cast("timestamp").alias("vintage")))
+    return _series(rows.select("series", period_start(F.col("o.date")).alias("period"), decimal_text(F.col("o.value")).alias("value"), F.lit("PUBLISHED").alias("status"), F.col("o.realtime_start").try_cast("timestamp").alias("vintage")))
 
 
 def eia_series(raw: DataFrame, text: str, series: str, fetched: str) -> DataFrame:
     """Rows of the asked series; others are dropped."""
     rows = raw.select(F.col(series).alias("series"), F.explode(F.from_json(text, "response STRUCT<data: ARRAY<STRUCT<period: STRING, series: STRING, value: STRING, units: STRING>>>")["response"]["data"]).alias("o"), F.col(fetched).alias("vintage"))
-    return _series(rows.where("o.series = series").select("series", period_start(F.col("o.period")).alias("period"), decimal_text(F.col("o.value")).alias("value"), F.lit("FINAL").alias("status"), "vintage"))
+    return _series(rows.where("o.series = series").select("series", period_start(F.col("o.period")).alias("period"), decimal_text(F.col("o.value")).alias("value"), F.lit("PUBLISHED").alias("status"), "vintage"))
 
 
 def bea_series(raw: DataFrame, text: str, line: str, fetched: str) -> DataFrame:
@@ -47,7 +47,7 @@ def bea_series(raw: DataFrame, text: str, line: str, fetched: str) -> DataFrame:
     t = F.col("o.TimePeriod")
     month = F.concat(F.substring(t, 1, 4), F.lit("-"), F.lpad(F.regexp_extract(t, r"M(\d{1,2})$", 1), 2, "0"))
     period = F.when(t.rlike(r"^\d{4}M\d{1,2}$"), month).when(t.rlike(r"^\d{4}Q[1-4]$"), F.concat(F.substring(t, 1, 4), F.lit("-"), F.substring(t, 5, 2))).otherwise(t)
-    return _series(rows.select(F.col("o.TableName").alias("series"), period_start(period).alias("period"), decimal_text(F.col("o.DataValue")).alias("value"), F.lit("FINAL").alias("status"), "vintage"))
+    return _series(rows.select(F.col("o.TableName").alias("series"), period_start(period).alias("period"), decimal_text(F.col("o.DataValue")).alias("value"), F.lit("PUBLISHED").alias("status"), "vintage"))
 
 
 def market_quotes(raw: DataFrame, text: str) -> DataFrame:
@@ -84,13 +84,22 @@ def read_sdmx(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(dimensions.alias("dimensions"), period_start(F.col("TIME_PERIOD")).alias("period"), decimal_text(F.col("OBS_VALUE")).alias("value"), have("OBS_STATUS").alias("status"), have("UNIT_MEASURE").alias("unit")).where("value IS NOT NULL AND period IS NOT NULL")
 
 
-def ical_events(raw: DataFrame, text: str) -> DataFrame:
-    """(summary, starts) of calendar files: folded lines are joined, then events split."""
+def ical_events(raw: DataFrame, text: str, zone: str = "America/New_York", day_time: str = "08:30:00") -> DataFrame:
+    """(uid, summary, starts, status) of calendar files: folded lines are joined, then events split.
+
+    Times with Z are UTC, others are wall-clock times of ``zone``; a day alone is at ``day_time`` there. Events
+    without a uid or a start are left out; a status other than CANCELLED is SCHEDULED.
+    """
     flat = F.regexp_replace(F.col(text), r"\r?\n[ \t]", "")
     rows = raw.select(F.explode(F.slice(F.split(flat, "BEGIN:VEVENT"), F.lit(2), F.lit(1_000_000))).alias("e"))
-    start = F.regexp_extract("e", r"DTSTART[^:\n]*:(\d{8}(?:T\d{6}Z?)?)", 1)
-    ts = F.coalesce(F.try_to_timestamp(F.regexp_replace(start, "Z$", ""), F.lit("yyyyMMdd'T'HHmmss")), F.try_to_timestamp(start, F.lit("yyyyMMdd")))
-    return rows.select(F.trim(F.regexp_extract("e", r"SUMMARY[^:\n]*:([^\r\n]*)", 1)).alias("summary"), ts.alias("starts")).where("starts IS NOT NULL")
+    field = lambda name: F.trim(F.regexp_extract("e", rf"(?m)^{name}(?:;[^:\n]*)?:([^\r\n]*)", 1))
+    start = field("DTSTART")
+    full = F.when(start.rlike(r"^\d{8}$"), F.concat(start, F.lit("T"), F.lit(day_time.replace(":", "")))).otherwise(F.regexp_replace(start, "Z$", ""))
+    full = F.when(full.rlike(r"T\d{4}$"), F.concat(full, F.lit("00"))).otherwise(full)
+    ts = F.try_to_timestamp(full, F.lit("yyyyMMdd'T'HHmmss"))
+    starts = F.when(start.endswith("Z"), ts).otherwise(F.to_utc_timestamp(ts, zone))
+    status = F.when(field("STATUS") == "CANCELLED", "CANCELLED").otherwise("SCHEDULED")
+    return rows.select(field("UID").alias("uid"), field("SUMMARY").alias("summary"), starts.alias("starts"), status.alias("status")).where("starts IS NOT NULL AND uid <> ''")
 
 
 def sitemap_urls(raw: DataFrame, text: str) -> DataFrame:
@@ -112,18 +121,23 @@ def rss_items(raw: DataFrame, text: str) -> DataFrame:
 
 
 def robots_rules(raw: DataFrame, text: str, host: str) -> DataFrame:
-    """(host, agent, verdict, pattern) of robots files: groups of agents followed by their rules."""
+    """(host, agent, verdict, pattern, crawl_delay) of robots files: groups of agents followed by their rules.
+
+    Rules before any agent belong to ``*``. An agent whose group has no rule (an empty Disallow is none) has one row
+    without a verdict: it is allowed everything and does not fall back to ``*``.
+    """
     lines = raw.select(F.col(host).alias("host"), F.posexplode(F.split(F.col(text), r"\r?\n")).alias("pos", "line"))
     line = F.trim(F.regexp_replace("line", "#.*", ""))
-    rows = lines.select("host", "pos", F.lower(F.trim(F.regexp_extract(line, "^([A-Za-z-]+)\\s*:", 1))).alias("k"), F.trim(F.regexp_extract(line, "^[A-Za-z-]+\\s*:(.*)$", 1)).alias("v")).where("k IN ('user-agent', 'allow', 'disallow')")
-    from pyspark.sql import Window
-
+    rows = lines.select("host", "pos", F.lower(F.trim(F.regexp_extract(line, "^([A-Za-z-]+)\\s*:", 1))).alias("k"), F.trim(F.regexp_extract(line, "^[A-Za-z-]+\\s*:(.*)$", 1)).alias("v"))
+    rows = rows.where("k IN ('user-agent', 'allow', 'disallow', 'crawl-delay')")
     w = Window.partitionBy("host").orderBy("pos")  # one file's lines
     opens = (F.col("k") == "user-agent") & (F.coalesce(F.lag("k").over(w), F.lit("")) != "user-agent")
     rows = rows.withColumn("group_no", F.sum(opens.cast("int")).over(w))
-    agents = rows.where("k = 'user-agent'").select("host", "group_no", F.lower("v").alias("agent"))
-    rules = rows.where("k <> 'user-agent' AND v <> ''").select("host", "group_no", F.col("k").alias("verdict"), F.col("v").alias("pattern"))
-    return agents.join(rules, ["host", "group_no"]).select("host", "agent", "verdict", "pattern")
+    early = rows.where("group_no = 0 AND k IN ('allow', 'disallow')").select("host", "group_no", F.lit("*").alias("agent")).distinct()
+    agents = rows.where("k = 'user-agent'").select("host", "group_no", F.lower("v").alias("agent")).union(early)
+    rules = rows.where("k IN ('allow', 'disallow') AND NOT (k = 'disallow' AND v = '')").select("host", "group_no", F.col("k").alias("verdict"), F.col("v").alias("pattern"))
+    delay = rows.where("k = 'crawl-delay' AND group_no > 0").groupBy("host", "group_no").agg(F.max_by(F.col("v").try_cast("double"), "pos").alias("crawl_delay"))
+    return agents.join(rules, ["host", "group_no"], "left").join(delay, ["host", "group_no"], "left").select("host", "agent", "verdict", "pattern", "crawl_delay")
 
 
 def policy_range(text: Column) -> tuple[Column, Column]:

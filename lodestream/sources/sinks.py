@@ -50,22 +50,28 @@ def change_only(snapshots: DataFrame, fresh: DataFrame, keys: Sequence[str], ord
 
 
 def revised(stored: DataFrame, arrivals: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Appends and conflicts of arriving observations (value, status, vintage) against the latest stored revision.
+    """Appends and conflicts of arriving observations (value, status, vintage) against all stored revisions.
 
-    Equal value and status: unchanged. A later vintage: next revision number. An
-    earlier or equal vintage with another value: a conflict.
+    The same vintage is unchanged if value and status are equal, else a conflict. For other vintages the latest
+    revision counts: equal value and status are unchanged, whatever the vintage; a later vintage gets the next
+    revision number; an earlier one is a conflict.
     """
-    last = latest_per_key(stored.select(*keys, "value", "status", "vintage", "revision_no"), keys, ["revision_no"])
-    j = arrivals.join(last.select(*keys, F.struct("value", "status", "vintage", "revision_no").alias("_s")), list(keys), "left")
+    held = stored.select(*keys, "vintage", F.struct("value", "status").alias("_x"))
+    told = F.struct("value", "status")
+    known = arrivals.join(held, [*keys, "vintage"], "left")
+    clash = known.where(F.col("_x").isNotNull() & ~F.col("_x").eqNullSafe(told)).select(*arrivals.columns)
+    last = latest_per_key(stored.select(*keys, "value", "status", "vintage", "revision_no"), keys, ["vintage"])
+    j = known.where("_x IS NULL").drop("_x").join(last.select(*keys, F.struct("value", "status", "vintage", "revision_no").alias("_s")), list(keys), "left")
     w = Window.partitionBy(*keys).orderBy("vintage")
     # Each arrival is held against the one before it, the first against the store.
     before = F.coalesce(F.lag(F.struct("value", "status", "vintage")).over(w), F.when(F.col("_s").isNotNull(), F.struct("_s.value", "_s.status", "_s.vintage")))
     j = j.withColumn("_b", before)
     same = F.col("_b").isNotNull() & F.col("_b.value").eqNullSafe(F.col("value")) & F.col("_b.status").eqNullSafe(F.col("status"))
-    late = F.col("_b").isNotNull() & ~same & (F.col("vintage") <= F.col("_b.vintage"))
+    same = same | (F.col("_s").isNotNull() & F.struct("_s.value", "_s.status").eqNullSafe(told) & (F.col("vintage") < F.col("_s.vintage")))
+    late = F.col("_b").isNotNull() & ~same & ((F.col("vintage") <= F.col("_b.vintage")) | (F.col("_s").isNotNull() & (F.col("vintage") < F.col("_s.vintage"))))
     base = F.coalesce(F.col("_s.revision_no") + 1, F.lit(0))
     fresh = j.where(~same & ~late).withColumn("revision_no", (base + F.row_number().over(w) - 1).cast("long"))
-    return fresh.select(*arrivals.columns, "revision_no"), j.where(late).select(*arrivals.columns)
+    return fresh.select(*arrivals.columns, "revision_no"), j.where(late).select(*arrivals.columns).unionByName(clash)
 
 
 def replace_if_better(current: DataFrame, fresh: DataFrame, key: str, text: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """Operators and helpers on small cases with known answers."""
 
 import datetime as dt
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodestream.functions.scalar import change, decimal_text, half_up, horizon_end, local_to_utc, period_start, rate, strict_sum, wilson
+from lodestream.functions.scalar import change, decimal_text, half_up, horizon_end, horizon_text, local_to_utc, period_start, rate, strict_sum, wilson
 from lodestream.operators.relational import asof_backward, asof_within, changed_only, keyset_page, latest_per_key, ranked_values, sessions
 from lodestream.operators.text import bigram_dice, canonical_url, robots_verdict, sentences
 
@@ -36,9 +37,10 @@ def test_wilson(spark):
     assert one(spark, low, a=0.0, b=0.0) is None
 
 
-@pytest.mark.parametrize("text,want", [("1,234.5", 1234.5), ("(2.5)", -2.5), ("−3", -3.0), (".", None), ("-", None), ("N/A", None), ("1e-30", 1e-30), ("abc", None), (None, None)])
+@pytest.mark.parametrize("text,want", [("1,234.5", 1234.5), ("(2.5)", -2.5), ("−3", -3.0), (".", None), ("-", None), ("N/A", None), ("1e-3", 0.001), ("..", None), ("None", None), ("na", None), ("0.1", 0.1), ("abc", None), (None, None)])
 def test_decimal_text(spark, text, want):
-    assert one(spark, decimal_text(F.col("x")), x=text) == want
+    got = one(spark, decimal_text(F.col("x")), x=text)
+    assert (got is None) == (want is None) and (got is None or got == Decimal(str(want)))
 
 
 @pytest.mark.parametrize("text,want", [("2026-Q3", dt.date(2026, 7, 1)), ("2026", dt.date(2026, 1, 1)), ("2026-05", dt.date(2026, 5, 1)), ("2026-05-09", dt.date(2026, 5, 9)), ("2026-13", None), ("May", None)])
@@ -46,9 +48,9 @@ def test_period_start(spark, text, want):
     assert one(spark, period_start(F.col("x")), x=text) == want
 
 
-@pytest.mark.parametrize("text,want", [("3M", dt.date(2026, 4, 1)), ("2 weeks", dt.date(2026, 1, 15)), ("end of 2027", dt.date(2027, 12, 31)), ("2026-Q2", dt.date(2026, 6, 30)), ("YE26", dt.date(2026, 12, 31)), ("soon", None)])
+@pytest.mark.parametrize("text,want", [("3M", dt.date(2026, 4, 1)), ("2 weeks", dt.date(2026, 1, 15)), ("end of 2027", dt.date(2027, 12, 31)), ("2026-Q2", dt.date(2026, 6, 30)), ("Year-end", dt.date(2026, 12, 31)), ("soon", None), ("2-4 months (base case)", dt.date(2026, 4, 1)), ("q1 2027", dt.date(2027, 3, 31)), ("2025", None), ("March", dt.date(2026, 3, 31)), ("2026/2/3", dt.date(2026, 2, 3)), ("mid-term", dt.date(2026, 4, 1)), (None, None), ("over time", None), ("H1 2028", dt.date(2028, 6, 30))])
 def test_horizon_end(spark, text, want):
-    assert one(spark, horizon_end(F.lit("2026-01-01").cast("date"), F.col("x")), x=text) == want
+    assert one(spark, horizon_end(F.lit("2026-01-01").cast("date"), horizon_text(F.col("x"))), x=text) == want
 
 
 def test_local_to_utc(spark):

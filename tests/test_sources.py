@@ -2,9 +2,12 @@
 
 import datetime as dt
 import json
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from lodestream.operators.text import robots_verdict
+from lodestream.plans.documents import quotes_in
 from lodestream.sources import feeds, html, sinks
 from lodestream.streaming import jobs
 
@@ -14,11 +17,11 @@ def text(spark, *values):
 
 
 def test_series(spark):
-    bls = json.dumps({"Results": {"series": [{"seriesID": "X", "data": [{"year": "2026", "period": "M01", "value": "1,000.5", "footnotes": [{"code": "P"}]}, {"year": "2025", "period": "M13", "value": "9", "footnotes": []}]}]}})
+    bls = json.dumps({"Results": {"series": [{"seriesID": "X", "data": [{"year": "2026", "period": "M01", "value": "1,000.5", "footnotes": [{"code": "P"}]}, {"year": "2025", "period": "M12", "value": "..", "footnotes": []}, {"year": "2025", "period": "M11", "value": "2", "footnotes": []}, {"year": "2025", "period": "M13", "value": "9", "footnotes": []}]}]}})
     got = feeds.bls_series(text(spark, bls, "not json"), "raw", "fetched").collect()
-    assert [(r.series, r.period, r.value, r.status) for r in got] == [("X", dt.date(2026, 1, 1), 1000.5, "PRELIMINARY")]
+    assert [(r.series, r.period, r.value, r.status) for r in got] == [("X", dt.date(2026, 1, 1), Decimal("1000.5"), "PRELIMINARY"), ("X", dt.date(2025, 11, 1), 2, "PUBLISHED")]
     fred = json.dumps({"observations": [{"realtime_start": "2026-02-01", "date": "2026-01-01", "value": "3.1"}, {"realtime_start": "2026-02-01", "date": "2025-12-01", "value": "."}]})
-    assert [r.value for r in feeds.fred_series(text(spark, fred), "raw", "series").collect()] == [3.1]
+    assert [r.value for r in feeds.fred_series(text(spark, fred), "raw", "series").collect()] == [Decimal("3.1")]
     eia = json.dumps({"response": {"data": [{"period": "2026-01-02", "series": "S", "value": "5", "units": "x"}, {"period": "2026-01-02", "series": "T", "value": "6", "units": "x"}]}})
     assert [r.value for r in feeds.eia_series(text(spark, eia), "raw", "series", "fetched").collect()] == [5.0]
     bea = json.dumps({"BEAAPI": {"Results": {"Data": [{"TableName": "T", "LineNumber": "1", "TimePeriod": "2026M5", "DataValue": "7"}, {"TableName": "T", "LineNumber": "1", "TimePeriod": "2026Q2", "DataValue": "8"}, {"TableName": "T", "LineNumber": "2", "TimePeriod": "2026", "DataValue": "9"}]}}})
@@ -26,19 +29,20 @@ def test_series(spark):
 
 
 def test_text_feeds(spark):
-    ical = "BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nSUMMARY:Jobs \r\n report\r\nDTSTART;TZID=x:20260109T133000Z\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nSUMMARY:Day\r\nDTSTART;VALUE=DATE:20260110\r\nEND:VEVENT\r\n"
-    assert sorted((r.summary, str(r.starts)) for r in feeds.ical_events(text(spark, ical), "raw").collect()) == [("Day", "2026-01-10 00:00:00"), ("Jobs report", "2026-01-09 13:30:00")]
+    ical = "BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nUID:u1\r\nSUMMARY:Jobs \r\n report\r\nDTSTART;TZID=x:20260109T133000Z\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nUID:u2\r\nSUMMARY:Day\r\nDTSTART;VALUE=DATE:20260710\r\nSTATUS:CANCELLED\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nUID:u3\r\nSUMMARY:Local\r\nDTSTART:20260110T0900\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nSUMMARY:No id\r\nDTSTART:20260110T0900\r\nEND:VEVENT\r\n"
+    assert sorted((r.uid, r.summary, str(r.starts), r.status) for r in feeds.ical_events(text(spark, ical), "raw").collect()) == [("u1", "Jobs report", "2026-01-09 13:30:00", "SCHEDULED"), ("u2", "Day", "2026-07-10 12:30:00", "CANCELLED"), ("u3", "Local", "2026-01-10 14:00:00", "SCHEDULED")]
     smap = "<urlset><url><loc>http://a/?x=1&amp;y=2</loc><lastmod>2026-01-02T00:00:00Z</lastmod></url><url><loc> http://b </loc></url></urlset>"
     assert [(r.kind, r.url, r.lastmod) for r in feeds.sitemap_urls(text(spark, smap), "raw").collect()] == [("url", "http://a/?x=1&y=2", dt.date(2026, 1, 2)), ("url", "http://b", None)]
     rss = "<rss><item><title><![CDATA[A & B]]></title><link>http://x</link><pubDate>Fri, 09 Jan 2026 10:00:00 GMT</pubDate></item></rss>"
     r = feeds.rss_items(text(spark, rss), "raw").first()
     assert (r.title, r.link, str(r.published)) == ("A & B", "http://x", "2026-01-09 10:00:00")
-    robots = "User-agent: a\nUser-agent: b\nDisallow: /x # no\nAllow: /x/y\n\nUser-agent: *\nDisallow: /\n"
+    robots = "Allow: /first\nUser-agent: a\nUser-agent: b\nDisallow: /x # no\nAllow: /x/y\nCrawl-delay: 2.5\n\nUser-agent: free\nDisallow:\n\nUser-agent: *\nDisallow: /\n"
     got = feeds.robots_rules(text(spark, robots).withColumn("host", F.lit("h")), "raw", "host").collect()
-    assert sorted((x.agent, x.verdict, x.pattern) for x in got) == [("*", "disallow", "/"), ("a", "allow", "/x/y"), ("a", "disallow", "/x"), ("b", "allow", "/x/y"), ("b", "disallow", "/x")]
+    assert {x.agent for x in got if x.crawl_delay == 2.5} == {"a", "b"}
+    assert sorted((x.agent, x.verdict or "", x.pattern or "") for x in got) == [("*", "allow", "/first"), ("*", "disallow", "/"), ("a", "allow", "/x/y"), ("a", "disallow", "/x"), ("b", "allow", "/x/y"), ("b", "disallow", "/x"), ("free", "", "")]
     low, high = feeds.policy_range(F.col("raw"))
-    rows = text(spark, "the target range at 5-1/4 to 5-1/2 percent", "raise to 0 to 1/4 percent", "to 3 to 2 percent", "none").select(low.alias("l"), high.alias("h")).collect()
-    assert [(r.l, r.h) for r in rows] == [(5.25, 5.5), (0.0, 0.25), (None, None), (None, None)]
+    rows = text(spark, "keep the rate at 2-3/8 to 2-5/8 percent for now", "moved to 0 to 1/8 percent", "to 3 to 2 percent", "none").select(low.alias("l"), high.alias("h")).collect()
+    assert [(r.l, r.h) for r in rows] == [(2.375, 2.625), (0.0, 0.125), (None, None), (None, None)]
     cal = json.dumps([{"title": "a", "date": "2026-01-01T08:00:00-05:00"}, {"title": "b", "date": "2026-01-01T08:00:00"}])
     assert [(r.title, str(r.ts)) for r in feeds.calendar_feed(text(spark, cal), "raw").collect()] == [("a", "2026-01-01 13:00:00")]
     assert [str(r.to_day) for r in feeds.year_chunks(spark, "2024-01-01", "2025-06-30").collect()] == ["2024-12-31", "2025-06-30"]
@@ -76,12 +80,29 @@ def test_sinks(spark, tmp_path):
 
 
 def test_revisions(spark):
-    stored = spark.createDataFrame([("s", "p", 314.1, "F", "2026-01-01", 0)], "series string, period string, value double, status string, vintage string, revision_no long")
-    arrivals = spark.createDataFrame([("s", "p", 314.1, "F", "2026-01-02"), ("s", "p", 314.2, "F", "2026-01-03"), ("s", "p", 314.25, "F", "2026-01-04"), ("s", "q", 1.0, "F", "2026-01-01")], "series string, period string, value double, status string, vintage string")
+    stored = spark.createDataFrame([("s", "p", 7.5, "F", "2026-01-01", 0), ("s", "r", 1.0, "F", "2026-01-01", 0), ("s", "r", 2.0, "F", "2026-01-05", 1)], "series string, period string, value double, status string, vintage string, revision_no long")
+    arrivals = spark.createDataFrame([("s", "p", 7.5, "F", "2026-01-02"), ("s", "p", 8.5, "F", "2026-01-03"), ("s", "p", 8.75, "F", "2026-01-04"), ("s", "q", 1.0, "F", "2026-01-01")], "series string, period string, value double, status string, vintage string")
     new, bad = sinks.revised(stored, arrivals, ["series", "period"])
-    assert sorted((r.period, r.value, r.revision_no) for r in new.collect()) == [("p", 314.2, 1), ("p", 314.25, 2), ("q", 1.0, 0)] and bad.count() == 0
+    assert sorted((r.period, r.value, r.revision_no) for r in new.collect()) == [("p", 8.5, 1), ("p", 8.75, 2), ("q", 1.0, 0)] and bad.count() == 0
     _, bad = sinks.revised(stored, spark.createDataFrame([("s", "p", 9.0, "F", "2025-12-01")], arrivals.schema), ["series", "period"])
     assert bad.count() == 1
+    old = [("s", "r", 1.0, "F", "2026-01-01"), ("s", "r", 2.0, "F", "2026-01-02"), ("s", "r", 3.0, "F", "2026-01-05"), ("s", "r", 3.0, "F", "2026-01-04")]
+    new, bad = sinks.revised(stored, spark.createDataFrame(old, arrivals.schema), ["series", "period"])
+    assert new.count() == 0 and sorted(r.vintage for r in bad.collect()) == ["2026-01-04", "2026-01-05"]
+
+
+def test_quotes(spark):
+    texts = spark.createDataFrame([(1, "He said: To  be, or\nnot to be."), (2, "nothing"), (3, None), (4, "endsing well enough here today")], "doc_id long, text string")
+    quotes = spark.createDataFrame([(1, "to be, or not to be"), (2, "or not"), (3, "be, or not"), (4, "ends"), (5, ""), (6, None), (7, "well enough here today"), (8, "ing well enough here tod")], "item_id long, text string")
+    assert sorted((r.item_id, r.doc_id) for r in quotes_in(texts, quotes).collect()) == [(1, 1), (2, 1), (3, 1), (4, 4), (7, 4), (8, 4)]
+    assert quotes_in(texts, quotes.limit(0)).count() == 0
+
+
+def test_robots_verdict(spark):
+    rows = spark.createDataFrame([("/a/b",), ("/c",), ("/p.gif",)], "path string")
+    said = lambda rules: [r[0] for r in rows.select(robots_verdict(F.col("path"), rules)).collect()]
+    assert said([("disallow", "/a")]) == [False, True, True] and said([]) == [True, True, True] and said([("allow", "/")]) == [True, True, True]
+    assert said([("disallow", "/*.gif$"), ("allow", "/p.gif")]) == [True, True, True]
 
 
 def test_html(spark):
