@@ -52,15 +52,30 @@ def asof_within(left: DataFrame, right: DataFrame, keys: Sequence[str], left_day
     return left.withColumn("_l", F.col(left_day)).join(best, [*keys, "_l"], "left").select(*left.columns, F.col("_m._v").alias(name), F.col("_m._r").alias(f"{name}_day"))
 
 
+#: Ranges of values whose counts :func:`ranked_values` takes.
+RANGES = 4096
+
+
 def ranked_values(df: DataFrame, keys: Sequence[str], value: str, picks: dict[str, Column]) -> DataFrame:
     """Per key the values at given places (0-based, as columns of ``n``) of the sorted list, exactly.
 
-    Equal values are counted before the shuffle, so no list is collected and heavy ties cost nothing.
+    Equal values are counted before the shuffle. Counts of ``RANGES`` ranges of values tell in which range a place
+    lies, and only the values of those ranges are sorted, a task a range: no task sorts a key's values.
     """
+    keys = list(keys)
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*keys)
-    upto = F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    rows = counted.withColumn("n", F.sum("_c").over(w)).withColumn("_hi", upto).withColumn("_lo", F.col("_hi") - F.col("_c"))
+    span = counted.groupBy(*keys).agg(F.min(value).alias("_min"), F.max(value).alias("_max"), F.sum("_c").alias("n"))
+    part = F.floor((F.col(value) - F.col("_min")).cast("double") / F.nullif((F.col("_max") - F.col("_min")).cast("double"), F.lit(0.0)) * RANGES)
+    ranged = counted.join(span, keys).withColumn("_k", F.least(F.coalesce(part, F.lit(0)), F.lit(RANGES - 1)).cast("int"))
+    sizes = ranged.groupBy(*keys, "_k").agg(F.sum("_c").alias("_m"), F.max("n").alias("_n"))
+    before = F.coalesce(F.sum("_m").over(Window.partitionBy(*keys).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # RANGES rows a key at most
+    sizes = sizes.withColumn("n", F.col("_n")).withColumn("_before", before)
+    holds = F.lit(False)
+    for place in picks.values():
+        holds = holds | ((place >= F.col("_before")) & (place < F.col("_before") + F.col("_m")))
+    some = ranged.join(sizes.where(holds).select(*keys, "_k", "_before"), [*keys, "_k"])
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "_k").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    rows = some.withColumn("_hi", F.col("_before") + upto).withColumn("_lo", F.col("_hi") - F.col("_c"))
     chosen = [F.max(F.when((place >= F.col("_lo")) & (place < F.col("_hi")), F.col(value))).alias(name) for name, place in picks.items()]
     return rows.groupBy(*keys).agg(F.max("n").alias("n"), *chosen)
 

@@ -250,11 +250,24 @@ def rate_limit_fixed_window(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - row_number() OVER (PARTITION BY event_type, value > 50 ORDER BY ts, event_id) AS grp FROM events)
 SELECT event_type AS source, max(c) AS longest, count(*) AS streaks FROM (SELECT event_type, grp, count(*) AS c FROM r WHERE value > 50 GROUP BY 1, 2) GROUP BY 1""")
 def failure_streaks(spark: SparkSession, d: str) -> DataFrame:
-    """Runs of consecutive failures (value over 50) per source: their number and the longest."""
-    bad = F.col("value") > 50
-    w, wb = Window.partitionBy("event_type").orderBy("ts", "event_id"), Window.partitionBy("event_type", bad).orderBy("ts", "event_id")
-    r = events(spark, d).withColumn("grp", F.row_number().over(w) - F.row_number().over(wb)).where(bad)
-    return r.groupBy("event_type", "grp").agg(F.count("*").alias("c")).groupBy(F.col("event_type").alias("source")).agg(F.max("c").alias("longest"), F.count("*").alias("streaks"))
+    """Runs of consecutive failures (value over 50) per source: their number and the longest.
+
+    Runs are found inside each source's days, a task a day; only those that touch an edge of their day, two a day at
+    most, are put in order and joined with the next day's.
+    """
+    key = ["event_type", "day"]
+    e = events(spark, d).select("event_type", F.to_date("ts").alias("day"), "ts", "event_id", (F.col("value") > 50).alias("bad")).where("bad IS NOT NULL")
+    w = Window.partitionBy(*key).orderBy("ts", "event_id")
+    r = e.withColumn("rn", F.row_number().over(w)).withColumn("size", F.count("*").over(Window.partitionBy(*key)))
+    r = r.withColumn("grp", F.col("rn") - F.row_number().over(Window.partitionBy(*key, "bad").orderBy("ts", "event_id")))
+    runs = r.where("bad").groupBy(*key, "grp").agg(F.count("*").alias("c"), (F.min("rn") == 1).alias("opens"), (F.max("rn") == F.max("size")).alias("ends"), F.min("rn").alias("first"))
+    days = r.select(*key).distinct().withColumn("day_no", F.row_number().over(Window.partitionBy("event_type").orderBy("day")))
+    by = Window.partitionBy("event_type").orderBy("day_no", "first")
+    edge = runs.where("opens OR ends").join(days, key)
+    goes_on = F.col("opens") & (F.lag("day_no").over(by) == F.col("day_no") - 1) & F.lag("ends").over(by)
+    edge = edge.withColumn("run", F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(by))
+    whole = edge.groupBy("event_type", "run").agg(F.sum("c").alias("c")).select("event_type", "c").union(runs.where("NOT opens AND NOT ends").select("event_type", "c"))
+    return whole.groupBy(F.col("event_type").alias("source")).agg(F.max("c").alias("longest"), F.count("*").alias("streaks"))
 
 
 @query("""WITH h AS (SELECT event_id, user_id, event_type, ts FROM events WHERE value > 80), f AS (SELECT *, lag(ts) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS p FROM h)

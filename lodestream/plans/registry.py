@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lodestream.plans import behaviour, capture, consensus, documents, listing, macro, search, signals  # noqa: F401  (register on import)
+from lodestream.plans import behaviour, capture, consensus, documents, listing, macro, search, signals, texts  # noqa: F401  (register on import)
 from lodestream.plans.base import QUERIES, SQL
 
 

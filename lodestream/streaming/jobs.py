@@ -81,9 +81,11 @@ def write_daily(events: DataFrame, path: str, checkpoint: str):
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
         rows = rows.withColumn("day", F.to_date("ts").cast("string")).withColumn("batch", F.lit(number))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(raw)
-        days = rows.select("day").distinct()
-        every = spark.read.parquet(raw).join(days, "day", "left_semi")
+        days = [r["day"] for r in rows.select("day").distinct().collect()]  # the days of one batch
+        if not days:
+            return
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(raw)
+        every = spark.read.parquet(raw).where(F.col("day").cast("string").isin(days)).withColumn("day", F.col("day").cast("string"))  # only their folders are read
         rebuild_days(every.groupBy("day", "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")), f"{path}/daily")
 
     return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
