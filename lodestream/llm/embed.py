@@ -26,7 +26,8 @@ Equal unit vectors are one weighted vector until the end, so copies do not fill
 
 Null, zero and non-finite vectors, and vectors of another length than most, link
 with nothing. Null ids are left out of links and are their own rows with null
-component; repeated ids keep their first vector (by value) for links. Cosines
+component. Rows that repeat an id with equal vectors are one vector; an id with
+several vectors has the links of each of them (``n_links`` is their sum). Cosines
 are computed in double precision from the given components.
 """
 
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestream.llm.components import components
-from lodestream.llm.store import discard, materialize
+from lodestream.llm.store import BROADCAST_KEYS, discard, materialize
 
 TABLES, BITS, REACH = 16, 14, 6
 NEIGHBOURS, ROUNDS, RECALL = 10, 3, 0.97
@@ -62,11 +63,11 @@ def _vectors(table: DataFrame) -> DataFrame:
         F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     )
     top = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    rows = rows.where(F.size("v") == (top["n"] if top else 0)).groupBy("id").agg(F.min("v").alias("v"))
+    rows = rows.where(F.size("v") == (top["n"] if top else 0))
     largest = F.array_max(F.transform("v", F.abs))  # scaled first, so that squares neither overflow nor vanish
     rows = rows.where(largest > 0).withColumn("v", F.transform("v", lambda x: x / largest))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    return rows.withColumn("v", F.transform("v", lambda x: x / norm))
+    return rows.withColumn("v", F.transform("v", lambda x: x / norm)).distinct()
 
 
 def _bits(n: int) -> int:
@@ -343,9 +344,19 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, k: int = NEIGHBOUR
     share of a query's links, by comparison with all vectors, that the components hold, in groups of the worst size.
     """
     given = materialize(_vectors(table), "given-vectors")
-    vectors = materialize(given.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("weight")).select("id", "v", "weight"), "vectors")
-    repeated = vectors.where("weight > 1").select(F.col("id").alias("first"), "v", "weight")
+    # A class of equal vectors goes by its smallest id; of several classes with one smallest id, all but one go by a hash.
+    several = materialize(given.groupBy("id").agg(F.count("*").alias("n"), F.min(F.xxhash64("v")).alias("keep")).where("n > 1").drop("n"), "several-vectors")
+    hint = F.broadcast(several) if several.count() <= BROADCAST_KEYS // 2 else several
+    classes = given.join(hint, "id", "left").groupBy("v").agg(
+        F.min("id").alias("first"), F.count("*").alias("weight"), F.count("keep").alias("odd"), F.min_by("keep", "id").alias("keep")
+    )
+    own = F.when(F.xxhash64("v") != F.col("keep"), F.xxhash64("v")).otherwise(F.col("first"))
+    classes = materialize(classes.select(own.alias("id"), "v", "weight", "first", "odd"), "vectors")
+    vectors = classes.select("id", "v", "weight")
+    repeated = classes.where("weight > 1 OR odd > 0").select(F.col("id").alias("first"), "v", "weight")
     copies = materialize(given.join(repeated, "v").select(F.col("id").alias("vid"), "first", "weight"), "copies")
+    same_id = copies.join(several.select(F.col("id").alias("vid")), "vid").groupBy("vid").agg(F.min("first").alias("u"), F.collect_list("first").alias("all"))
+    same_id = same_id.select("u", F.explode("all").alias("v")).where("u <> v")
     truth, whole = _audit(vectors, threshold, audit, k)
     first = vectors.select(F.size("v")).first()
     width, n = (first[0], vectors.count()) if first else (0, 0)
@@ -378,20 +389,26 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, k: int = NEIGHBOUR
         if width:
             raise RuntimeError(f"the links found hold {recall:.3f} of the audited ones after {ATTEMPTS} attempts")
     if graph is not None:
-        links = found.union(links)
-        member = materialize(components(links), "all-components")
+        member = materialize(components(found.union(links).union(same_id)), "all-components")
         saturated = _exact_counts(member, vectors, threshold)
     else:
         saturated = table.sparkSession.createDataFrame([], "id long, n_links long")
     counts = materialize(saturated, "link-counts")
+    component = member.select(F.col("node").alias("first"), "component")
+    if several.count():  # a class may go by a hash: components are named by their smallest id
+        named = component.join(classes.select(F.col("id").alias("first"), F.col("first").alias("least")), "first")
+        component = named.join(named.groupBy("component").agg(F.min("least").alias("name")), "component").select("first", F.col("name").alias("component"))
+    # Ids that share a vector or have several, by their classes; all others are their own class.
+    shared = (
+        copies.join(counts.withColumnRenamed("id", "first"), "first", "left").join(component, "first", "left").groupBy("vid")
+        .agg(F.sum(F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_shared"), F.min("component").alias("c_shared"), F.min("first").alias("least"))
+    )
     out = (
-        table.select(F.col("vec_id"), F.col("vec_id").cast("long").alias("vid"))
-        .join(copies, "vid", "left").withColumn("first", F.coalesce("first", "vid"))
-        .join(counts.withColumnRenamed("id", "first"), "first", "left")
-        .join(member.select(F.col("node").alias("first"), F.col("component")), "first", "left")
+        table.select(F.col("vec_id"), F.col("vec_id").cast("long").alias("vid")).join(shared, "vid", "left")
+        .join(counts.withColumnRenamed("id", "vid"), "vid", "left").join(component.withColumnRenamed("first", "vid"), "vid", "left")
     )
-    alike = F.coalesce("n_links", F.lit(0)) + F.coalesce("weight", F.lit(1)) - 1  # links of the vector and its own copies
+    name = F.coalesce("c_shared", F.when(F.col("least").isNotNull(), F.col("least")).otherwise(F.coalesce("component", "vid")))
     return out.select(
-        "vec_id", alike.cast("long").alias("n_links"), F.coalesce("component", "first").alias("component_id"),
-        (F.coalesce("component", "first") == F.col("vid")).alias("kept"), F.lit(recall).cast("double").alias("recall"),
+        "vec_id", F.coalesce("n_shared", "n_links", F.lit(0)).cast("long").alias("n_links"), name.alias("component_id"),
+        (name == F.col("vid")).alias("kept"), F.lit(recall).cast("double").alias("recall"),
     )

@@ -2,7 +2,8 @@
 
 The unit of a sentence that is judged is the word, folded: case and accents of
 letters go, digits that stand for letters become letters, marks inside a word
-vanish, and runs of single letters ("i d i o t") are one word. The kernel of two
+vanish, and runs of single letters ("i d i o t") are one word. A mark stands
+before its first letter, so that how a word begins counts. The kernel of two
 words is the sum over common subsequences of three letters, each weighted by
 ``DECAY`` to the power of the stretch it covers in either word (up to ``SPAN``
 letters), so that gaps and inserted letters lower it only a little. The kernel
@@ -11,8 +12,9 @@ is divided by a norm that depends on the words' lengths.
 Landmark words span the feature space (Nystroem); a linear machine with squared
 hinge loss is trained on the landmark features of words from labelled sentences.
 A labelled text only says that *some* word in it is toxic, so each toxic text
-gives the words that the statistics of its letter runs point to, and the one
-that the machine points to; words of clean texts are all negative, the hardest are mined again in each
+gives the words that the statistics of its letter runs tell apart, and in later
+rounds the word that the machine itself finds toxic; a text without either gives
+none. Words of clean texts are all negative, the hardest are mined again in each
 round. As the decision is linear in the kernel, all landmarks fold into one
 table over letter triples, and a text is scored in one pass over its letters.
 
@@ -46,6 +48,8 @@ DECAY = 0.7
 SPAN = 5
 STRETCH = 24
 RUN = 5
+#: How much less telling than the most telling run of all a run may be.
+TOLD = 30
 
 _FOLD = np.zeros(256, np.int32)
 _FOLD[97:123] = _FOLD[65:91] = np.arange(1, 27)
@@ -59,7 +63,7 @@ _NORM = np.sqrt([max(1e-9, sum(_WEIGHT[t] ** 2 * max(0, n - t) for _, t in _STEP
 
 
 def fold(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Letters, the unit (folded word) of each, the place where each unit begins, and its text."""
+    """Letters with a mark before each unit (folded word), the unit of each, the place where each unit begins, and its text."""
     starts, ends, first = tb.words(data, offsets)
     flag = np.zeros(len(data), np.int32)
     flag[starts] = 1
@@ -74,8 +78,10 @@ def fold(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     opens[1:] = ~(single[1:] & single[:-1] & (doc[1:] == doc[:-1]))
     unit_of_word = np.cumsum(opens) - 1
     unit = np.repeat(unit_of_word, count[full])
-    begin = np.concatenate([[0], np.cumsum(count[full])])[:-1][opens]
-    return letters[at], unit, begin.astype(np.int64), doc[opens]
+    begin = np.concatenate([[0], np.cumsum(count[full])])[:-1][opens].astype(np.int64)
+    # The mark of a unit is 0, which no letter is.
+    marks = np.arange(len(begin))
+    return np.insert(letters[at], begin, 0), np.insert(unit, begin, marks), begin + marks, doc[opens]
 
 
 def contributions(letters: np.ndarray, unit: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -121,7 +127,7 @@ class Machine:
             sums = np.concatenate([[0.0], np.cumsum(contributions(letters, unit, self.table))])
             start, end, of = stretches(begin, len(letters))
             value = (sums[end] - sums[start]) / _NORM[end - start] + self.bias
-            _max_by(out, doc[of], np.where(end - start >= 3, value, self.lowest))
+            _max_by(out, doc[of], np.where(end - start > 3, value, self.lowest))
         return out
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -164,18 +170,24 @@ def _dense(words: list[bytes]) -> np.ndarray:
 
 
 def _hinge(z: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 20.0) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss, by Newton steps on the active set."""
+    """Linear machine with squared hinge loss, by Newton steps on the active set, halved until the loss falls."""
     x = np.hstack([z, np.ones((len(z), 1))])
     w = np.zeros(x.shape[1])
     ridge = np.eye(len(w)) / c
     ridge[-1, -1] = 1e-6
-    for _ in range(40):
+    loss = lambda w: float((weight * np.maximum(1 - y * (x @ w), 0) ** 2).sum() + w @ ridge @ w)
+    now = loss(w)
+    for _ in range(60):
         active = y * (x @ w) < 1
         xa = x[active] * weight[active, None]
-        new = np.linalg.solve(xa.T @ x[active] + ridge, xa.T @ y[active])
-        if np.allclose(new, w, atol=1e-7):
+        step = np.linalg.solve(xa.T @ x[active] + ridge, xa.T @ y[active]) - w
+        size, then = 1.0, loss(w + step)
+        while then > now and size > 1e-4:
+            size /= 2
+            then = loss(w + size * step)
+        if then >= now - 1e-9 * now:
             break
-        w = new
+        w, now = w + size * step, then
     return w[:-1], float(w[-1])
 
 
@@ -184,7 +196,7 @@ def _units(text: str) -> list[bytes]:
     letters, _, begin, _ = fold(raw, np.array([0, len(raw)]))
     start, end, _ = stretches(begin, len(letters)) if len(begin) else ([], [], None)
     data = letters.astype(np.uint8).tobytes()
-    return list({data[a:b] for a, b in zip(start, end, strict=True) if b - a >= 3})
+    return list({data[a:b] for a, b in zip(start, end, strict=True) if b - a > 3})
 
 
 def _runs(word: bytes) -> set[bytes]:
@@ -193,7 +205,7 @@ def _runs(word: bytes) -> set[bytes]:
 
 def _inserted(word: bytes, rng: np.random.Generator) -> bytes:
     """The word with one letter put in, as in disguised insults."""
-    at = int(rng.integers(1, len(word)))
+    at = int(rng.integers(2, len(word)))
     return word[:at] + bytes([int(rng.integers(1, 27))]) + word[at:]
 
 
@@ -216,11 +228,13 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray) -> Machine:
     most = max(odds.values(), default=0.0)
 
     def told(bag: list[bytes]) -> set[bytes]:
-        """Words nearly as telling as the most telling one of the text, if that is among the best of all."""
-        least = max(max(odds[u] for u in bag) - math.log(1.5), most - math.log(10))
+        """Words nearly as telling as the most telling one of the text, if that is among the best of all; else none."""
+        least = max(max(odds[u] for u in bag) - math.log(1.5), most - math.log(TOLD))
         return {u for u in bag if odds[u] >= least}
 
-    positive = Counter(u for bag in toxic for u in (told(bag) | {max(bag, key=lambda u: (odds[u], u))}))
+    positive = Counter(u for bag in toxic for u in told(bag))
+    if not positive:  # nothing is told apart: the best word of each
+        positive = Counter(max(bag, key=lambda u: (odds[u], u)) for bag in toxic) or Counter([b"\0\1\1\1"])
     clean = sorted({u for bag, label in zip(bags, y, strict=True) if label == 0 for u in bag})
     hard = [clean[i] for i in rng.permutation(len(clean))[:2000]]
     every = sorted({u for bag in bags for u in bag})
@@ -250,7 +264,8 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray) -> Machine:
         w, bias = _hinge(_kernel(words, rows) @ root, label, each)
         table = (rows.T @ (root @ w)).astype(np.float32)
         margin = all_margins(table, bias)
-        positive = Counter(u for bag in toxic for u in (told(bag) | {max(bag, key=lambda u: (margin[place[u]] + 0.2 * odds[u], u))}))
+        best_word = [max(bag, key=lambda u: (margin[place[u]], u)) for bag in toxic]
+        positive = Counter(u for bag, best in zip(toxic, best_word, strict=True) for u in told(bag) | ({best} if margin[place[best]] > 0 else set())) or positive
         worst = sorted(clean, key=lambda u: -margin[place[u]])[:1500]
         hard = sorted({*hard[:1500], *worst})
     best = np.array([max((margin[place[u]] for u in bag), default=margin.min()) for bag in bags])

@@ -206,6 +206,14 @@ def test_embeddings_of_saturated_groups(spark):
     assert sum(r.kept for r in got.values()) == 99
 
 
+def test_embeddings_of_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0]), (4, [-1.0, 0.0]), (4, [-1.0, 0.0]), (5, [-2.0, 0.1]), (9, [0.0, -3.0])]
+    got = embed.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [
+        (1, 2, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 1, 4, True), (4, 1, 4, True), (5, 1, 4, False), (9, 0, 9, True)
+    ]
+
+
 def test_embeddings_audit(spark):
     x = np.random.default_rng(6).normal(size=(300, 16))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
@@ -238,6 +246,21 @@ def test_token_ledger(spark):
     assert token_counts.corpus_totals(docs.limit(0)).count() == 0
 
 
+def test_corpus_totals_equal_brute_force(spark):
+    docs = table(spark, SF, "documents")
+    encoding = token_counts._encoding(token_counts.default_ranks())
+    kept = {}
+    for r in sorted(docs.collect(), key=lambda r: r.doc_id):
+        kept.setdefault(r.text, r)  # copies of a text: the smallest id stays
+    want = {}
+    for r in kept.values():
+        text = "\n".join(dict.fromkeys(r.text.split("\n")))
+        for name, n in (("words", len(text.split())), ("byte_bpe_50k", len(encoding.encode_ordinary(text)))):
+            docs_, tokens = want.get((r.source, r.lang, name), (0, 0))
+            want[r.source, r.lang, name] = docs_ + 1, tokens + n
+    assert {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens) for r in token_counts.corpus_totals(docs).collect()} == want
+
+
 def test_token_counts_equal_the_library(spark):
     docs = table(spark, SF, "documents").limit(20)
     encoding = token_counts._encoding(token_counts.default_ranks())
@@ -270,6 +293,25 @@ def test_rule_tokens_are_whole():
     assert tokens("/ads/*") == ["ads"] and tokens("*track*") == [] and tokens("ads^") == []
 
 
+ODD = [(1, None, "en", "s", 0), (2, "", None, "s", 0), (None, "a null id keeps its text", "en", None, None), (3, "word " * 200_000, "en", "s", 1), (4, "one two three four five six", "de", "t", 2), (4, "one two three four five six", "de", "t", 2), (5, "One two three four five SIX", "de", "t", 2)]
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long").withColumn("hub", F.lit("clash"))
+    for name, stage in corpus_pipeline.STAGES:
+        got, none = stage(spark, docs, SF), stage(spark, docs.limit(0), SF)
+        assert none.count() == 0
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert got.columns == docs.columns
+        ids = sorted((r.doc_id or 0) for r in got.collect())
+        if name == "n-gram Jaccard join":  # all rows of the smallest id of a group stay, rows without an id or words too
+            assert ids == [0, 1, 2, 3, 4, 4]
+        elif name != "quality classifier":
+            assert ids == [0, 1, 2, 3, 4, 4, 5]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

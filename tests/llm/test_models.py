@@ -1,5 +1,8 @@
 """Classifiers, the character network and the encoder: held-out accuracy, round trips, edge cases."""
 
+import hashlib
+import itertools
+import re
 import zlib
 
 import numpy as np
@@ -22,6 +25,45 @@ def held(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
+def test_toxicity_on_held_out_texts(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    known = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    said = {r.doc_id: r.predicted for r in toxicity.score_toxicity(known, toxicity.train(docs, labels)).collect()}
+    truth = {r.doc_id: r.toxic for r in labels.collect() if held(r.doc_id)}
+    hit = sum(said[i] and t for i, t in truth.items())
+    assert hit / sum(truth.values()) >= 0.55 and hit / sum(said[i] for i in truth) >= 0.98
+
+
+def test_kernel_is_that_of_enumerated_subsequences():
+    def features(word):
+        out = {}
+        for i, j, k in itertools.combinations(range(len(word)), 3):
+            if k - i < toxicity.SPAN:
+                key = tuple(word[x] for x in (i, j, k))
+                out[key] = out.get(key, 0.0) + toxicity.DECAY ** (k - i + 1)
+        return out
+
+    rng = np.random.default_rng(2)
+    words = [bytes([0, *rng.integers(1, 5, n)]) for n in (3, 5, 8, 12, 20)]
+    rows = toxicity._dense(words)
+    norm = [toxicity._NORM[len(w)] for w in words]
+    for a, u in enumerate(words):
+        for b, v in enumerate(words):
+            fu, fv = features(u), features(v)
+            want = sum(x * fv.get(t, 0.0) for t, x in fu.items()) / norm[a] / norm[b]
+            assert rows[a] @ rows[b] == pytest.approx(want) and toxicity._kernel([u], rows[[b]])[0, 0] == pytest.approx(want)
+    # Landmarks folded into one table of triples give the same sum in one pass over a text's letters.
+    weights = rng.normal(size=len(words))
+    table_of = (rows.T @ weights).astype(np.float64)
+    text = "abc abdcc x y z dacbdacbdacbabcabc".encode()
+    machine = toxicity.Machine(table_of, 0.25, 1.0, 0.0, -9.0)
+    units = toxicity._units(text.decode())
+    assert len(units) == 4  # three single letters are one word
+    assert machine.margins(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0] == pytest.approx(max(toxicity._kernel([u], rows)[0] @ weights + 0.25 for u in units))
+    long = "".join("abcd"[i] for i in rng.integers(0, 4, 100)).encode()
+    assert machine.margins(np.frombuffer(long, np.uint8), np.array([0, 100]))[0] == pytest.approx(max(toxicity._kernel([u], rows)[0] @ weights + 0.25 for u in toxicity._units(long.decode())))
+
+
 @pytest.mark.parametrize("module,label,threshold,least", [(quality, "quality", 0.3, 0.9), (toxicity, "toxic", 0.5, 0.85)])
 def test_classifiers(spark, odd, module, label, threshold, least):
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
@@ -142,6 +184,34 @@ def test_secret_gradients():
         assert (up - down) / 2e-5 == pytest.approx(grad[k], abs=1e-6)
 
 
+def test_secret_scan_equals_brute_force(spark, net):
+    small = "/root/testdata/sf0.001"
+    rows = table(spark, small, "documents").select("doc_id", "text").collect()
+    rows = [(r.doc_id, r.text) for r in rows] + [(None, "password = hunter22 and token=abc"), (-1, None), (-1, "AKIA" + "Q" * 17), (-2, "é" * 9 + "ab" * 12 + "g")]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), net).collect()
+    want = []
+    for i, t in rows:
+        t = t or ""
+        found = [("assign", m.start(), m.end()) for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?[ ]*[:=][ ]*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
+        found += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if m.end() - m.start() >= 20]
+        found += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", t) if m.end() - m.start() >= 24]
+        found.sort(key=lambda f: (f[1], ["assign", "access", "hex"].index(f[0])))
+        count = [sum(f[0] == k for f in found) for k in ("assign", "access", "hex")]
+        want.append((i, *count, hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in found).encode()).hexdigest()))
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256)) for r in got)
+    # The method's own spans are runs of token characters beside the base ones.
+    texts = dict(rows)
+    for r in got:
+        for span in (s.split(":") for s in r.spans.split(",") if s.startswith("cnn")):
+            assert re.fullmatch(r"[A-Za-z0-9+/_=-]{16,}", (texts[r.doc_id] or "")[int(span[1]) : int(span[2])])
+
+
+def test_one_very_long_text_of_tokens(spark, net):
+    text = "x" + "a1B2" * 100_000 + " " + "q9Z8w7X6" * 3
+    row = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), net).first()
+    assert row.n_cnn <= 2 and all(int(s.split(":")[2]) <= len(text) for s in row.spans.split(",") if s)
+
+
 def test_secret_spans(spark, odd, net):
     key = "AKIA" + "ABCDEFGH12345678"
     text = f"é token = \"abcdef123\" {key} {'0a' * 13} password: abc AKIA12 secret=token=xyz"
