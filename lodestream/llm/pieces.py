@@ -43,7 +43,7 @@ from lodestream.llm.store import bounded_batches
 
 MARK = "▁"
 #: Words that a worker remembers; longer words than this many characters are never kept.
-CACHE_WORDS, CACHE_CHARS, CACHE_PAIRS = 600_000, 48, 1_000_000
+CACHE_WORDS, CACHE_CHARS, CACHE_PAIRS = 150_000, 48, 500_000
 UNIGRAM, BPE = 1, 2
 _UNKNOWN, _NOTHING = -1, -2
 _SHORT = (2, 1)
@@ -256,7 +256,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, check: bool = True) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(vocabulary)
         for batch in batches:
-            for rows, data, offsets in tb.pieces(batch, "text", 1 << 20):
+            for rows, data, offsets in tb.pieces(batch, "text"):
                 texts = pc.fill_null(rows.column("text"), "").to_pylist()
                 packed = encoder.encode(texts)
                 many = np.array([len(p) // 4 for p in packed])

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 BROADCAST_KEYS = 2_000_000
 
 #: Bytes and rows of an Arrow batch between Spark and Python, unless the session sets less.
-BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
+BATCH_BYTES, BATCH_ROWS = 2 << 20, 1000
 
 _own: dict[str, str] = {}
 
