@@ -415,7 +415,7 @@ def queue(spark: SparkSession, d: str) -> DataFrame:
 ALERTS = """lp AS (SELECT l_partkey, max_by(l_extendedprice / l_quantity, (l_shipdate, l_orderkey, l_linenumber)) AS price, max(l_shipdate)::DATE AS day FROM lineitem GROUP BY 1), ru AS (SELECT p_partkey, ['ABOVE', 'BELOW', 'STALE', 'NEAR'][p_partkey % 4 + 1] AS kind, p_retailprice AS bound FROM part)"""
 
 
-@query(f"""WITH {ALERTS} SELECT p_partkey, kind, round(price, 4) AS price FROM ru JOIN lp ON l_partkey = p_partkey WHERE CASE kind WHEN 'ABOVE' THEN price > bound WHEN 'BELOW' THEN price < bound WHEN 'NEAR' THEN abs(price - bound) <= bound * 0.05 ELSE day < DATE '2000-06-01' END""")
+@query(f"""WITH {ALERTS} SELECT p_partkey, kind, price FROM ru JOIN lp ON l_partkey = p_partkey WHERE CASE kind WHEN 'ABOVE' THEN price > bound WHEN 'BELOW' THEN price < bound WHEN 'NEAR' THEN abs(price - bound) <= bound * 0.05 ELSE day < DATE '2000-06-01' END""")
 def rule_evaluation(spark: SparkSession, d: str) -> DataFrame:
     """Rules of several kinds evaluated over the latest state of what they watch; those that fire."""
     price = F.max_by(F.col("l_extendedprice") / F.col("l_quantity"), F.struct("l_shipdate", "l_orderkey", "l_linenumber"))
@@ -426,7 +426,7 @@ def rule_evaluation(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("kind") == "ABOVE", F.col("price") > F.col("bound")).when(F.col("kind") == "BELOW", F.col("price") < F.col("bound"))
         .when(F.col("kind") == "NEAR", F.abs(F.col("price") - F.col("bound")) <= F.col("bound") * 0.05).otherwise(F.col("day") < F.lit("2000-06-01").cast("date"))
     )
-    return rules.join(last, "p_partkey").where(fires).select("p_partkey", "kind", F.round("price", 4).alias("price"))
+    return rules.join(last, "p_partkey").where(fires).select("p_partkey", "kind", "price")
 
 
 @query(f"""WITH {VIN}, u AS (SELECT period, max(vintage) AS last FROM vin WHERE source_rank > 0 GROUP BY 1) SELECT v.period::VARCHAR AS period, v.source_rank, v.value FROM vin v WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.period = v.period AND u.last > v.vintage AND v.source_rank = 1)""")
