@@ -31,7 +31,8 @@ def test_equals_sql(name, spark, sf, duck):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(name, spark, sf):
-    assert QUERIES[name](spark, sf).count() >= 0
+    rows = QUERIES[name](spark, sf).count()
+    assert rows > 0 or name == "html_tables"  # the pages hold no tables
 
 
 def test_entry_names():
