@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and their SQL where SQL can express one."""
+"""The registered queries of the thirteen operators, and their SQL where SQL can express one."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestream.llm import decontam, embed, pieces, quality, secrets, token_counts, toxicity, urlfilter, warc
+from lodestream.llm import decontam, embed, pieces, quality, secrets, spelling, token_counts, tokenfile, toxicity, urlfilter, warc, whiten
 from lodestream.llm.ngram_join import ngram_components
 from lodestream.session import table
 
@@ -53,13 +53,26 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.corpus_totals(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_quality_classifier, op2_sentencepiece, op3_benchmark_decontamination, op4_warc, op5_toxicity,
         op6_embedding_near_dedup, op7_ngram_jaccard_join, op8_url_filters, op9_secret_scans, op10_token_counts,
+        op11_embedding_whitening, op12_token_ids, op13_spelling_variants,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_benchmark_decontamination": decontam.oracle(), "op8_url_filters": urlfilter.oracle()}
+    return {"op3_benchmark_decontamination": decontam.oracle(), "op8_url_filters": urlfilter.oracle(), "op13_spelling_variants": spelling.oracle()}
