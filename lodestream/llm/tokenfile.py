@@ -1,8 +1,9 @@
 r"""Token-ID output (operator 12): raw id shards and a minimal perfect hash index over document keys.
 
-Format. A shard is a file of nothing but token ids, little-endian unsigned 32-bit
-whole numbers, documents one after another in ascending order of their ids, an
-end id after each. A key is a document id and the number of the row among rows
+Format. A shard is a file of nothing but token ids, little-endian unsigned whole
+numbers of 16 bits where the vocabulary has no larger ones and of 32 bits
+otherwise, documents one after another in ascending order of their ids, an end
+id after each. A key is a document id and the number of the row among rows
 of that id (0 for the first), so repeated ids stay apart. Keys are dealt into
 buckets by a hash; each bucket has one index file: a minimal perfect hash (levels
 of bits: a key sits in the first level where no other key shares its bit, and
@@ -40,6 +41,7 @@ import struct
 import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,7 +57,7 @@ from lodestream.llm.store import bounded_batches, materialize, new_path
 
 END = 2
 #: Keys of an index file on average; pieces of either generation that a worker keeps; bytes read at once.
-BUCKET_KEYS, PIECES, CHUNK = 100_000, 150_000, 1 << 22
+BUCKET_KEYS, PIECES, CHUNK = 100_000, 500_000, 1 << 22
 MAGIC = b"IDX1"
 SLOT = np.dtype([("fingerprint", "<u8"), ("offset", "<u8"), ("start", "<u8"), ("shard", "<u4"), ("length", "<u4")])
 
@@ -85,33 +87,48 @@ def _piece_pattern() -> re.Pattern:
 
 
 class Encoder:
-    """Ids of texts as little-endian bytes."""
+    """Ids of texts as little-endian bytes, ``width`` of them an id."""
 
     def __init__(self, path: str, most: int = PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = re.compile("|".join([f"[^{PLAIN}]", *special]))
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.beyond = re.compile(f"[^{PLAIN}]").search
         self.cut, self.known, self.older, self.most = _piece_pattern().findall, {}, {}, most
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        if self.odd.search(text):
-            return self._whole([text])[0]
-        pieces = self.cut(text)
+        code = "H" if self.width == 2 else "I"
+        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _odd(self, text: str) -> bool:
+        """Whether a text goes to the library whole."""
+        if any(t in text for t in self.special):
+            return True
+        if text.isascii():
+            return False
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.beyond(text) is not None
+        return False
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; memory is bounded by the texts given."""
+        cuts = [None if self._odd(t) else self.cut(t) for t in texts]
         if len(self.known) > self.most:  # what is used again comes back from the older generation
             self.known, self.older = {}, self.known
-        missing = set(pieces).difference(self.known)
+        missing = set().union(*[c for c in cuts if c]).difference(self.known)
         if missing:
-            again = missing.intersection(self.older)
-            self.known.update((p, self.older[p]) for p in again)
-            new = sorted(missing - again)
+            if self.older:
+                self.known.update([(p, self.older[p]) for p in missing if p in self.older])
+                missing = [p for p in missing if p not in self.known]
+            new = list(missing)
             self.known.update(zip(new, self._whole(new), strict=True))
-        return b"".join(map(self.known.__getitem__, pieces))
+        of = self.known.__getitem__
+        return [self._whole([t])[0] if c is None else b"".join(map(of, c)) for t, c in zip(texts, cuts, strict=True)]
 
 
 # --- the index ------------------------------------------------------------------------------------
@@ -169,28 +186,28 @@ class PerfectHash:
 class IndexFile:
     """One bucket: the hash and a record a slot."""
 
-    def __init__(self, hash_: PerfectHash, slots: np.ndarray):
-        self.hash, self.slots = hash_, slots
+    def __init__(self, hash_: PerfectHash, slots: np.ndarray, width: int):
+        self.hash, self.slots, self.width = hash_, slots, width
 
     @classmethod
-    def build(cls, ids: np.ndarray, nth: np.ndarray, shard: np.ndarray, offset: np.ndarray, start: np.ndarray, length: np.ndarray) -> IndexFile:
+    def build(cls, ids: np.ndarray, nth: np.ndarray, shard: np.ndarray, offset: np.ndarray, start: np.ndarray, length: np.ndarray, width: int = 4) -> IndexFile:
         hash_ = PerfectHash.build(ids, nth)
         slots = np.zeros(len(ids), SLOT)
         at = hash_.slots(ids, nth)
         for name, values in (("fingerprint", _hash(ids, nth, FINGERPRINT)), ("shard", shard), ("offset", offset), ("start", start), ("length", length)):
             slots[name][at] = values
-        return cls(hash_, slots)
+        return cls(hash_, slots, width)
 
     def dump(self) -> bytes:
         sizes = [len(x) for x in self.hash.levels]
-        head = MAGIC + struct.pack(f"<QI{len(sizes)}Q", len(self.slots), len(sizes), *sizes)
+        head = MAGIC + struct.pack(f"<QHH{len(sizes)}Q", len(self.slots), len(sizes), self.width, *sizes)
         return head + b"".join(np.packbits(x, bitorder="little").tobytes() for x in self.hash.levels) + self.slots.tobytes()
 
     @classmethod
     def load(cls, data: bytes) -> IndexFile:
         if data[:4] != MAGIC:
             raise ValueError("not an index file")
-        n, many = struct.unpack_from("<QI", data, 4)
+        n, many, width = struct.unpack_from("<QHH", data, 4)
         sizes = struct.unpack_from(f"<{many}Q", data, 16)
         at, levels = 16 + 8 * many, []
         for size in sizes:
@@ -198,7 +215,7 @@ class IndexFile:
             at += (size + 7) // 8
         if len(data) != at + n * SLOT.itemsize:
             raise ValueError("the index file is cut short")
-        return cls(PerfectHash(levels), np.frombuffer(data, SLOT, n, at))
+        return cls(PerfectHash(levels), np.frombuffer(data, SLOT, n, at), width)
 
     def find(self, ids: np.ndarray, nth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which keys are there by fingerprint, their records)."""
@@ -221,17 +238,28 @@ def _load(path: str) -> bytes:
 # --- writing and reading --------------------------------------------------------------------------
 
 
+def _runs(texts: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose texts have at most ``most`` bytes together, or of one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, to
+        at = to
+
+
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, shards: int, end: int = END) -> DataFrame:
-    """Write raw ids of all documents; returns where each went: (shard, path, pos, doc_id, nth, offset, length), nth within the shard."""
+    """Write raw ids of all documents; returns where each went: (shard, path, width, pos, doc_id, nth, offset, length), nth within the shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if ("ids", tokenizer) not in tb.held:
             tb.held.clear()
             tb.held["ids", tokenizer] = Encoder(tokenizer)
-        encoder, closing = tb.held["ids", tokenizer], struct.pack("<I", end)
+        encoder = tb.held["ids", tokenizer]
+        width, closing = encoder.width, end.to_bytes(encoder.width, "little")
         out, path, shard = None, f"{folder}/{uuid.uuid4().hex}.ids", TaskContext.get().partitionId()
         pos = offset = nth = 0
-        last: object = END  # no id: equal to none below
+        last = None
         try:
             for batch in batches:
                 if out is None:
@@ -239,15 +267,17 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, shards: int, end:
                     fs.create_dir(base.rpartition("/")[0], recursive=True)
                     out = fs.open_output_stream(base, compression=None)
                 rows = []
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                    data = encoder.encode(text.as_py() or "") + closing
-                    out.write(data)
-                    nth = nth + 1 if pos and doc_id == last else 0
-                    last, size = doc_id, len(data) // 4
-                    rows.append((shard, path, pos, doc_id, nth, offset, size))
-                    pos, offset = pos + 1, offset + size
-                names = ["shard", "path", "pos", "doc_id", "nth", "offset", "length"]
-                kinds = [pa.int32(), pa.string(), *[pa.int64()] * 5]
+                for at, to in _runs(batch.column("text")):
+                    texts = [t or "" for t in batch.column("text").slice(at, to - at).to_pylist()]
+                    for doc_id, data in zip(batch.column("doc_id").slice(at, to - at).to_pylist(), encoder.encode(texts), strict=True):
+                        out.write(data)
+                        out.write(closing)
+                        nth = nth + 1 if pos and doc_id == last else 0
+                        last, size = doc_id, len(data) // width + 1
+                        rows.append((shard, path, width, pos, doc_id, nth, offset, size))
+                        pos, offset = pos + 1, offset + size
+                names = ["shard", "path", "width", "pos", "doc_id", "nth", "offset", "length"]
+                kinds = [pa.int32(), pa.string(), pa.int32(), *[pa.int64()] * 5]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
         finally:
             if out is not None:
@@ -257,7 +287,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, shards: int, end:
     rows = rows.withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
     bounded_batches(docs.sparkSession)
     sorted_ = rows.repartitionByRange(shards, "doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row").select("doc_id", "text")
-    return materialize(sorted_.mapInArrow(tb.task(run, keeps=True), "shard int, path string, pos long, doc_id long, nth long, offset long, length long"), "ids-places")
+    return materialize(sorted_.mapInArrow(tb.task(run, keeps=True), "shard int, path string, width int, pos long, doc_id long, nth long, offset long, length long"), "ids-places")
 
 
 def _before(places: DataFrame) -> DataFrame:
@@ -305,13 +335,13 @@ class TokenFiles:
         buckets = max(1, -(-places.count() // bucket_keys))
         rows = places.join(_before(places), "shard").select(
             "doc_id", (F.col("nth") + F.when(F.col("doc_id").eqNullSafe(F.col("first_id")), F.col("rows_before")).otherwise(0)).alias("nth"),
-            "shard", "offset", (F.col("ids_before") + F.col("offset")).alias("start"), "length",
+            "shard", "offset", (F.col("ids_before") + F.col("offset")).alias("start"), "length", "width",
         )
 
         def run(key: tuple, rows: pa.Table) -> pa.Table:
             rows = rows.combine_chunks()
             ids, nth = _keys(rows.column("doc_id"), rows.column("nth"))
-            file = IndexFile.build(ids, nth, *[rows.column(c).to_numpy() for c in ("shard", "offset", "start", "length")])
+            file = IndexFile.build(ids, nth, *[rows.column(c).to_numpy() for c in ("shard", "offset", "start", "length")], rows.column("width")[0].as_py())
             path = f"{folder}/index/{key[0].as_py()}-{uuid.uuid4().hex}.idx"
             fs, at = _open(path)
             fs.create_dir(at.rpartition("/")[0], recursive=True)
@@ -347,10 +377,10 @@ class TokenFiles:
 
     def read(self, keys: DataFrame | None = None, ids: bool = False) -> DataFrame:
         """(doc_id, nth, start, n_tokens, ids_crc32[, ids]) of ``keys``, or of all documents, from the shards through the index."""
-        shards = {r["shard"]: r["path"] for r in self.places.select("shard", "path").distinct().collect()}  # one entry a shard
+        shards = {r["shard"]: (r["path"], r["width"]) for r in self.places.select("shard", "path", "width").distinct().collect()}  # one entry a shard
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shard, file = None, None
+            shard, file, width = None, None, 0
             for batch in batches:
                 columns = [batch.column(c).to_numpy() for c in ("shard", "offset", "length")]
                 crcs, payloads, at = [], [], 0
@@ -359,19 +389,21 @@ class TokenFiles:
                     if own != shard:
                         if file is not None:
                             file.close()
-                        shard, (fs, where) = own, _open(shards[int(own)])
+                        shard, (path, width) = own, shards[int(own)]
+                        fs, where = _open(path)
                         file = fs.open_input_file(where)
                     to, size = at + 1, int(length)  # neighbours in one read
-                    while to < batch.num_rows and columns[0][to] == own and columns[1][to] == offset + size and 4 * (size + int(columns[2][to])) <= CHUNK:
+                    while to < batch.num_rows and columns[0][to] == own and columns[1][to] == offset + size and width * (size + int(columns[2][to])) <= CHUNK:
                         size, to = size + int(columns[2][to]), to + 1
-                    data = memoryview(file.read_at(4 * size, 4 * int(offset)))
-                    if len(data) != 4 * size:
+                    data = np.frombuffer(file.read_at(width * size, width * int(offset)), f"<u{width}")
+                    if len(data) != size:
                         raise ValueError(f"shard {own} is cut short")
+                    wide = data.astype("<u4")
                     for k in range(at, to):
-                        part = data[4 * int(columns[1][k] - offset) : 4 * int(columns[1][k] - offset + columns[2][k])]
+                        part = wide[int(columns[1][k] - offset) : int(columns[1][k] - offset + columns[2][k])]
                         crcs.append(zlib.crc32(part))
                         if ids:
-                            payloads.append(np.frombuffer(part, "<u4").astype(np.int64))
+                            payloads.append(part.astype(np.int64))
                     at = to
                 out = [batch.column(c) for c in ("doc_id", "nth", "start", "length")] + [pa.array(crcs, pa.int64())]
                 if ids:
