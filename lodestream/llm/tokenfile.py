@@ -120,15 +120,21 @@ class Encoder:
         cuts = [None if self._odd(t) else self.cut(t) for t in texts]
         if len(self.known) > self.most:  # what is used again comes back from the older generation
             self.known, self.older = {}, self.known
-        missing = set().union(*[c for c in cuts if c]).difference(self.known)
-        if missing:
-            if self.older:
-                self.known.update([(p, self.older[p]) for p in missing if p in self.older])
-                missing = [p for p in missing if p not in self.known]
-            new = list(missing)
+        flat = [p for c in cuts if c for p in c]
+        got = list(map(self.known.get, flat))
+        holes = [k for k, data in enumerate(got) if data is None]
+        if holes:
+            missing = {flat[k] for k in holes}
+            self.known.update([(p, self.older[p]) for p in missing if p in self.older])
+            new = [p for p in missing if p not in self.known]
             self.known.update(zip(new, self._whole(new), strict=True))
-        of = self.known.__getitem__
-        return [self._whole([t])[0] if c is None else b"".join(map(of, c)) for t, c in zip(texts, cuts, strict=True)]
+            for k in holes:
+                got[k] = self.known[flat[k]]
+        out, at = [], 0
+        for text, c in zip(texts, cuts, strict=True):
+            out.append(self._whole([text])[0] if c is None else b"".join(got[at : at + len(c)]))
+            at += len(c or ())
+        return out
 
 
 # --- the index ------------------------------------------------------------------------------------
