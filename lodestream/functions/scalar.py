@@ -40,28 +40,49 @@ def visitor(key: Column, device: Column) -> Column:
 
 
 #: What feeds write where a number is missing, in lower case.
-MISSING = ["", ".", "..", "-", "--", "n/a", "na", "(na)", "nan", "none", "null"]
+MISSING = ["", ".", "..", "-", "--", "---", "n/a", "na", "(na)", "nan", "none", "null"]
 
 
-def decimal_text(text: Column) -> Column:
-    """Number in a feed's text as a decimal: commas, unicode minus, parentheses for negatives, missing tokens; null if it is none."""
+def decimal_string(text: Column) -> Column:
+    """Number in a feed's text as plain decimal text, digit for digit: commas, unicode minus, parentheses for negatives, exponents.
+
+    No exponent, no zeros that say nothing, no "-0"; null for missing tokens, for what is no number, and for exponents of
+    four digits and more.
+    """
     t = F.translate(F.trim(text), "−,\u00a0 ", "-")
     t = F.when(~F.lower(t).isin(*MISSING), t)
     t = F.when(t.rlike(r"^\(.*\)$"), F.concat(F.lit("-"), F.regexp_extract(t, r"^\((.*)\)$", 1))).otherwise(t)
-    return F.when(t.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"), t.try_cast("decimal(38, 12)"))
-
-
-def period_start(text: Column) -> Column:
-    """First day of a period written YYYY, YYYY-Qn, YYYY-MM or YYYY-MM-DD; null for anything else."""
-    t = F.trim(text)
-    year = F.regexp_extract(t, r"^(\d{4})", 1)
-    quarter = F.regexp_extract(t, r"^\d{4}-?Q([1-4])$", 1)
-    return F.coalesce(
-        F.when(t.rlike(r"^\d{4}$"), F.concat(t, F.lit("-01-01")).try_cast("date")),
-        F.when(quarter != "", F.concat(year, F.lit("-"), F.lpad((quarter.try_cast("int") * 3 - 2).cast("string"), 2, "0"), F.lit("-01")).try_cast("date")),
-        F.when(t.rlike(r"^\d{4}-\d{2}$"), F.concat(t, F.lit("-01")).try_cast("date")),
-        F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), t.try_cast("date")),
-    )
+    form = r"^([+-]?)([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]{1,3}))?$"
+    sign, whole, part = (F.regexp_extract(t, form, k) for k in (1, 2, 3))
+    power = F.coalesce(F.regexp_extract(t, form, 4).try_cast("int"), F.lit(0))
+    digits, point = F.concat(whole, part), F.length(whole) + power
+    zeros = lambda n: F.repeat(F.lit("0"), F.greatest(n, F.lit(0)))
+    left = F.when(point > 0, F.concat(F.substring(digits, F.lit(1), F.greatest(point, F.lit(0))), zeros(point - F.length(digits)))).otherwise("")
+    right = F.when(point < 0, F.concat(zeros(-point), digits)).otherwise(F.substring(digits, F.greatest(point, F.lit(0)) + 1, F.length(digits)))
+    left, right = F.regexp_replace(left, "^0+", ""), F.regexp_replace(right, "0+$", "")
+    plain = F.concat(F.when(left == "", "0").otherwise(left), F.when(right == "", "").otherwise(F.concat(F.lit("."), right)))
+    return F.when(t.rlike(form) & (digits != ""), F.concat(F.when((sign == "-") & (plain != "0"), "-").otherwise(""), plain))
+
+
+def decimal_text(text: Column) -> Column:
+    """:func:`decimal_string` as a decimal(38, 12); null, not a cut number, where that type cannot hold it."""
+    t = decimal_string(text)
+    return F.when(t.rlike(r"^-?[0-9]{1,26}(\.[0-9]{1,12})?$"), t.try_cast("decimal(38, 12)"))
+
+
+def period_start(text: Column, frequency: Column | None = None) -> Column:
+    """First day of a period written YYYY, YYYY-Qn, YYYY-MM, YYYY-Mnn or YYYY-MM-DD; null for anything else.
+
+    Given a ``frequency``, a year counts for ANNUAL only, a quarter for QUARTERLY, a month for MONTHLY; days count for all.
+    """
+    t = F.upper(F.trim(text))
+    year, rest = F.regexp_extract(t, r"^(\d{4})", 1), F.regexp_extract(t, r"^\d{4}-?(.*)$", 1)
+    dashed = F.substring(t, 5, 1) == "-"
+    of = lambda name: F.lit(True) if frequency is None else F.coalesce(frequency == name, F.lit(False))
+    quarter, month = F.regexp_extract(rest, "^Q([1-4])$", 1).try_cast("int"), F.regexp_extract(rest, r"^M?(\d\d)$", 1)
+    day = F.when(of("QUARTERLY") & quarter.isNotNull(), F.concat_ws("-", year, F.lpad((quarter * 3 - 2).cast("string"), 2, "0"), F.lit("01")))
+    day = day.when(of("MONTHLY") & dashed & (month != ""), F.concat_ws("-", year, month, F.lit("01"))).when(of("ANNUAL") & (t == year), F.concat(t, F.lit("-01-01")))
+    return day.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), t).try_cast("date")
 
 
 #: Days of a unit, and days of the usual bands.
@@ -76,38 +97,47 @@ def horizon_text(raw: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(raw), r"[(（].*?[)）]", " "), r"\s+", " "))
 
 
+#: Kinds of the tokens of a horizon, one letter each; tokens of no kind and ``of``, ``the``, ``next`` say nothing.
+_KINDS = [("Y", r"\d{4}"), ("n", r"\d+"), ("M", "|".join(MONTHS)), ("U", "|".join(f"{u}s?" for u in UNIT_DAYS)), ("c", "[wmqy]"), ("h", "h"), ("e", "end"), ("r", "remainder|rest"), ("-", "-|–|to")]
+
+
 def horizon_end(start: Column, t: Column) -> Column:
     """Date that a horizon (a column of :func:`horizon_text`) points to, from ``start``; null if unclear, or if a date so named is not after ``start``.
 
-    Named dates: a day, a month (2026-07, July 2026, July: the next one), a quarter or half (Q3 2026, 2026H2), a year,
-    the end of this year; each means its last day. Spans: a number or the middle of two, in days (a month has 30).
+    A text is a row of tokens, and what it means follows from their kinds. Named dates: a day, a month (2026-07, July 2026,
+    July: the next one), a quarter or half (Q3 2026, 2026H2), a year, the end of this year; each means its last day.
+    Spans: a number or the middle of two, in days (a month has 30), and the usual bands.
     """
-    got = lambda p, k=1: F.nullif(F.regexp_extract(t, p, k), F.lit(""))
-    number = lambda p, k=1: got(p, k).try_cast("int")
-    last = lambda y, m: F.last_day(F.when(m.between(1, 12), F.make_date(y, m, F.lit(1))))
+    kind = lambda x: F.coalesce(*[F.when(x.rlike(f"^({p})$"), k) for k, p in _KINDS], F.lit(""))
+    tokens = F.filter(F.regexp_extract_all(t, F.lit("([0-9]+|[a-z]+|[-–])"), F.lit(1)), lambda x: kind(x) != "")
+    full = F.array_join(F.transform(tokens, kind), "")
+    named = F.filter(tokens, lambda x: kind(x) != "-")
+    shape = F.array_join(F.transform(named, kind), "")
+    word = lambda i: F.try_element_at(named, F.lit(i))
+    number = lambda i: word(i).try_cast("int")
     month_no = lambda name: F.nullif(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), name), F.lit(0)).cast("int")
-    day = F.concat_ws("-", got(r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})$"), F.lpad(got(r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})$", 2), 2, "0"), F.lpad(got(r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})$", 3), 2, "0"))
-    dash = r"^(\d{4})(?:[-/]| ?年 ?)(\d{1,2}) ?月?$"
-    named = r"^([a-z]+) (\d{4})$"
-    quarter_first, quarter_last = r"^q([1-4]) ?(\d{4})$", r"^(\d{4})[ -]?q([1-4])$"
-    half_first, half_last = r"^h([12]) ?(\d{4})$", r"^(\d{4}) ?h([12])$"
-    year = r"^(?:end[ -]?(?:of[ -]?)?|remainder of |rest of )?(\d{4})(?: ?(?:end|year[ -]?end))?$"
-    bare = last(F.year(start), month_no(t))
-    date = F.coalesce(
-        day.try_cast("date"), last(number(dash), number(dash, 2)), last(number(named, 2), month_no(got(named))),
-        last(number(quarter_first, 2), number(quarter_first) * 3), last(number(quarter_last), number(quarter_last, 2) * 3),
-        last(number(half_first, 2), number(half_first) * 6), last(number(half_last), number(half_last, 2) * 6), last(number(year), F.lit(12)),
-        F.when(t.rlike(r"^(year[ -]?end|end of (the )?year)$"), last(F.year(start), F.lit(12))),
-        F.when(bare > start, bare), last(F.year(start) + 1, month_no(t)),
+    last = lambda y, m: F.last_day(F.when(m.between(1, 12), F.make_date(y, m, F.lit(1))))
+    day = F.concat_ws("-", word(1), F.lpad(word(2), 2, "0"), F.lpad(word(3), 2, "0")).try_cast("date")
+    bare = last(F.year(start), month_no(word(1)))
+    quiet = ~F.exists(F.regexp_extract_all(t, F.lit("([a-z]+)"), F.lit(1)), lambda x: (kind(x) == "") & ~x.isin("of", "the"))  # no word besides
+    date = (
+        F.when(shape == "Ynn", day).when(shape == "Yn", last(number(1), number(2))).when(shape == "MY", last(number(2), month_no(word(1))))
+        .when((shape == "cnY") & (word(1) == "q"), last(number(3), number(2) * 3)).when((shape == "Ycn") & (word(2) == "q"), last(number(1), number(3) * 3))
+        .when(shape == "hnY", last(number(3), number(2) * 6)).when(shape == "Yhn", last(number(1), number(3) * 6))
+        .when(shape.isin("Y", "Ye", "YUe"), last(number(1), F.lit(12))).when(shape.isin("eY", "rY"), last(number(2), F.lit(12)))
+        .when(shape.isin("Ue", "eU") & t.contains("year"), last(F.year(start), F.lit(12)))
+        .when(shape == "M", F.when(bare > start, bare).otherwise(last(F.year(start) + 1, month_no(word(1)))))
     )
     days_of = lambda unit: F.coalesce(*[F.when(F.regexp_replace(unit, "s$", "") == k, n) for k, n in UNIT_DAYS.items()])
-    band, one, code = r"(\d+) ?(?:-|–|to) ?(\d+) ?([a-z]+)", r"(\d+) ?([a-z]+)", r"^(\d+)([wmqy])$"
+    code_of = F.coalesce(*[F.when(word(2) == k, n) for k, n in CODE_DAYS.items()])
+    at = lambda p, i: F.try_element_at(tokens, F.nullif(F.instr(full, p), F.lit(0)) + i)
     days = F.coalesce(
-        (number(band) + number(band, 2)) / 2.0 * days_of(got(band, 3)), number(one) * days_of(got(one, 2)),
-        number(code) * F.coalesce(*[F.when(got(code, 2) == k, n) for k, n in CODE_DAYS.items()]), *[F.when(t.rlike(f"^{p}$"), n) for p, n in BANDS],
+        (at("n-nU", 0).try_cast("int") + at("n-nU", 2).try_cast("int")) / 2.0 * days_of(at("n-nU", 3)), at("nU", 0).try_cast("int") * days_of(at("nU", 1)),
+        F.when(full == "nc", number(1) * code_of), *[F.when(t.rlike(f"^{p}$"), n) for p, n in BANDS],
     )
     unclear = t.isNull() | t.rlike("^(unknown|not specified|n/a|none)?$")
-    return F.when(~unclear & date.isNotNull(), F.when(date > start, date)).when(~unclear, F.date_add(start, half_up(days).cast("int")))
+    fixed = F.when(quiet, date)
+    return F.when(~unclear & fixed.isNotNull(), F.when(fixed > start, fixed)).when(~unclear, F.date_add(start, half_up(days).cast("int")))
 
 
 def local_to_utc(text: Column, zone: str) -> Column:

@@ -142,9 +142,9 @@ def watch_phase(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumn("phase", phase).select("event_id", "phase", every.alias("every_s"))
 
 
-PRINTS = f"""{VIN}, pr AS (SELECT v.*, CASE (month(period) + source_rank) % 4 WHEN 0 THEN 'DRAFT' WHEN 1 THEN 'PRELIMINARY' ELSE 'PUBLISHED' END AS status, (last_day(period) + 25)::DATE AS scheduled,
+PRINTS = f"""{VIN}, pr AS (SELECT v.*, CASE (month(period) + source_rank) % 4 WHEN 0 THEN 'DRAFT' WHEN 1 THEN 'PRELIMINARY' ELSE 'PUBLISHED' END AS status, (last_day(period) + 25)::DATE AS scheduled, date_trunc('month', last_day(period) + 25 - INTERVAL 1 MONTH)::DATE AS target,
 CASE WHEN month(period) % 2 = 0 THEN vintage - 2 END AS published, lag(value) OVER w AS before, lag(vintage) OVER w AS before_at FROM vin v WINDOW w AS (PARTITION BY period ORDER BY vintage))"""
-IS_FRESH = "vintage >= scheduled AND status IN ('PUBLISHED', 'PRELIMINARY') AND CASE WHEN published IS NOT NULL THEN published >= scheduled ELSE before IS NULL OR before_at >= scheduled OR value <> before END"
+IS_FRESH = "period = target AND vintage >= scheduled AND status IN ('PUBLISHED', 'PRELIMINARY') AND CASE WHEN published IS NOT NULL THEN published >= scheduled ELSE before IS NULL OR before_at >= scheduled OR value <> before END"
 
 
 def prints(spark: SparkSession, d: str) -> DataFrame:
@@ -152,15 +152,16 @@ def prints(spark: SparkSession, d: str) -> DataFrame:
     k = (F.month("period") + F.col("source_rank")) % 4
     return vintages(spark, d).select(
         "*", F.when(k == 0, "DRAFT").when(k == 1, "PRELIMINARY").otherwise("PUBLISHED").alias("status"), F.date_add(F.last_day("period"), 25).alias("scheduled"),
+        F.trunc(F.add_months(F.date_add(F.last_day("period"), 25), -1), "month").alias("target"),  # a release is about the month before it
         F.when(F.month("period") % 2 == 0, F.date_sub("vintage", 2)).alias("published"), F.lag("value").over(w).alias("before"), F.lag("vintage").over(w).alias("before_at"),
     )
 
 
 def is_fresh() -> Column:
-    """A print fetched at or after the schedule, published; by its publication date if known, else it must differ from what was stored before the schedule."""
+    """A print of the period that the release is about (``target``), fetched at or after the schedule, published; by its publication date if known, else it must differ from what was stored before the schedule."""
     known = F.col("published") >= F.col("scheduled")
     new = F.col("before").isNull() | (F.col("before_at") >= F.col("scheduled")) | (F.col("value") != F.col("before"))
-    return (F.col("vintage") >= F.col("scheduled")) & F.col("status").isin("PUBLISHED", "PRELIMINARY") & F.when(F.col("published").isNotNull(), known).otherwise(new)
+    return F.col("period").eqNullSafe(F.col("target")) & (F.col("vintage") >= F.col("scheduled")) & F.col("status").isin("PUBLISHED", "PRELIMINARY") & F.when(F.col("published").isNotNull(), known).otherwise(new)
 
 
 @query(f"WITH {PRINTS} SELECT period::VARCHAR AS period, source_rank, {IS_FRESH} AS fresh FROM pr")

@@ -45,20 +45,37 @@ def topic_vote(spark: SparkSession, d: str) -> DataFrame:
     return notes(spark, d).withColumn("votes", votes).select("o_orderkey", "votes", (F.col("votes") >= 2).alias("is_topic"))
 
 
-_NUMBER = r"([0-9][0-9,]{1,7}(?:\.[0-9]+)?)"
-_CUE = r"(?:target|forecast|price objective)[^.\n]{0,60}?"
+#: Words that introduce a target, and how far from them its amount may stand.
+CUES, NEAR, LEAST, MOST = "target|forecast|price objective", 60, 1, 200_000
 
 
-@query(rf"""WITH {NOTES}, m AS (SELECT o_orderkey, regexp_extract(body, '{_CUE}from *\$? *{_NUMBER} *to *\$? *{_NUMBER}', 1) AS f, regexp_extract(body, '{_CUE}from *\$? *{_NUMBER} *to *\$? *{_NUMBER}', 2) AS t,
-regexp_extract_all(body, '{_CUE}\$ *{_NUMBER}', 1) AS l FROM notes)
-SELECT o_orderkey, CASE WHEN f <> '' THEN replace(t, ',', '')::DOUBLE ELSE list_filter([replace(x, ',', '')::DOUBLE FOR x IN l], lambda x: x BETWEEN 1 AND 200000)[-1] END AS target, CASE WHEN f <> '' THEN replace(f, ',', '')::DOUBLE END AS previous FROM m""")
+def stated_target(body: Column) -> tuple[Column, Column]:
+    """(target, previous) that a text states, whatever the case: "from X to Y" (or an arrow) behind a word of the trade, else the last amount of money behind one.
+
+    A text is cut at those words and each piece is read up to the end of its sentence. Amounts have two to eight digits and
+    commas; other amounts of money are none.
+    """
+    amount = r"\$?\s*([0-9][0-9,]{1,7}(?:\.[0-9]+)?)"
+    cut = F.split(F.lower(body), CUES)
+    pieces = F.slice(cut, F.lit(2), F.greatest(F.size(cut) - 1, F.lit(0)))
+    moved = rf"^[^.\n]{{0,{NEAR}}}?from\s*{amount}\s*(?:to|->|→)\s*{amount}"
+    value = lambda piece, form, k: F.regexp_replace(F.regexp_extract(piece, form, k), ",", "").try_cast("double")
+    from_to = F.try_element_at(F.filter(F.transform(pieces, lambda p: F.struct(value(p, moved, 1).alias("before"), value(p, moved, 2).alias("after"))), lambda x: x["after"].isNotNull()), F.lit(1))
+    money = F.filter(F.transform(pieces, lambda p: value(p, rf"^[^.\n$]{{0,{NEAR}}}(?=\$){amount}", 1)), lambda x: x.between(LEAST, MOST))
+    return F.coalesce(from_to["after"], F.try_element_at(money, F.lit(-1))), from_to["before"]
+
+
+_AMOUNT = r"\$? *([0-9][0-9,]{1,7}(?:\.[0-9]+)?)"
+
+
+@query(rf"""WITH {NOTES}, p AS (SELECT o_orderkey, regexp_split_to_array(lower(body), '{CUES}')[2:] AS ps FROM notes),
+m AS (SELECT o_orderkey, list_filter(ps, lambda x: regexp_matches(x, '^[^.]*from {_AMOUNT} to {_AMOUNT}'))[1] AS moved, list_filter(list_transform(ps, lambda x: regexp_extract(x, '^[^.$]*\$ *([0-9][0-9,]{{1,7}}(?:\.[0-9]+)?)', 1)), lambda x: x <> '') AS said FROM p)
+SELECT o_orderkey, CASE WHEN moved IS NOT NULL THEN replace(regexp_extract(moved, 'from {_AMOUNT} to {_AMOUNT}', 2), ',', '')::DOUBLE ELSE list_filter([replace(x, ',', '')::DOUBLE FOR x IN said], lambda x: x BETWEEN {LEAST} AND {MOST})[-1] END AS target,
+replace(regexp_extract(moved, 'from {_AMOUNT} to {_AMOUNT}', 1), ',', '')::DOUBLE AS previous FROM m""")
 def targets_in_text(spark: SparkSession, d: str) -> DataFrame:
     """A target "from X to Y", else the last amount that a target word introduces; other amounts are none."""
-    pair = rf"{_CUE}from *\$? *{_NUMBER} *to *\$? *{_NUMBER}"
-    value = lambda c: F.regexp_replace(c, ",", "").try_cast("double")
-    before, after = value(F.regexp_extract("body", pair, 1)), value(F.regexp_extract("body", pair, 2))
-    said = F.filter(F.transform(F.regexp_extract_all("body", F.lit(rf"{_CUE}\$ *{_NUMBER}"), 1), value), lambda x: x.between(1, 200000))
-    return notes(spark, d).select("o_orderkey", F.coalesce(after, F.try_element_at(said, F.lit(-1))).alias("target"), before.alias("previous"))
+    target, previous = stated_target(F.col("body"))
+    return notes(spark, d).select("o_orderkey", target.alias("target"), previous.alias("previous"))
 
 
 @query("""WITH s AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_discount >= 0.08 THEN 1 WHEN l_discount <= 0.01 THEN -1 WHEN l_tax = 0 THEN NULL ELSE 0 END AS sign FROM lineitem)
@@ -92,21 +109,53 @@ def statements(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fraction(t: Column) -> Column:
-    """A number written as 5, 5.25, 1/2 or 5-1/4."""
-    part = F.regexp_extract(t, r"^(?:(\d+(?:\.\d+)?)(?:-|$))?(?:(\d+)/(\d+))?$", 1)
-    over, under = (F.regexp_extract(t, r"(\d+)/(\d+)$", k).try_cast("double") for k in (1, 2))
-    return F.when(t != "", F.coalesce(part.try_cast("double"), F.lit(0.0)) + F.coalesce(over / F.nullif(under, F.lit(0.0)), F.lit(0.0)))
+    """A number written as 5, 5.25, 1/2, 5-1/4, 5 1/4 or 5¼; null if it is none."""
+    for sign, spelled in (("¼", " 1/4"), ("½", " 1/2"), ("¾", " 3/4")):
+        t = F.replace(t, F.lit(sign), F.lit(spelled))
+    parts = F.filter(F.split(F.trim(t), "[ -]+"), lambda x: x != "")
+    one = lambda x: F.when(F.contains(x, F.lit("/")), F.split_part(x, F.lit("/"), F.lit(1)).try_cast("double") / F.nullif(F.split_part(x, F.lit("/"), F.lit(2)).try_cast("double"), F.lit(0.0))).otherwise(x.try_cast("double"))
+    return F.when(F.size(parts) > 0, F.aggregate(parts, F.lit(0.0), lambda s, x: s + one(x)))
+
+
+#: What a verb before "target range" decides, by its stem.
+DECISIONS = {"rais": "HIKE", "increas": "HIKE", "lower": "CUT", "reduc": "CUT", "maintain": "HOLD", "keep": "HOLD", "kept": "HOLD", "retain": "HOLD"}
 
 
 def policies(statements: DataFrame) -> DataFrame:
-    """(day, decision, change_bps, lower, upper, votes_for, votes_against) of policy statements (day, body)."""
-    got = lambda p, k=1: F.regexp_extract("body", p, k)
-    verb = got(r"(?i)(?:decided|agreed)\s+to\s+(raise|increase|lower|reduce|maintain|keep|retain)")
-    decision = F.when(verb.rlike("raise|increase"), "HIKE").when(verb.rlike("lower|reduce"), "CUT").when(verb.rlike("maintain|keep|retain"), "HOLD").otherwise("OTHER")
-    by, bounds, vote = r"by\s+([0-9/.-]+)\s+(basis|percentage)\s+points?", r", to ([0-9]+(?:\.[0-9]+)?(?:-[0-9]/[0-9])?) to ([0-9]+(?:\.[0-9]+)?(?:-[0-9]/[0-9])?) percent", r"by a\s+(\d+)\s*[–—-]\s*(\d+)\s+vote"
-    rows = statements.select("day", decision.alias("decision"), got(by).alias("by"), got(by, 2).alias("unit"), got(bounds).alias("low"), got(bounds, 2).alias("high"), got(vote).try_cast("long").alias("votes_for"), got(vote, 2).try_cast("long").alias("votes_against"))
-    step = fraction(F.col("by")) * F.when(F.col("unit") == "basis", 1).otherwise(100) * F.when(F.col("decision") == "CUT", -1).otherwise(1)
-    return rows.select("day", "decision", F.when(F.col("decision") == "HOLD", 0.0).otherwise(step).alias("change_bps"), fraction(F.col("low")).alias("lower"), fraction(F.col("high")).alias("upper"), "votes_for", "votes_against")
+    """(day, decision, change_bps, lower, upper, votes_for, votes_against) of policy statements (day, body).
+
+    A statement is cut at "target range" and at its lists of votes: the last verb before the range decides, step and bounds
+    stand around it, and what voters preferred decides nothing. Votes are a tally, else the names that are listed.
+    """
+    body = F.regexp_replace("body", r"\s+", " ")
+    sections = F.split(body, r"(?i)(?=voting (?:for|against) )")
+    head = sections[0]
+    ahead, behind = F.split_part(F.lower(head), F.lit("target range"), F.lit(1)), F.substring_index(F.lower(head), "target range", -1)
+    ranged = F.contains(F.lower(head), F.lit("target range"))
+    stems = F.regexp_extract_all(F.right(ahead, F.lit(180)), F.lit(rf"\b({'|'.join(DECISIONS)})"), F.lit(1))
+    last = F.try_element_at(stems, F.lit(-1))
+    decision = F.coalesce(F.when(ranged, F.coalesce(*[F.when(last == k, v) for k, v in DECISIONS.items()])), F.lit("OTHER"))
+    rate = r"([0-9]+(?:\.[0-9]+)?(?:[- ][0-9]+/[0-9]+)?|[0-9]+/[0-9]+|[0-9]*[¼½¾])"
+    step, bounds = rf"\bby {rate} (basis|percentage) points?", rf"{rate} (?:to|and|–|—) {rate} percent"
+    near = F.left(behind, F.lit(300))
+    by = lambda k: F.coalesce(F.nullif(F.regexp_extract(near, step, k), F.lit("")), F.nullif(F.regexp_extract(F.right(ahead, F.lit(120)), step, k), F.lit("")))
+    tally = lambda k: F.regexp_extract(head, r"(?i)by an? (\d+) ?[–—-] ?(\d+) vote", k).try_cast("long")
+
+    def listed(side: str) -> Column:
+        own = F.get(F.filter(sections, lambda x: F.startswith(F.lower(x), F.lit(f"voting {side} "))), F.lit(0))
+        names = F.regexp_replace(F.regexp_extract(own, r"(?:were|was) (.*)$", 1), r"(?i)(,? who .*|\. (?:absent|voting).*|\. ?)$", "")
+        people = F.filter(F.split(names, r",? and |, "), lambda x: F.trim(x) != "")
+        proper = F.forall(people, lambda x: x.rlike(r"[A-Z][\w.'’-]+( [A-Z][\w.'’-]*)+"))
+        return F.when(own.isNotNull() & (F.size(people) > 0) & proper, F.size(people).cast("long"))
+
+    ayes, noes = listed("for"), listed("against")
+    rows = statements.select(
+        "day", decision.alias("decision"), by(1).alias("by"), by(2).alias("unit"), F.regexp_extract(near, bounds, 1).alias("low"), F.regexp_extract(near, bounds, 2).alias("high"),
+        F.coalesce(tally(1), ayes).alias("votes_for"), F.coalesce(tally(2), noes, F.when(ayes.isNotNull(), F.lit(0).cast("long"))).alias("votes_against"),
+    )
+    change = fraction(F.col("by")) * F.when(F.col("unit") == "basis", 1).otherwise(100) * F.when(F.col("decision") == "CUT", -1).otherwise(1)
+    bound = lambda c: fraction(F.nullif(F.col(c), F.lit("")))
+    return rows.select("day", "decision", F.when(F.col("decision") == "HOLD", 0.0).when(F.col("decision") != "OTHER", change).alias("change_bps"), bound("low").alias("lower"), bound("high").alias("upper"), "votes_for", "votes_against")
 
 
 @query(f"WITH {MEETINGS}, {_POLICY_SQL} SELECT day::VARCHAR AS day, decision, change_bps, lower, upper, votes_for, votes_against FROM p")

@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestream.functions.scalar import decimal_text, period_start
+from lodestream.functions.scalar import decimal_string, decimal_text, period_start
 
-#: (period, value, status, vintage) in order of period and vintage is what all series parsers return.
 
 
 def _series(rows: DataFrame) -> DataFrame:
-    return rows.select("series", "period", "value", "status", "vintage").where("value IS NOT NULL AND period IS NOT NULL")
+    """What all series parsers return: the number as text, digit for digit, and as a decimal (null where that cannot hold it)."""
+    text = decimal_string(F.col("value"))
+    return rows.select("series", "period", decimal_text(F.col("value")).alias("value"), "status", "vintage", text.alias("value_text")).where("value_text IS NOT NULL AND period IS NOT NULL")
 
 
 def bls_series(raw: DataFrame, text: str, fetched: str) -> DataFrame:
@@ -25,19 +26,19 @@ def bls_series(raw: DataFrame, text: str, fetched: str) -> DataFrame:
     rows = rows.select(F.col("s.seriesID").alias("series"), F.explode("s.data").alias("d"), "vintage").where(F.col("d.period").rlike("^M(0[1-9]|1[0-2])$"))
     early = F.exists(F.coalesce("d.footnotes", F.array().cast("array<struct<code:string>>")), lambda f: f["code"] == "P")
     period = F.concat("d.year", F.lit("-"), F.substring("d.period", 2, 2))
-    return _series(rows.select("series", period_start(period).alias("period"), decimal_text(F.col("d.value")).alias("value"), F.when(early, "PRELIMINARY").otherwise("PUBLISHED").alias("status"), "vintage"))
+    return _series(rows.select("series", period_start(period).alias("period"), F.col("d.value").alias("value"), F.when(early, "PRELIMINARY").otherwise("PUBLISHED").alias("status"), "vintage"))
 
 
 def fred_series(raw: DataFrame, text: str, series: str) -> DataFrame:
     """Observations whose realtime start is the vintage; ``.`` is a missing value."""
     rows = raw.select(F.col(series).alias("series"), F.explode(F.from_json(text, "observations ARRAY<STRUCT<realtime_start: STRING, date: STRING, value: STRING>>")["observations"]).alias("o"))
-    return _series(rows.select("series", period_start(F.col("o.date")).alias("period"), decimal_text(F.col("o.value")).alias("value"), F.lit("PUBLISHED").alias("status"), F.col("o.realtime_start").try_cast("timestamp").alias("vintage")))
+    return _series(rows.select("series", period_start(F.col("o.date")).alias("period"), F.col("o.value").alias("value"), F.lit("PUBLISHED").alias("status"), F.col("o.realtime_start").try_cast("timestamp").alias("vintage")))
 
 
 def eia_series(raw: DataFrame, text: str, series: str, fetched: str) -> DataFrame:
     """Rows of the asked series; others are dropped."""
     rows = raw.select(F.col(series).alias("series"), F.explode(F.from_json(text, "response STRUCT<data: ARRAY<STRUCT<period: STRING, series: STRING, value: STRING, units: STRING>>>")["response"]["data"]).alias("o"), F.col(fetched).alias("vintage"))
-    return _series(rows.where("o.series = series").select("series", period_start(F.col("o.period")).alias("period"), decimal_text(F.col("o.value")).alias("value"), F.lit("PUBLISHED").alias("status"), "vintage"))
+    return _series(rows.where("o.series = series").select("series", period_start(F.col("o.period")).alias("period"), F.col("o.value").alias("value"), F.lit("PUBLISHED").alias("status"), "vintage"))
 
 
 def bea_series(raw: DataFrame, text: str, line: str, fetched: str) -> DataFrame:
@@ -47,7 +48,7 @@ def bea_series(raw: DataFrame, text: str, line: str, fetched: str) -> DataFrame:
     t = F.col("o.TimePeriod")
     month = F.concat(F.substring(t, 1, 4), F.lit("-"), F.lpad(F.regexp_extract(t, r"M(\d{1,2})$", 1), 2, "0"))
     period = F.when(t.rlike(r"^\d{4}M\d{1,2}$"), month).when(t.rlike(r"^\d{4}Q[1-4]$"), F.concat(F.substring(t, 1, 4), F.lit("-"), F.substring(t, 5, 2))).otherwise(t)
-    return _series(rows.select(F.col("o.TableName").alias("series"), period_start(period).alias("period"), decimal_text(F.col("o.DataValue")).alias("value"), F.lit("PUBLISHED").alias("status"), "vintage"))
+    return _series(rows.select(F.col("o.TableName").alias("series"), period_start(period).alias("period"), F.col("o.DataValue").alias("value"), F.lit("PUBLISHED").alias("status"), "vintage"))
 
 
 def market_quotes(raw: DataFrame, text: str) -> DataFrame:

@@ -6,7 +6,9 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from lodestream.functions.scalar import change, decimal_text, half_up, horizon_end, horizon_text, local_to_utc, period_start, rate, strict_sum, wilson
+from lodestream.functions.scalar import change, decimal_string, decimal_text, half_up, horizon_end, horizon_text, local_to_utc, period_start, rate, strict_sum, wilson
+from lodestream.plans.capture import is_fresh
+from lodestream.plans.texts import policies, stated_target
 from lodestream.operators.relational import asof_backward, asof_within, changed_only, keyset_page, latest_per_key, ranked_values, sessions
 from lodestream.operators.text import bigram_dice, canonical_url, robots_verdict, sentences
 
@@ -43,12 +45,30 @@ def test_decimal_text(spark, text, want):
     assert (got is None) == (want is None) and (got is None or got == Decimal(str(want)))
 
 
+@pytest.mark.parametrize("text,want", [
+    ("12,345,678,901,234,567,890.1234500", "12345678901234567890.12345"), ("12345678901234567890.123456789012345", "12345678901234567890.123456789012345"), ("1e-30", "0." + "0" * 29 + "1"), ("0.000000000000000000000000000001", "0." + "0" * 29 + "1"), ("314.100", "314.1"),
+    ("-0.0", "0"), ("+1.5E3", "1500"), ("12.5e-1", "1.25"), ("(2.50)", "-2.5"), (".5", "0.5"), ("5.", "5"), ("007", "7"), (".", None), ("1e9999", None), ("e5", None), ("1.2.3", None), ("---", None), (None, None),
+])
+def test_decimal_string(spark, text, want):
+    assert one(spark, decimal_string(F.col("x")), x=text) == want
+
+
+@pytest.mark.parametrize("text", ["1e-30", "12345678901234567890.123456789012345", "1e30"])
+def test_decimals_beyond_the_type_are_null(spark, text):
+    assert one(spark, decimal_text(F.col("x")), x=text) is None
+
+
+@pytest.mark.parametrize("text,frequency,want", [("2026-M05", "MONTHLY", dt.date(2026, 5, 1)), ("2026-m05", None, dt.date(2026, 5, 1)), ("2026-05", "QUARTERLY", None), ("2026", "MONTHLY", None), ("2026", "ANNUAL", dt.date(2026, 1, 1)), ("2026q3", "QUARTERLY", dt.date(2026, 7, 1)), ("2026-Q3", "ANNUAL", None), ("2026-05-09", "WEEKLY", dt.date(2026, 5, 9)), ("2026-13", "MONTHLY", None), ("2026-5", "MONTHLY", None)])
+def test_period_of_a_frequency(spark, text, frequency, want):
+    assert one(spark, period_start(F.col("x"), F.lit(frequency) if frequency else None), x=text) == want
+
+
 @pytest.mark.parametrize("text,want", [("2026-Q3", dt.date(2026, 7, 1)), ("2026", dt.date(2026, 1, 1)), ("2026-05", dt.date(2026, 5, 1)), ("2026-05-09", dt.date(2026, 5, 9)), ("2026-13", None), ("May", None)])
 def test_period_start(spark, text, want):
     assert one(spark, period_start(F.col("x")), x=text) == want
 
 
-@pytest.mark.parametrize("text,want", [("3M", dt.date(2026, 4, 1)), ("2 weeks", dt.date(2026, 1, 15)), ("end of 2027", dt.date(2027, 12, 31)), ("2026-Q2", dt.date(2026, 6, 30)), ("Year-end", dt.date(2026, 12, 31)), ("soon", None), ("2-4 months (base case)", dt.date(2026, 4, 1)), ("q1 2027", dt.date(2027, 3, 31)), ("2025", None), ("March", dt.date(2026, 3, 31)), ("2026/2/3", dt.date(2026, 2, 3)), ("mid-term", dt.date(2026, 4, 1)), (None, None), ("over time", None), ("H1 2028", dt.date(2028, 6, 30))])
+@pytest.mark.parametrize("text,want", [("3M", dt.date(2026, 4, 1)), ("2 weeks", dt.date(2026, 1, 15)), ("end of 2027", dt.date(2027, 12, 31)), ("2026-Q2", dt.date(2026, 6, 30)), ("Year-end", dt.date(2026, 12, 31)), ("soon", None), ("2-4 months (base case)", dt.date(2026, 4, 1)), ("q1 2027", dt.date(2027, 3, 31)), ("2025", None), ("March", dt.date(2026, 3, 31)), ("2026/2/3", dt.date(2026, 2, 3)), ("mid-term", dt.date(2026, 4, 1)), (None, None), ("over time", None), ("H1 2028", dt.date(2028, 6, 30)), ("12 months", dt.date(2026, 12, 27)), ("1 year", dt.date(2027, 1, 1)), ("next 8–10 weeks", dt.date(2026, 3, 5)), ("3 to 6 months", dt.date(2026, 5, 16)), ("medium-term (3-6 months)", dt.date(2026, 4, 1)), ("2026年12月", dt.date(2026, 12, 31)), ("2026 year-end", dt.date(2026, 12, 31)), ("July 2026", dt.date(2026, 7, 31)), ("2026H2", dt.date(2026, 12, 31)), ("end of the year", dt.date(2026, 12, 31)), ("rest of 2026", dt.date(2026, 12, 31)), ("January", dt.date(2026, 1, 31)), ("coming quarters", None), ("next months", None), ("over 2026 or so", None), ("2026-02-30", None), ("2025-01-31", None)])
 def test_horizon_end(spark, text, want):
     assert one(spark, horizon_end(F.lit("2026-01-01").cast("date"), horizon_text(F.col("x"))), x=text) == want
 
@@ -102,3 +122,42 @@ def test_text(spark):
     rules = [("disallow", "/a"), ("allow", "/a/b"), ("disallow", "/*.pdf$")]
     got = [one(spark, robots_verdict(F.col("x"), rules), x=p) for p in ("/a/x", "/a/b/c", "/c/d.pdf", "/c")]
     assert got == [False, True, False, True]
+
+
+FRESH = "period date, target date, vintage date, scheduled date, status string, published date, before int, before_at date, value int"
+JUL, JUN, DAY = dt.date(2026, 7, 1), dt.date(2026, 6, 1), dt.date(2026, 8, 12)
+
+
+@pytest.mark.parametrize("change,want", [
+    ({}, True), ({"period": JUN}, False), ({"vintage": DAY - dt.timedelta(1)}, False), ({"status": "DRAFT"}, False), ({"published": DAY}, True), ({"published": DAY - dt.timedelta(1)}, False),
+    ({"before": 5}, False), ({"before": 6}, True), ({"before": 5, "before_at": DAY}, True),
+])
+def test_fresh_prints_are_of_the_target_period(spark, change, want):
+    row = {"period": JUL, "target": JUL, "vintage": DAY, "scheduled": DAY, "status": "PUBLISHED", "published": None, "before": None, "before_at": JUN if change.get("before") else None, "value": 5} | change
+    df = spark.createDataFrame([tuple(row.values())], FRESH)
+    assert df.select(F.coalesce(is_fresh(), F.lit(False))).first()[0] is want
+
+
+@pytest.mark.parametrize("text,want", [
+    ("Target price from $10 to $12.", (12.0, 10.0)), ("target price cut FROM 1,500.50 → 1,250 today", (1250.0, 1500.5)), ("Forecast moved from $90 -> $95; price objective $99.", (95.0, 90.0)), ("Our price objective is now $ 4,800 and the forecast $5,000.25.", (5000.25, None)),
+    ("Shares cost $90. The target is unchanged.", (None, None)), ("The target is unchanged. Shares cost $90.", (None, None)), ("Target of $5.", (None, None)), ("A forecast of 90 dollars.", (None, None)), ("Target " + "x" * 70 + " $90", (None, None)),
+    ("TARGET $90, later $95", (90.0, None)), ("target from strength to $90", (90.0, None)), ("", (None, None)), (None, (None, None)),
+])
+def test_stated_targets(spark, text, want):
+    target, previous = stated_target(F.col("x"))
+    r = spark.createDataFrame([(text,)], "x string").select(target.alias("t"), previous.alias("p")).first()
+    assert (r.t, r.p) == want
+
+
+STATEMENTS = [
+    ("The Committee decided to maintain the target range for the federal funds rate at 4-1/4 to 4-1/2 percent.\n\nVoting for the monetary policy action were Jerome H. Powell, John C. Williams, and Philip N. Jefferson.", ("HOLD", 0.0, 4.25, 4.5, 3, 0)),
+    ("The board approved the following by a 9 – 3 vote:\n\nThe Committee decided to maintain the target range for the federal funds rate at 3-1/2 to 3-3/4 percent.\n\nVoting against the action were Beth M. Hammack, Neel Kashkari, and Lorie K. Logan, who preferred to raise the target range for the federal funds rate by 1/4 percentage point.", ("HOLD", 0.0, 3.5, 3.75, 9, 3)),
+    ("Today it lowered the target range for the federal funds rate by 1/2 percentage point, to 4¾ to 5 percent. Voting for this action were Ann B. Lee and Bo Li. Voting against this action was Cy D. Ray, who preferred less.", ("CUT", -50.0, 4.75, 5.0, 2, 1)),
+    ("The Committee raised its outlook and agreed to increase the target range by 75 basis points, to 1.5 to 1.75 percent.", ("HIKE", 75.0, 1.5, 1.75, None, None)),
+    ("Growth was solid.", ("OTHER", None, None, None, None, None)),
+]
+
+
+def test_policy_statements(spark):
+    got = {r.day: tuple(r)[1:] for r in policies(spark.createDataFrame([(k, s) for k, (s, _) in enumerate(STATEMENTS)], "day int, body string")).collect()}
+    assert got == {k: want for k, (_, want) in enumerate(STATEMENTS)}
