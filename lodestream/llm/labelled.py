@@ -17,7 +17,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 
     Only ids that are not held out count. Of several labels for one id the larger
     holds; null labels and texts are left out, as are texts over ``max_chars``
-    characters (of the training sample only). The choice is by a hash of the id.
+    characters (of the training sample only). The choice is by a hash of the id; of
+    several texts of one id that with the smallest hash counts.
     Weights restore the share of each class among all labelled rows.
     """
     known = (
@@ -31,7 +32,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     chosen = F.broadcast(ids[0].union(ids[1]))  # at most 2 * per_class rows
     rows = (
         docs.select(F.col("doc_id").alias("id"), F.col("text").alias("text")).where("text IS NOT NULL").where(F.length("text") <= max_chars)
-        .join(chosen, "id").dropDuplicates(["id"]).select("id", "text", "y").toPandas().sort_values("id")
+        .join(chosen, "id").groupBy("id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text")).select("id", "text", "y").toPandas().sort_values("id")
     )
     y = rows["y"].to_numpy(dtype=np.float64)
     taken = {c: max(1, int((y == c).sum())) for c in (0, 1)}

@@ -7,33 +7,20 @@ never recompute it and no single executor holds the only copy.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestream.session import new_path, shared_dir
+
 #: Rows up to which a list of 8-byte keys is broadcast (at most 64 MB of hash table).
 BROADCAST_KEYS = 2_000_000
 
 #: Bytes and rows of an Arrow batch between Spark and Python, unless the session sets less.
 BATCH_BYTES, BATCH_ROWS = 2 << 20, 1000
 
-_own: dict[str, str] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of this session; a temporary one only where none is set and Spark is local."""
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not conf.get("spark.master", "").startswith("local["):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-lodestream-")
-    return _own[app]
+#: The shared folder of a session, and a fresh name in it.
+scratch_dir = shared_dir
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "BROADCAST_KEYS", "bounded_batches", "columns_of", "discard", "keys_hint", "materialize", "new_path", "scratch_dir"]
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -44,10 +31,6 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, most)
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/lodestream/{name}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared folder and return the rows as read back."""
     spark = df.sparkSession

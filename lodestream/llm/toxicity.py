@@ -18,8 +18,8 @@ none. Words of clean texts are all negative, the hardest are mined again in each
 round. As the decision is linear in the kernel, all landmarks fold into one
 table over letter triples, and a text is scored in one pass over its letters.
 
-A text's margin is that of its most toxic word; a logistic map fitted on the
-training texts makes it a score. Words over ``STRETCH`` letters are judged in
+A text's margin is that of its most toxic word; a logistic map above a floor,
+fitted on the training texts, makes it a score. Words over ``STRETCH`` letters are judged in
 overlapping stretches, so whole texts count. A null or empty text, or one
 without letters, gets the score of the lowest margin. Without labels of both
 classes every score is the base rate.
@@ -28,6 +28,7 @@ classes every score is the base rate.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,9 +42,15 @@ from lodestream.llm import textbatch as tb
 from lodestream.llm.labelled import held_out, sigmoid, training_sample
 
 #: Bound of the training sample: documents of each class, and characters of each.
-PER_CLASS = 2500
+PER_CLASS = 4000
 MAX_CHARS = 20_000
-LANDMARKS = 128
+LANDMARKS = 256
+#: Rounds of mining at most; it ends when the words found toxic and the hardest clean ones stand still.
+ROUNDS = 10
+#: Clean words drawn at first, kept and mined in each round.
+HARD = 4000
+#: Texts of either class that the map from margins to scores is fitted on at least; else it is fitted on all.
+CALIBRATE = 30
 DECAY = 0.7
 SPAN = 5
 STRETCH = 24
@@ -118,6 +125,7 @@ class Machine:
     slope: float
     offset: float
     lowest: float
+    floor: float = 0.0
 
     def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Per text the largest margin of its words."""
@@ -131,7 +139,7 @@ class Machine:
         return out
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        return sigmoid(self.slope * self.margins(data, offsets) + self.offset)
+        return self.floor + (1 - self.floor) * sigmoid(self.slope * self.margins(data, offsets) + self.offset)
 
 
 def _max_by(out: np.ndarray, key: np.ndarray, value: np.ndarray) -> None:
@@ -196,17 +204,18 @@ def _units(text: str) -> list[bytes]:
     letters, _, begin, _ = fold(raw, np.array([0, len(raw)]))
     start, end, _ = stretches(begin, len(letters)) if len(begin) else ([], [], None)
     data = letters.astype(np.uint8).tobytes()
-    return list({data[a:b] for a, b in zip(start, end, strict=True) if b - a > 3})
+    return sorted({data[a:b] for a, b in zip(start, end, strict=True) if b - a > 3})
 
 
 def _runs(word: bytes) -> set[bytes]:
     return {word[i : i + RUN] for i in range(max(1, len(word) - RUN + 1))}
 
 
-def _inserted(word: bytes, rng: np.random.Generator) -> bytes:
-    """The word with one letter put in, as in disguised insults."""
-    at = int(rng.integers(2, len(word)))
-    return word[:at] + bytes([int(rng.integers(1, 27))]) + word[at:]
+def _inserted(word: bytes) -> bytes:
+    """The word with one letter put in, as in disguised insults; which and where follows from the word alone."""
+    h = zlib.crc32(word)
+    at = 2 + h % (len(word) - 2)
+    return word[:at] + bytes([1 + h // 64 % 26]) + word[at:]
 
 
 def fit(texts: list[str], y: np.ndarray, weight: np.ndarray) -> Machine:
@@ -214,7 +223,12 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray) -> Machine:
     rate = float(np.average(y, weights=weight)) if len(y) else 0.5
     if len(set(y.tolist())) < 2:
         return Machine(np.zeros(1 << 15, np.float32), 0.0, 0.0, float(np.log((rate + 1e-3) / (1 - rate + 1e-3))), 0.0)
-    rng = np.random.default_rng(5)
+    # A fifth of the texts is kept for the map from margins to scores, if it holds enough of either class.
+    aside = np.array([zlib.crc32(t.encode("utf-8", "replace")) % 5 == 0 for t in texts])
+    kept: list[str] = []
+    if min((y[aside] == c).sum() for c in (0, 1)) >= CALIBRATE and min((y[~aside] == c).sum() for c in (0, 1)) >= CALIBRATE:
+        kept, kept_y, kept_weight = [t for t, out in zip(texts, aside, strict=True) if out], y[aside], weight[aside]
+        texts, y, weight = [t for t, out in zip(texts, aside, strict=True) if not out], y[~aside], weight[~aside]
     bags = [_units(t) for t in texts]
     seen = [Counter(), Counter()]
     for bag, label in zip(bags, y, strict=True):
@@ -235,8 +249,10 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray) -> Machine:
     positive = Counter(u for bag in toxic for u in told(bag))
     if not positive:  # nothing is told apart: the best word of each
         positive = Counter(max(bag, key=lambda u: (odds[u], u)) for bag in toxic) or Counter([b"\0\1\1\1"])
-    clean = sorted({u for bag, label in zip(bags, y, strict=True) if label == 0 for u in bag})
-    hard = [clean[i] for i in rng.permutation(len(clean))[:2000]]
+    common = Counter(u for bag, label in zip(bags, y, strict=True) if label == 0 for u in bag)
+    clean = sorted(common)
+    drawn = sorted(clean, key=lambda u: (zlib.crc32(u), u))  # an order that neither training nor Python's hashes change
+    hard = sorted(drawn[:HARD])
     every = sorted({u for bag in bags for u in bag})
     place = {u: k for k, u in enumerate(every)}
     lengths = np.array([len(u) for u in every])
@@ -248,35 +264,50 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray) -> Machine:
         sums = np.concatenate([[0.0], np.cumsum(contributions(flat, owner, table))])
         return (sums[edges[1:]] - sums[edges[:-1]]) / _NORM[lengths] + bias
 
-    for _ in range(4):
-        marks = [u for u, _ in positive.most_common(LANDMARKS // 2)]
-        marks += [hard[i] for i in rng.permutation(len(hard))[: LANDMARKS - len(marks)]]
+    for _ in range(ROUNDS):
+        ranked = sorted(positive, key=lambda u: (-positive[u], u))
+        marks = ranked[: LANDMARKS // 2]
+        marks += sorted(hard, key=lambda u: (zlib.crc32(u, 1), u))[: LANDMARKS - len(marks)]
         rows = _dense(sorted(set(marks)))
         value, vector = np.linalg.eigh(rows @ rows.T)
         keep = value > 1e-6 * value[-1]
         root = vector[:, keep] / np.sqrt(value[keep])
-        spread = [_inserted(u, rng) for u in positive]
-        words = [*positive, *spread, *hard]
-        sure = 2 * len(positive)
+        words = [*ranked, *map(_inserted, ranked), *hard]
+        sure = 2 * len(ranked)
         label = np.array([1.0] * sure + [-1.0] * len(hard))
-        each = np.array([*np.sqrt(list(positive.values())) * 2, *np.sqrt(list(positive.values())) * 1.0, *np.ones(len(hard))])
-        each[:sure] *= len(hard) / each[:sure].sum()
+        weights = np.sqrt([positive[u] for u in ranked])
+        each = np.array([*weights * 2, *weights, *np.sqrt([common[u] for u in hard])])  # words of many clean texts weigh as much
+        each[:sure] *= each[sure:].sum() / each[:sure].sum()
         w, bias = _hinge(_kernel(words, rows) @ root, label, each)
         table = (rows.T @ (root @ w)).astype(np.float32)
         margin = all_margins(table, bias)
         best_word = [max(bag, key=lambda u: (margin[place[u]], u)) for bag in toxic]
+        before = set(positive)
         positive = Counter(u for bag, best in zip(toxic, best_word, strict=True) for u in told(bag) | ({best} if margin[place[best]] > 0 else set())) or positive
-        worst = sorted(clean, key=lambda u: -margin[place[u]])[:1500]
-        hard = sorted({*hard[:1500], *worst})
-    best = np.array([max((margin[place[u]] for u in bag), default=margin.min()) for bag in bags])
+        worst = sorted(clean, key=lambda u: (-margin[place[u]], u))[:HARD]
+        if set(positive) == before and set(worst) <= set(hard):
+            break
+        hard = sorted({*sorted(hard, key=lambda u: (zlib.crc32(u, 2), u))[:HARD], *worst})
+    lowest = float(margin.min())
+    best = np.array([max((margin[place[u]] for u in bag), default=lowest) for bag in bags])
+    if len(kept):  # margins of texts that the machine was not trained on are the honest ones
+        machine = Machine(table, bias, 1.0, 0.0, lowest)
+        raw = [t.encode("utf-8", "replace") for t in kept]
+        best = machine.margins(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        y, weight = kept_y, kept_weight
+    # Some toxic texts have no word that tells, whatever their margin: a floor below which no score falls. The logistic map
+    # is fitted to the others, each toxic text counting by how likely its word told.
+    low = best <= np.median(best[y == 0])
+    floor = float(np.clip(np.average(y[low], weights=weight[low]), 0, 0.4))
     slope, offset = 1.0, 0.0
-    for _ in range(60):
+    for _ in range(120):
         p = sigmoid(slope * best + offset)
-        g, h = weight * (p - y), weight * np.maximum(p * (1 - p), 1e-6)
+        told_by = y * (1 - floor) * p / (floor + (1 - floor) * p)
+        g, h = weight * (p - told_by), weight * np.maximum(p * (1 - p), 1e-6)
         m = np.array([[(h * best * best).sum() + 1e-1, (h * best).sum()], [(h * best).sum(), h.sum() + 1e-6]])
         ds, do = np.linalg.solve(m, [(g * best).sum() + 1e-1 * (slope - 4), g.sum()])
         slope, offset = slope - np.clip(ds, -1, 1), offset - np.clip(do, -1, 1)
-    return Machine(table, bias, float(slope), float(offset), float(margin.min()))
+    return Machine(table, bias, float(slope), float(offset), lowest, floor)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Machine:

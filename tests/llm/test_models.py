@@ -31,7 +31,7 @@ def test_toxicity_on_held_out_texts(spark):
     said = {r.doc_id: r.predicted for r in toxicity.score_toxicity(known, toxicity.train(docs, labels)).collect()}
     truth = {r.doc_id: r.toxic for r in labels.collect() if held(r.doc_id)}
     hit = sum(said[i] and t for i, t in truth.items())
-    assert hit / sum(truth.values()) >= 0.55 and hit / sum(said[i] for i in truth) >= 0.98
+    assert hit / sum(truth.values()) >= 0.6 and hit / sum(said[i] for i in truth) >= 0.98
 
 
 def test_kernel_is_that_of_enumerated_subsequences():
@@ -222,3 +222,32 @@ def test_secret_spans(spark, odd, net):
     assert secrets.redact(spark.createDataFrame([(1, text, 5)], "doc_id long, text string, n_chars long"), net).first().text.count("[SECRET]") >= 4
     assert secrets.scan(odd, net).count() == len(ODD) and secrets.redact(odd, net).count() == len(ODD)
     assert secrets.scan(odd.limit(0), net).count() == 0
+
+
+_FIT = """
+import sys, zlib, numpy as np, duckdb
+from lodestream.llm import toxicity
+rows = duckdb.sql("SELECT d.doc_id, any_value(d.text), max(toxic) FROM '/root/testdata/sf0.01/documents.parquet' d JOIN '/root/testdata/sf0.01/labels.parquet' USING (doc_id) WHERE length(d.text) < 6000 GROUP BY 1 ORDER BY 1").fetchall()
+y = np.array([r[2] for r in rows], float)
+m = toxicity.fit([r[1] for r in rows], y, np.ones(len(y)))
+print(zlib.crc32(m.table.tobytes()), m.bias, m.slope, m.offset)
+"""
+
+
+def test_toxicity_does_not_depend_on_hash_seeds():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    said = {subprocess.run([sys.executable, "-c", _FIT], cwd=root, env=os.environ | {"PYTHONHASHSEED": str(k)}, capture_output=True, text=True, check=True).stdout for k in range(3)}
+    assert len(said) == 1
+
+
+def test_repeated_ids_train_with_one_text(spark):
+    from lodestream.llm.labelled import training_sample
+
+    rows = [(k, f"text {j} of {k}") for k in range(40) for j in range(3)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    first = training_sample(docs.repartition(7), labels, "toxic", 50, 100)[0]
+    assert first == training_sample(docs.orderBy(F.desc("text")), labels, "toxic", 50, 100)[0] and len(first) == len(set(first))
