@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.functions.scalar import clamp_confidence
-from lodestream.operators.search import normal_form, passes_trigrams, text_score
+from lodestream.operators.search import normal_form, ranked_search
 from lodestream.plans.base import query
 from lodestream.session import table
 
@@ -56,14 +56,11 @@ def _sql_search(n: int, q: str) -> str:
 def search_field_weights(spark: SparkSession, d: str) -> DataFrame:
     """The twelve best of each asked query: names count four times, aliases 3.4, kinds twice, all together 1.35; small ones a fifth more; under 18 none."""
     names = [normal_form(F.col(c), ascii_only=True).alias(x) for c, x in (("p_name", "a"), ("p_brand", "b"), ("p_type", "c"))]
-    f = table(spark, d, "part").select("p_partkey", "p_size", *names).withColumn("every", F.concat_ws(" ", "a", "b", "c"))
-    out = None
-    for n, q in enumerate(ASKED):
-        best = F.greatest(text_score(F.col("a"), q) * 4.0, text_score(F.col("b"), q) * 3.4, text_score(F.col("c"), q) * 2.0, text_score(F.col("every"), q) * 1.35)
-        scored = f.where(passes_trigrams(F.col("every"), q)).select(F.lit(n).alias("asked"), "p_partkey", (best * F.when(F.col("p_size") < 10, 1.2).otherwise(1.0)).alias("score"))
-        top = scored.where("score >= 18").orderBy(F.desc("score"), "p_partkey").limit(12)
-        out = top if out is None else out.union(top)
-    return out.withColumn("score", F.round("score", 4))
+    f = table(spark, d, "part").select("p_partkey", "p_size", *names)
+    every = F.concat_ws(" ", "a", "b", "c")
+    each = F.explode(F.array(*[F.struct(F.lit(w).alias("weight"), t.alias("text")) for t, w in ((F.col("a"), 4.0), (F.col("b"), 3.4), (F.col("c"), 2.0), (every, 1.35))])).alias("f")
+    fields = f.select(F.col("p_partkey").alias("item"), F.when(F.col("p_size") < 10, 1.2).otherwise(1.0).alias("boost"), each).select("item", "boost", "f.*")
+    return ranked_search(fields, ASKED).select("asked", F.col("item").alias("p_partkey"), F.round("score", 4).alias("score"))
 
 
 @query("""WITH place AS (SELECT o_orderkey AS item, CASE WHEN o_custkey % 7 <> 0 THEN n_regionkey END AS region FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
