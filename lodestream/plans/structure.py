@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestream.operators.articles import BULLETS, parts, publication_dates, structured
 from lodestream.plans.base import query
 from lodestream.session import table
+from lodestream.sources.extract import articles
 
 #: Documents have lines and no blank ones: their parts are cut at line ends, at this many characters.
 PART_CHARS = 1500
@@ -53,3 +54,11 @@ def page_dates(spark: SparkSession, d: str) -> DataFrame:
     """The date that a page's address and title tell, null without one (ranked shapes: no SQL twin)."""
     pages = table(spark, d, "pages").select("page_id", "url", F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"))
     return publication_dates(pages, "page_id", ["url", "title"], dt.date(2026, 9, 20))
+
+
+@query()
+def page_articles(spark: SparkSession, d: str) -> DataFrame:
+    """What the article of each page holds (the densest container of a tree of nodes: no SQL twin)."""
+    a = articles(table(spark, d, "pages"), "page_id", "html", "url", dt.date(2026, 9, 20))
+    chars = F.aggregate("sections", F.lit(0), lambda s, x: s + F.length(x["text"]))
+    return a.select("page_id", "title", F.size("sections").alias("sections"), F.size("tables").alias("tables"), F.size("figures").alias("figures"), chars.alias("chars"), "published")
