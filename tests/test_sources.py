@@ -134,3 +134,28 @@ def test_streams_equal_batches(spark, sf, tmp_path):
     assert {(str(r.day), r.event_type, r.n) for r in daily.collect()} == {(r.day, r.event_type, r["count"]) for r in want.collect()}
     finished(jobs.error_streaks(stream, 2).writeStream.outputMode("append").format("memory").queryName("streaks").start())
     assert spark.table("streaks").count() >= 0
+
+
+def test_market_quotes(spark):
+    payload = '{"meta": {"symbol": "X"}, "values": [{"datetime": "2026-09-02 15:30:00", "open": "1.5", "high": "2", "low": "1", "close": "1.75"}, {"datetime": "bad", "close": "1"}, {"datetime": "2026-09-03", "open": null, "close": "N/A"}, {"datetime": "2026-09-04", "close": "1,000"}]}'
+    got = {str(r.ts): (r.symbol, r.open, r.close) for r in feeds.market_quotes(spark.createDataFrame([(payload,), (None,), ("{}",)], "t string"), "t").collect()}
+    assert got == {"2026-09-02 15:30:00": ("X", Decimal("1.5"), Decimal("1.75")), "2026-09-04 00:00:00": ("X", None, Decimal(1000))}
+
+
+def test_series_keep_all_digits(spark):
+    payload = '{"observations": [{"realtime_start": "2026-09-01", "date": "2026-07-01", "value": "1e-30"}, {"realtime_start": "2026-09-01", "date": "2026-08-01", "value": "12,345.60"}, {"realtime_start": "2026-09-01", "date": "2026-09-01", "value": "."}]}'
+    got = {str(r.period): (r.value, r.value_text) for r in feeds.fred_series(spark.createDataFrame([(payload, "S")], "t string, s string"), "t", "s").collect()}
+    assert got == {"2026-07-01": (None, "0." + "0" * 29 + "1"), "2026-08-01": (Decimal("12345.6"), "12345.6")}
+
+
+def test_frozen_fills_only_what_is_missing(spark):
+    have = spark.createDataFrame([(1, 5, "a"), (2, None, "b"), (3, None, "c")], "id int, x int, n string")
+    fresh = spark.createDataFrame([(1, 9), (2, 7), (4, 1)], "id int, x int")
+    assert {tuple(r) for r in sinks.frozen(have, fresh, "id", "x").select("id", "x", "n").collect()} == {(1, 5, "a"), (2, 7, "b"), (3, None, "c")}
+
+
+def test_shards_hold_their_rows_only(spark, tmp_path):
+    rows = spark.range(100).selectExpr("id", "id % 3 AS shard")
+    for _ in range(2):  # written again: the same
+        sinks.write_shards(rows, "shard", f"{tmp_path}/s")
+    assert {(r.shard, r.n, r.least) for r in spark.read.parquet(f"{tmp_path}/s").groupBy("shard").agg(F.count("*").alias("n"), F.min("id").alias("least")).collect()} == {(0, 34, 0), (1, 33, 1), (2, 33, 2)}
