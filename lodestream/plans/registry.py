@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lodestream.plans import behaviour, capture, consensus, documents, grounded, listing, macro, search, signals, stored, structure, texts  # noqa: F401  (register on import)
+from lodestream.plans import behaviour, capture, consensus, documents, grounded, listing, macro, monitoring, search, signals, stored, structure, texts  # noqa: F401  (register on import)
 from lodestream.plans.base import QUERIES, SQL
 
 
