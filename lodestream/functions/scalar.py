@@ -101,25 +101,33 @@ def horizon_text(raw: Column) -> Column:
 _KINDS = [("Y", r"\d{4}"), ("n", r"\d+"), ("M", "|".join(MONTHS)), ("U", "|".join(f"{u}s?" for u in UNIT_DAYS)), ("c", "[wmqy]"), ("h", "h"), ("e", "end"), ("r", "remainder|rest"), ("-", "-|–|to")]
 
 
-def horizon_end(start: Column, t: Column) -> Column:
+def horizon_tokens(t: Column) -> Column:
+    """What :func:`horizon_end` reads of a horizon's text: its tokens, their kinds, the same without dashes, and whether other words stand there."""
+    kind = lambda x: F.coalesce(*[F.when(x.rlike(f"^({p})$"), k) for k, p in _KINDS], F.lit(""))
+    tokens = F.filter(F.regexp_extract_all(t, F.lit("([0-9]+|[a-z]+|[-–])"), F.lit(1)), lambda x: kind(x) != "")
+    full = F.array_join(F.transform(tokens, kind), "")
+    named = F.filter(tokens, lambda x: ~x.isin("-", "–", "to"))
+    known = "|".join(p for _, p in _KINDS if p.isascii())
+    quiet = ~F.regexp_replace(t, rf"\b({known}|of|the)\b", "").rlike("[a-z]{2}") & ~F.regexp_replace(t, rf"\b({known}|of|the)\b|[0-9]+[a-z][0-9]*|[a-z][0-9]+", "").rlike("[a-z]")
+    return F.struct(tokens.alias("tokens"), full.alias("full"), named.alias("named"), F.replace(full, F.lit("-"), F.lit("")).alias("shape"), quiet.alias("quiet"))
+
+
+def horizon_end(start: Column, t: Column, parsed: Column | None = None) -> Column:
     """Date that a horizon (a column of :func:`horizon_text`) points to, from ``start``; null if unclear, or if a date so named is not after ``start``.
 
     A text is a row of tokens, and what it means follows from their kinds. Named dates: a day, a month (2026-07, July 2026,
     July: the next one), a quarter or half (Q3 2026, 2026H2), a year, the end of this year; each means its last day.
-    Spans: a number or the middle of two, in days (a month has 30), and the usual bands.
+    Spans: a number or the middle of two, in days (a month has 30), and the usual bands. ``parsed`` is a column of
+    :func:`horizon_tokens`: given as one of its own, it is computed once a row.
     """
-    kind = lambda x: F.coalesce(*[F.when(x.rlike(f"^({p})$"), k) for k, p in _KINDS], F.lit(""))
-    tokens = F.filter(F.regexp_extract_all(t, F.lit("([0-9]+|[a-z]+|[-–])"), F.lit(1)), lambda x: kind(x) != "")
-    full = F.array_join(F.transform(tokens, kind), "")
-    named = F.filter(tokens, lambda x: kind(x) != "-")
-    shape = F.array_join(F.transform(named, kind), "")
+    parsed = horizon_tokens(t) if parsed is None else parsed
+    tokens, full, named, shape = parsed["tokens"], parsed["full"], parsed["named"], parsed["shape"]
     word = lambda i: F.try_element_at(named, F.lit(i))
     number = lambda i: word(i).try_cast("int")
     month_no = lambda name: F.nullif(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), name), F.lit(0)).cast("int")
     last = lambda y, m: F.last_day(F.when(m.between(1, 12), F.make_date(y, m, F.lit(1))))
     day = F.concat_ws("-", word(1), F.lpad(word(2), 2, "0"), F.lpad(word(3), 2, "0")).try_cast("date")
     bare = last(F.year(start), month_no(word(1)))
-    quiet = ~F.exists(F.regexp_extract_all(t, F.lit("([a-z]+)"), F.lit(1)), lambda x: (kind(x) == "") & ~x.isin("of", "the"))  # no word besides
     date = (
         F.when(shape == "Ynn", day).when(shape == "Yn", last(number(1), number(2))).when(shape == "MY", last(number(2), month_no(word(1))))
         .when((shape == "cnY") & (word(1) == "q"), last(number(3), number(2) * 3)).when((shape == "Ycn") & (word(2) == "q"), last(number(1), number(3) * 3))
@@ -136,7 +144,7 @@ def horizon_end(start: Column, t: Column) -> Column:
         F.when(full == "nc", number(1) * code_of), *[F.when(t.rlike(f"^{p}$"), n) for p, n in BANDS],
     )
     unclear = t.isNull() | t.rlike("^(unknown|not specified|n/a|none)?$")
-    fixed = F.when(quiet, date)
+    fixed = F.when(parsed["quiet"], date)
     return F.when(~unclear & fixed.isNotNull(), F.when(fixed > start, fixed)).when(~unclear, F.date_add(start, half_up(days).cast("int")))
 
 

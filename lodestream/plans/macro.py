@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestream.functions.scalar import backoff_minutes, horizon_end, horizon_text, period_start
+from lodestream.functions.scalar import backoff_minutes, horizon_end, horizon_text, horizon_tokens, period_start
 from lodestream.operators.relational import latest_per_key
 from lodestream.plans.base import query
 from lodestream.session import table
@@ -126,7 +126,8 @@ SELECT o_orderkey, horizon, CASE WHEN named IS NOT NULL THEN CASE WHEN named > s
 def horizon_parse(spark: SparkSession, d: str) -> DataFrame:
     texts = F.array(*[F.lit(x) for x in HORIZONS])
     o = table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("start"), F.element_at(texts, (F.col("o_orderkey") % len(HORIZONS) + 1).cast("int")).alias("horizon"))
-    return o.withColumn("h", horizon_text(F.col("horizon"))).select("o_orderkey", "horizon", horizon_end(F.col("start"), F.col("h")).cast("string").alias("due"))
+    o = o.withColumn("h", horizon_text(F.col("horizon"))).withColumn("k", horizon_tokens(F.col("h")))
+    return o.select("o_orderkey", "horizon", horizon_end(F.col("start"), F.col("h"), F.col("k")).cast("string").alias("due"))
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y') WHEN 1 THEN strftime(o_orderdate, '%Y') || '-Q' || quarter(o_orderdate) WHEN 2 THEN strftime(o_orderdate, '%Y-%m') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS period,

@@ -6,7 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from lodestream.functions.scalar import change, decimal_string, decimal_text, half_up, horizon_end, horizon_text, local_to_utc, period_start, rate, strict_sum, wilson
+from lodestream.functions.scalar import change, decimal_string, decimal_text, half_up, horizon_end, horizon_text, horizon_tokens, local_to_utc, period_start, rate, strict_sum, wilson
 from lodestream.plans.capture import is_fresh
 from lodestream.plans.texts import policies, stated_target
 from lodestream.operators.relational import asof_backward, asof_within, changed_only, keyset_page, latest_per_key, ranked_values, sessions
@@ -68,9 +68,13 @@ def test_period_start(spark, text, want):
     assert one(spark, period_start(F.col("x")), x=text) == want
 
 
-@pytest.mark.parametrize("text,want", [("3M", dt.date(2026, 4, 1)), ("2 weeks", dt.date(2026, 1, 15)), ("end of 2027", dt.date(2027, 12, 31)), ("2026-Q2", dt.date(2026, 6, 30)), ("Year-end", dt.date(2026, 12, 31)), ("soon", None), ("2-4 months (base case)", dt.date(2026, 4, 1)), ("q1 2027", dt.date(2027, 3, 31)), ("2025", None), ("March", dt.date(2026, 3, 31)), ("2026/2/3", dt.date(2026, 2, 3)), ("mid-term", dt.date(2026, 4, 1)), (None, None), ("over time", None), ("H1 2028", dt.date(2028, 6, 30)), ("12 months", dt.date(2026, 12, 27)), ("1 year", dt.date(2027, 1, 1)), ("next 8–10 weeks", dt.date(2026, 3, 5)), ("3 to 6 months", dt.date(2026, 5, 16)), ("medium-term (3-6 months)", dt.date(2026, 4, 1)), ("2026年12月", dt.date(2026, 12, 31)), ("2026 year-end", dt.date(2026, 12, 31)), ("July 2026", dt.date(2026, 7, 31)), ("2026H2", dt.date(2026, 12, 31)), ("end of the year", dt.date(2026, 12, 31)), ("rest of 2026", dt.date(2026, 12, 31)), ("January", dt.date(2026, 1, 31)), ("coming quarters", None), ("next months", None), ("over 2026 or so", None), ("2026-02-30", None), ("2025-01-31", None)])
-def test_horizon_end(spark, text, want):
-    assert one(spark, horizon_end(F.lit("2026-01-01").cast("date"), horizon_text(F.col("x"))), x=text) == want
+HORIZONS = [("3M", dt.date(2026, 4, 1)), ("2 weeks", dt.date(2026, 1, 15)), ("end of 2027", dt.date(2027, 12, 31)), ("2026-Q2", dt.date(2026, 6, 30)), ("Year-end", dt.date(2026, 12, 31)), ("soon", None), ("2-4 months (base case)", dt.date(2026, 4, 1)), ("q1 2027", dt.date(2027, 3, 31)), ("2025", None), ("March", dt.date(2026, 3, 31)), ("2026/2/3", dt.date(2026, 2, 3)), ("mid-term", dt.date(2026, 4, 1)), (None, None), ("over time", None), ("H1 2028", dt.date(2028, 6, 30)), ("12 months", dt.date(2026, 12, 27)), ("1 year", dt.date(2027, 1, 1)), ("next 8–10 weeks", dt.date(2026, 3, 5)), ("3 to 6 months", dt.date(2026, 5, 16)), ("medium-term (3-6 months)", dt.date(2026, 4, 1)), ("2026年12月", dt.date(2026, 12, 31)), ("2026 year-end", dt.date(2026, 12, 31)), ("July 2026", dt.date(2026, 7, 31)), ("2026H2", dt.date(2026, 12, 31)), ("end of the year", dt.date(2026, 12, 31)), ("rest of 2026", dt.date(2026, 12, 31)), ("January", dt.date(2026, 1, 31)), ("coming quarters", None), ("next months", None), ("over 2026 or so", None), ("2026-02-30", None), ("2025-01-31", None)]
+
+
+def test_horizon_end(spark):
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(HORIZONS)], "k int, x string").withColumn("h", horizon_text(F.col("x"))).withColumn("p", horizon_tokens(F.col("h")))
+    got = {r.k: r.due for r in df.select("k", horizon_end(F.lit("2026-01-01").cast("date"), F.col("h"), F.col("p")).alias("due")).collect()}
+    assert {HORIZONS[k][0]: v for k, v in got.items()} == dict(HORIZONS)
 
 
 def test_local_to_utc(spark):
