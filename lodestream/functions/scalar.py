@@ -11,6 +11,11 @@ def half_up(x: Column) -> Column:
     return F.floor(x + F.lit(0.5)).cast("long")
 
 
+def half_even(x: Column) -> Column:
+    """The nearest whole number, halves to the even one: CAST(x AS BIGINT) of a double in DuckDB."""
+    return F.rint(x).cast("long")
+
+
 def rate(part: Column, whole: Column, digits: int = 1) -> Column:
     """Percentage, null when the whole is 0."""
     return F.when(whole != 0, F.round(part * F.lit(100.0) / whole, digits))

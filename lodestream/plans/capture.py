@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestream.functions.scalar import clamp_confidence, clamped_number, clean_text, level_from_forecast, period_fits
+from lodestream.functions.scalar import clamp_confidence, clamped_number, clean_text, half_even, level_from_forecast, period_fits
 from lodestream.operators.relational import latest_per_key
 from lodestream.plans.base import query
 from lodestream.plans.behaviour import events, with_now
@@ -287,7 +287,7 @@ SELECT l_suppkey, count(c) AS changes, round(sqrt(CAST(sum(c * c) * count(c) - s
 def deviation_of_changes(spark: SparkSession, d: str) -> DataFrame:
     """Population deviation of the changes from one value to the next."""
     w = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber")
-    q = F.col("l_quantity").cast("long")
+    q = half_even(F.col("l_quantity"))
     c = table(spark, d, "lineitem").select("l_suppkey", (q - F.lag(q).over(w)).alias("c"))
     root = F.sqrt((F.sum(F.col("c") * F.col("c")) * F.count("c") - F.sum("c") * F.sum("c")).cast("double"))
     return c.groupBy("l_suppkey").agg(F.count("c").alias("changes"), F.round(root / F.count("c"), 6).alias("deviation")).where("changes > 0")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestream.functions.scalar import rate
+from lodestream.functions.scalar import half_even, rate
 from lodestream.operators.relational import top_per_group
 from lodestream.plans.base import query
 from lodestream.plans.behaviour import events
@@ -187,10 +187,10 @@ i AS (SELECT l_orderkey, l_linenumber, len(list_filter(s, lambda x: NOT list_has
 SELECT l_orderkey, l_linenumber, missing, added, tickers AS tickers_missing, round(greatest(0, 1 - (missing + added + tickers) * 0.12::DOUBLE), 2) AS score FROM i""")
 def translation_check(spark: SparkSession, d: str) -> DataFrame:
     """Figures and names of a text that its translation lacks, and figures that it adds; a figure counts at any scale of 10^4 or 10^8, years do not count."""
-    price, n, name = F.col("l_extendedprice").cast("decimal(18, 0)").cast("long"), F.col("l_linenumber") % 3, F.concat(F.lit("ACME-"), F.col("l_suppkey").cast("string"))
+    price, quantity, n, name = half_even(F.col("l_extendedprice")), half_even(F.col("l_quantity")).cast("string"), F.col("l_linenumber") % 3, F.concat(F.lit("ACME-"), F.col("l_suppkey").cast("string"))
     told = F.when(n == 0, price).when(n == 1, price * 10000).otherwise(price + 1).cast("string")
-    src = F.concat(F.lit("Sales of "), price.cast("string"), F.lit(" units at "), F.col("l_quantity").cast("long").cast("string"), F.lit(".0% in 1998; "), name)
-    dst = F.concat(F.lit("销售 "), told, F.lit(" 单位, "), F.col("l_quantity").cast("long").cast("string"), F.lit("%"), F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit(" "), name)).otherwise(""))
+    src = F.concat(F.lit("Sales of "), price.cast("string"), F.lit(" units at "), quantity, F.lit(".0% in 1998; "), name)
+    dst = F.concat(F.lit("销售 "), told, F.lit(" 单位, "), quantity, F.lit("%"), F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit(" "), name)).otherwise(""))
     p = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", src.alias("src"), dst.alias("dst"), name.alias("name"))
     # A list of names goes first: their digits are no figures.
     figures = lambda c: F.array_distinct(F.filter(F.transform(F.regexp_extract_all(F.regexp_replace(c, "ACME-[0-9]+", ""), F.lit(r"([0-9]+(?:\.[0-9]+)?)"), 1), lambda x: x.cast("double")), lambda x: ~x.between(1900, 2199) | (x != F.floor(x))))
