@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestream.functions.scalar import rate
 from lodestream.operators.relational import top_per_group
+from lodestream.operators.text import sentences
 from lodestream.plans.base import query
 from lodestream.plans.behaviour import events
 from lodestream.plans.macro import M, VIN, monthly, vintages
@@ -209,24 +210,16 @@ def last_per_day(spark: SparkSession, d: str) -> DataFrame:
 def evidence_selection(spark: SparkSession, d: str) -> DataFrame:
     """Sentences by score until 1,200 characters are full; one that does not fit is skipped and smaller ones still try.
 
-    Greedy choice with skips is sequential, so a group's rows go through Python; a document's sentences are its bound.
+    Greedy choice with skips is sequential, so it is a fold over the sorted sentences of a row: no shuffle, no group. A
+    row is a document. The fold carries what is left and what is kept, 1,200 sentences at most.
     """
-    import pandas as pd
-
-    from lodestream.operators.text import sentences
-
-    s = table(spark, d, "documents").select("doc_id", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
-    s = s.select("doc_id", "pos", F.length("sentence").alias("size"), (F.when(F.col("pos") < 3, 2).otherwise(0) + F.when(F.col("sentence").rlike("[0-9]"), 3).otherwise(0)).alias("score"))
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "pos"], ascending=[False, True])
-        left, keep = 1200, []
-        for size in rows["size"]:
-            keep.append(size <= left)
-            left -= size if keep[-1] else 0
-        return rows[keep].sort_values("pos")
-
-    return s.groupBy("doc_id").applyInPandas(choose, "doc_id long, pos int, size int, score int")
+    score = lambda x, i: F.when(i < 3, 2).otherwise(0) + F.when(x.rlike("[0-9]"), 3).otherwise(0)
+    told = F.transform(sentences(F.col("text")), lambda x, i: F.struct((-score(x, i)).alias("rank"), i.alias("pos"), F.length(x).alias("size")))
+    s = table(spark, d, "documents").select("doc_id", F.array_sort(told).alias("told"))
+    start = F.struct(F.lit(1200).alias("left"), F.array().cast("array<struct<rank:int,pos:int,size:int>>").alias("kept"))
+    keep = lambda acc, x: F.when(x["size"] <= acc["left"], F.struct((acc["left"] - x["size"]).alias("left"), F.array_append(acc["kept"], x).alias("kept"))).otherwise(acc)
+    kept = s.select("doc_id", F.explode(F.aggregate("told", start, keep, lambda acc: acc["kept"])).alias("k"))
+    return kept.select("doc_id", "k.pos", "k.size", (-F.col("k.rank")).alias("score"))
 
 
 @query("""SELECT n_regionkey AS region, p_brand AS brand, n FROM (SELECT n_regionkey, p_brand, count(*) AS n, row_number() OVER (PARTITION BY n_regionkey ORDER BY count(*) DESC, p_brand) AS rk FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY 1, 2) WHERE rk <= 3""")

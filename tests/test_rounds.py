@@ -42,3 +42,21 @@ def test_halves_round_to_even(equals):
     prices = [1897.5, 1898.5, 1899.5, 2198.5, 2199.5, 2200.5, 49999.5, 50000.5, 50001.5]
     equals("translation_check", lineitem=(LINES, [line(k * 3 + n, p, 5.0, n) for k, p in enumerate(prices) for n in (1, 2, 3)] + [line(99, 50000.0, q) for q in (4.5, 5.5)]))
     equals("deviation_of_changes", lineitem=(LINES, [line(k, quantity=q, day=k + 1) for k, q in enumerate((1.5, 2.5, 3.5, 0.6))]))
+
+
+def test_evidence_is_chosen_inside_its_row(spark, tmp_path):
+    """The fold skips what does not fit and tries smaller ones; no document is sent to another task or to Python."""
+    said = ["Low one here.", "x" * 900 + ".", "y1" * 200 + ".", "z2" * 300 + ".", "Last 7.", "Plain."]
+    rows = [(1, " ".join(said)), (2, None), (3, ""), (4, "One.")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = QUERIES["evidence_selection"](spark, str(tmp_path))
+    left, kept = 1200, []
+    score = [2 * (k < 3) + 3 * any(c.isdigit() for c in x) for k, x in enumerate(said)]
+    for k in sorted(range(len(said)), key=lambda k: (-score[k], k)):
+        if len(said[k]) <= left:
+            kept.append((1, k, len(said[k]), score[k]))
+            left -= len(said[k])
+    assert [k for _, k, _, _ in kept] == [2, 3, 4, 0, 5]
+    assert sorted(map(tuple, df.collect())) == sorted([*kept, (4, 0, 4, 2)])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "InPandas" not in plan
