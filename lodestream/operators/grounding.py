@@ -249,21 +249,24 @@ def number_forms(value: Column) -> Column:
 
 def target_context(source: Column, value: Column) -> Column:
     """The stretch of a sentence that states a value as a target: from the word of the trade to ``REACH`` characters behind the value, or the other way round; null without one."""
-    forms = number_forms(value)
-    between = F.split(source, forms)
-    said = F.regexp_extract_all(source, forms, F.lit(1))
-
-    def around(i: Column) -> Column:
-        left = F.regexp_extract(F.right(between[i], F.lit(REACH + 20)), r"[^.!?\n]*$", 0)
-        right = F.regexp_extract(between[i + 1], rf"^[^.!?\n]{{0,{REACH}}}", 0)
-        # The word may stand REACH characters ahead of the value at most, not counting itself.
-        cue = F.regexp_extract(left, rf"{_CUE}[^.!?\n]{{0,{REACH}}}$", 0)
-        behind = F.regexp_extract(between[i + 1], rf"^([^.!?\n]{{0,{REACH}}}?)(?i)(target|price objective|forecast)[^.!?\n]{{0,{REACH}}}", 0)
-        return F.struct(F.when(cue != "", F.concat(cue, said[i], right)).alias("ahead"), F.when(behind != "", F.concat(said[i], behind)).alias("behind"))
-
-    found = F.when(F.size(said) > 0, F.transform(F.sequence(F.lit(0), F.size(said) - 1), around))
-    first = lambda side: F.filter(F.transform(found, lambda f: f[side]), lambda x: x.isNotNull())
-    return F.coalesce(F.get(first("ahead"), F.lit(0)), F.get(first("behind"), F.lit(0)))
+    bound = lambda c, body: F.get(F.transform(F.array(c), body), F.lit(0))  # noqa: E731  # so that ``c`` is computed once, not at each use inside a lambda
+
+    def contexts(between: Column, said: Column) -> Column:
+        def around(i: Column) -> Column:
+            left = F.regexp_extract(F.right(between[i], F.lit(REACH + 20)), r"[^.!?\n]*$", 0)
+            right = F.regexp_extract(between[i + 1], rf"^[^.!?\n]{{0,{REACH}}}", 0)
+            # The word may stand REACH characters ahead of the value at most, not counting itself.
+            cue = F.regexp_extract(left, rf"{_CUE}[^.!?\n]{{0,{REACH}}}$", 0)
+            behind = F.regexp_extract(between[i + 1], rf"^([^.!?\n]{{0,{REACH}}}?)(?i)(target|price objective|forecast)[^.!?\n]{{0,{REACH}}}", 0)
+            return bound(cue, lambda c: F.struct(F.when(c != "", F.concat(c, said[i], right)).alias("ahead"), bound(behind, lambda c: F.when(c != "", F.concat(said[i], c))).alias("behind")))
+
+        first = lambda acc, x: F.struct(*[F.coalesce(acc[side], x[side]).alias(side) for side in ("ahead", "behind")])
+        none = F.struct(F.lit(None).cast("string").alias("ahead"), F.lit(None).cast("string").alias("behind"))
+        found = F.transform(F.sequence(F.lit(0), F.size(said) - 1), around)
+        return F.when(F.size(said) > 0, F.aggregate(found, none, first, lambda acc: F.coalesce(acc["ahead"], acc["behind"])))
+
+    cut = lambda forms: F.struct(F.split(source, forms).alias("between"), F.regexp_extract_all(source, forms, F.lit(1)).alias("said"))
+    return bound(number_forms(value), lambda forms: bound(cut(forms), lambda b: contexts(b["between"], b["said"])))
 
 
 def horizon_supported(horizon: Column, source: Column) -> Column:

@@ -60,3 +60,13 @@ def test_evidence_is_chosen_inside_its_row(spark, tmp_path):
     assert sorted(map(tuple, df.collect())) == sorted([*kept, (4, 0, 4, 2)])
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "InPandas" not in plan
+
+
+def test_equal_claims_are_judged_once(spark, equals, tmp_path):
+    """Lines of a part share six claims at most; lines without a quantity count as those of ten or more."""
+    parts = [(k, f"part {k}", k, 100.0 + k) for k in range(4)]
+    lines = [line(k, part=k % 5, number=k % 4 + 1, quantity=q) for k in range(40) for q in (5.0, 10.0, None)]
+    got = equals("target_support", part=("p_partkey long, p_name string, p_size int, p_retailprice double", parts), lineitem=(LINES, lines))
+    assert sum(n for _, n in got) == 96
+    plan = QUERIES["target_support"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate [l_partkey")  # lines are counted before the claims are judged
