@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ def half_even(x: Column) -> Column:
     return F.rint(x).cast("long")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, not at each use: Spark computes what a lambda mentions again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def rate(part: Column, whole: Column, digits: int = 1) -> Column:
     """Percentage, null when the whole is 0."""
     return F.when(whole != 0, F.round(part * F.lit(100.0) / whole, digits))

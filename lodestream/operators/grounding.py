@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestream.functions.scalar import bound
+
 # Names that an analysis may use only if its source does; the last field keeps the case.
 ENTITIES = [
     (name, term, term == "Fed")
@@ -249,8 +251,6 @@ def number_forms(value: Column) -> Column:
 
 def target_context(source: Column, value: Column) -> Column:
     """The stretch of a sentence that states a value as a target: from the word of the trade to ``REACH`` characters behind the value, or the other way round; null without one."""
-    bound = lambda c, body: F.get(F.transform(F.array(c), body), F.lit(0))  # noqa: E731  # so that ``c`` is computed once, not at each use inside a lambda
-
     def contexts(between: Column, said: Column) -> Column:
         def around(i: Column) -> Column:
             left = F.regexp_extract(F.right(between[i], F.lit(REACH + 20)), r"[^.!?\n]*$", 0)

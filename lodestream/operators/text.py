@@ -42,7 +42,7 @@ def title_key(text: Column, source: Column, lang: Column) -> Column:
 
 def letter_share(text: Column, letters: str) -> Column:
     """Share of a class of letters among all letters."""
-    return F.length(F.regexp_replace(text, f"[^{letters}]", "")) / F.greatest(F.length(F.regexp_replace(text, r"[^\p{L}]", "")), F.lit(1))
+    return F.length(F.regexp_replace(text, f"[^{letters}]+", "")) / F.greatest(F.length(F.regexp_replace(text, r"[^\p{L}]+", "")), F.lit(1))
 
 
 def sentences(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.operators.gate import BARE_TITLES, COMPOUNDS, FILE_WORDS, INPUTS, OPENING_VERBS, eligibility, gate_issues, refresh_verdicts
+from lodestream.operators.gate import BARE_TITLES, COMPOUNDS, FILE_WORDS, INPUTS, OPENING_VERBS, eligibility, gate_issues, refresh_verdicts, with_facts
 from lodestream.plans.base import query
 from lodestream.session import new_path, table
 from lodestream.sources.versioned import VersionedTable
@@ -70,7 +70,8 @@ def _codes(column: str = "found") -> str:
 def gate_eligibility(spark: SparkSession, d: str) -> DataFrame:
     """The gate's issues and what follows from them, for every document as an English page."""
     given = {c: F.col(c) for c in INPUTS}
-    a = articles(spark, d, True).withColumn("i", gate_issues("en", **given))
+    a, facts = with_facts(articles(spark, d, True))
+    a = a.withColumn("i", gate_issues("en", facts, **given))
     return a.select("doc_id", F.concat_ws(",", "i").alias("issues"), eligibility(F.col("title"), F.col("text"), F.col("url"), F.col("i")).alias("eligibility"))
 
 

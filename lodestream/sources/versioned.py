@@ -84,11 +84,20 @@ class VersionedTable:
     # --- changes ------------------------------------------------------------------------------
 
     def create(self, rows: DataFrame, cluster: Sequence[str] = (), files: int | None = None) -> int:
-        """The first version; rows of near ``cluster`` values lie in the same files, so that changes touch few."""
-        if cluster:
-            count = files or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            rows = rows.repartitionByRange(count, *cluster).sortWithinPartitions(*cluster)
-        return self._commit(-1, _ddl(rows.schema), self._written(rows))
+        """The first version; rows of near ``cluster`` values lie in the same files, so that changes touch few.
+
+        ``rows`` is computed once: ranges are drawn from a first copy, which goes when the table is there.
+        """
+        schema = _ddl(rows.schema)
+        if not cluster:
+            return self._commit(-1, schema, self._written(rows))
+        count = files or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        copy = f"{self.path}/copy-{uuid.uuid4().hex}"
+        rows.write.parquet(copy)
+        dealt = self.spark.read.schema(rows.schema).parquet(copy).repartitionByRange(count, *cluster).sortWithinPartitions(*cluster)
+        version = self._commit(-1, schema, self._written(dealt))
+        self._fs.delete(self._fs_of.Path(copy), True)
+        return version
 
     def append(self, rows: DataFrame) -> int:
         """Add rows; no file is rewritten."""

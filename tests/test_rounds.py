@@ -4,8 +4,11 @@ import datetime as dt
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from lodestream.operators.gate import broken_word
 from lodestream.plans import registry
+from lodestream.sources.versioned import VersionedTable
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
@@ -70,3 +73,24 @@ def test_equal_claims_are_judged_once(spark, equals, tmp_path):
     assert sum(n for _, n in got) == 96
     plan = QUERIES["target_support"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Aggregate [l_partkey")  # lines are counted before the claims are judged
+
+
+def test_clustered_table_computes_its_rows_once(spark, tmp_path):
+    """Drawing the ranges of a clustered table does not compute the rows a second time."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def slow(k):
+        seen.add(1)
+        return k * 2
+
+    store = VersionedTable(spark, f"{tmp_path}/t")
+    store.create(spark.range(100).select("id", slow("id").alias("twice")), ["twice"], files=4)
+    assert seen.value == 100
+    assert sorted(r.twice for r in store.read().collect()) == [2 * k for k in range(100)]
+    assert not [f for f in (tmp_path / "t").iterdir() if f.name.startswith("copy-")]
+
+
+@pytest.mark.parametrize("text,want", [("\n In vest ment is up", True), ("Investment is up", False), ("Invest ments", False), ("o utlook", True), ("", False), (None, False), ("x" * 6000 + " out look", False), ("a re se arch", True)])
+def test_broken_words(spark, text, want):
+    assert spark.createDataFrame([(text,)], "x string").select(broken_word(F.col("x"))).first()[0] is want
