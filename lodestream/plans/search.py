@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestream.functions.scalar import clamp_confidence
 from lodestream.operators.search import normal_form, ranked_search
 from lodestream.plans.base import query
-from lodestream.session import table
+from lodestream.session import dealt, table
 
 
 @query(r"""SELECT doc_id, md5(trim(regexp_replace(replace(lower(strip_accents(text)), '&', ' and '), '[^\p{L}\p{N}]+', ' ', 'g'))) AS key FROM documents""")
@@ -81,16 +81,18 @@ def classification(spark: SparkSession, d: str) -> DataFrame:
     """
     nation = table(spark, d, "nation").select("n_nationkey", "n_regionkey")
     customer = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey")).join(nation, "n_nationkey")
-    place = table(spark, d, "orders").join(customer, "o_custkey").select(F.col("o_orderkey").alias("item"), F.when(F.col("o_custkey") % 7 != 0, F.col("n_regionkey")).alias("home"))
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    place = dealt(orders, orders, "o_custkey").join(customer, "o_custkey").select(F.col("o_orderkey").alias("item"), F.when(F.col("o_custkey") % 7 != 0, F.col("n_regionkey")).alias("home"))
     supplier = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("n_nationkey"), "s_acctbal").join(nation, "n_nationkey")
     sure = clamp_confidence(F.when(F.col("l_tax") != 0, F.col("l_discount") * 15))
-    line = table(spark, d, "lineitem").join(supplier, "l_suppkey").select(
+    lines = table(spark, d, "lineitem")
+    line = lines.join(supplier, "l_suppkey").select(
         F.col("l_orderkey").alias("item"), "l_suppkey", F.when(F.col("l_suppkey") % 9 != 0, F.col("n_regionkey")).alias("region"),
         F.when(F.col("s_acctbal") > 0, F.col("n_regionkey")).alias("seat"), (F.col("l_linenumber") == 1).alias("main"), sure.alias("sure"),
     )
-    inst = line.groupBy("item", "l_suppkey").agg(F.bool_or("main").alias("main"), F.max("sure").alias("sure"), F.first("seat").alias("seat"), F.count("*").alias("lines"), F.count("region").alias("placed"), F.max("region").alias("region"))
+    inst = dealt(line, lines, "item", "l_suppkey").groupBy("item", "l_suppkey").agg(F.bool_or("main").alias("main"), F.max("sure").alias("sure"), F.first("seat").alias("seat"), F.count("*").alias("lines"), F.count("region").alias("placed"), F.max("region").alias("region"))
     # At most five regions a set.
-    per = inst.groupBy("item").agg(
+    per = dealt(inst, lines, "item").groupBy("item").agg(
         F.count("*").alias("institutions"), F.max("sure").alias("surest"), F.sum("lines").alias("lines"), F.sum("placed").alias("placed"),
         F.collect_set(F.when(F.col("main"), F.col("seat"))).alias("main_seats"), F.collect_set("seat").alias("seats"), F.collect_set("region").alias("regions"),
     )

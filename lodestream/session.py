@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int = 8, memory: str = "8g", name: str = "lodestream") -> SparkSession:
@@ -48,3 +48,17 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows of a task of :func:`dealt`.
+TASK_ROWS = 250_000
+
+
+def dealt(df: DataFrame, counted: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out by ``keys`` into as many parts as the rows of ``counted`` need, at least the session's.
+
+    What is grouped, joined or sorted by these keys then stays in its part, whose size does not grow with the table.
+    ``counted`` is a stored table, whose rows Spark counts from the footers of its files.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-counted.count() // TASK_ROWS)), *keys)

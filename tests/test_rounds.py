@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from lodestream import session
 from lodestream.operators.gate import broken_word
 from lodestream.plans import registry
 from lodestream.sources.versioned import VersionedTable
@@ -94,3 +95,16 @@ def test_clustered_table_computes_its_rows_once(spark, tmp_path):
 @pytest.mark.parametrize("text,want", [("\n In vest ment is up", True), ("Investment is up", False), ("Invest ments", False), ("o utlook", True), ("", False), (None, False), ("x" * 6000 + " out look", False), ("a re se arch", True)])
 def test_broken_words(spark, text, want):
     assert spark.createDataFrame([(text,)], "x string").select(broken_word(F.col("x"))).first()[0] is want
+
+
+@pytest.mark.parametrize("name,tables", [("classification", ["lineitem", "orders"]), ("same_asset_peers", ["lineitem"]), ("rollup_daily_dims", ["events"])])
+def test_parts_grow_with_the_rows(spark, sf, monkeypatch, name, tables):
+    """Groups, windows and joins stay in parts whose number follows from the rows; results are the same."""
+    want = sorted(map(str, QUERIES[name](spark, sf).collect()))
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    df = QUERIES[name](spark, sf)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for t in tables:
+        parts = -(-spark.read.parquet(f"{sf}/{t}.parquet").count() // 100)
+        assert f", {parts}), REPARTITION_BY_NUM" in plan
+    assert sorted(map(str, df.collect())) == want
