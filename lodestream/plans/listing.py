@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestream.operators.relational import day_spine, keyset_page, top_per_group
 from lodestream.plans.base import query
-from lodestream.session import table
+from lodestream.session import dealt, table
 
 
 def orders(spark: SparkSession, d: str) -> DataFrame:
@@ -152,7 +152,9 @@ def same_asset_peers(spark: SparkSession, d: str) -> DataFrame:
 
     The newest four suppliers of a part hold them for everyone, so no pair of all suppliers of a part is made.
     """
-    last = table(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.max("l_shipdate").alias("t"))
+    lines = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_shipdate")
+    last = dealt(lines, lines, "l_partkey", "l_suppkey").groupBy("l_partkey", "l_suppkey").agg(F.max("l_shipdate").alias("t"))
+    last = dealt(last, lines, "l_partkey")  # windows and join stay in these parts
     top = top_per_group(last, ["l_partkey"], [F.desc("t"), F.col("l_suppkey")], 4, "r").select("l_partkey", F.col("l_suppkey").alias("peer"), "t")
     pairs = last.select("l_partkey", "l_suppkey").join(top, "l_partkey").where("l_suppkey <> peer")
     return top_per_group(pairs, ["l_partkey", "l_suppkey"], [F.desc("t"), F.col("peer")], 3).select(F.col("l_partkey").alias("partkey"), F.col("l_suppkey").alias("suppkey"), "peer")
