@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestream.functions.scalar import change, half_up, rate, strict_sum
 from lodestream.operators.relational import day_spine, ranked_values, sessions, unpivot_dims
 from lodestream.plans.base import query
-from lodestream.session import table
+from lodestream.session import dealt, table
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
@@ -185,7 +185,7 @@ b AS (SELECT day, 'total' AS dimension, count(*) AS bounces FROM (SELECT ts::DAT
 
 def rollup_rows(e: DataFrame) -> DataFrame:
     """Day by dimension and value: views, visitors, sessions, seconds; bounces on the total only."""
-    s = sessions(e, "user_id", "ts", "event_id").withColumn("day", F.to_date("ts").cast("string")).withColumn("band", F.when(F.col("value") >= 50, "high").otherwise("low"))
+    s = sessions(dealt(e, e, "user_id"), "user_id", "ts", "event_id").withColumn("day", F.to_date("ts").cast("string")).withColumn("band", F.when(F.col("value") >= 50, "high").otherwise("low"))
     s = s.withColumnRenamed("value", "seconds")
     flat = unpivot_dims(s, ["event_type", "band"], ["day", "user_id", "session_no", "seconds"])
     per = flat.groupBy("day", "dimension", "value", "user_id", "session_no").agg(F.count("*").alias("n"), F.sum("seconds").alias("sec"))
