@@ -21,11 +21,12 @@ it, follow from one summary row a shard on the driver. Files go through Arrow's
 file systems into the shared folder.
 
 Encoding is that of the ``tokenizers`` library with the given file and
-add_special_tokens=False. Its pre-tokenizer cuts texts into pieces that are
-encoded one by one, so a worker has the library encode a piece that it does not
-hold yet and joins their bytes; the cut is made here with the library's own pattern
-for texts whose characters lie in :data:`PLAIN` and that hold no special token,
-and all other texts go to the library whole.
+add_special_tokens=False. Its pre-tokenizer cuts texts into pieces that its
+model encodes one by one. Here runs of texts are cut at once, on their UTF-8
+bytes; Arrow finds the distinct pieces of a run, the library's model encodes
+those that a worker does not hold yet, and their ids are gathered into the
+texts'. The cut is made for texts whose characters lie in :data:`PLAIN` and
+that hold no special token; all other texts go to the library whole.
 
 Null and empty texts are the end id alone. Rows with a null id come first and
 have a null id in the result, each a key of its own. Rows equal in all columns
@@ -56,8 +57,8 @@ from lodestream.llm import textbatch as tb
 from lodestream.llm.store import bounded_batches, materialize, new_path
 
 END = 2
-#: Keys of an index file on average; pieces of either generation that a worker keeps; bytes read at once.
-BUCKET_KEYS, PIECES, CHUNK = 100_000, 500_000, 1 << 22
+#: Keys of an index file on average; pieces of either generation that a worker keeps; bytes read at once; bytes of texts encoded at once.
+BUCKET_KEYS, PIECES, CHUNK, RUN = 100_000, 500_000, 1 << 22, 1 << 21
 MAGIC = b"IDX1"
 SLOT = np.dtype([("fingerprint", "<u8"), ("offset", "<u8"), ("start", "<u8"), ("shard", "<u4"), ("length", "<u4")])
 
@@ -74,68 +75,165 @@ def default_tokenizer() -> str:
 # --- encoding -------------------------------------------------------------------------------------
 
 
-def _class(of: str) -> str:
-    """The plain characters of a general category as the inside of a character class."""
-    found = [chr(c) for c in range(0x250) if unicodedata.category(chr(c))[0] == of]
-    return "".join(re.escape(c) for c in found)
-
-
-def _piece_pattern() -> re.Pattern:
-    """The byte-level pre-tokenizer's pattern over plain characters (fixed by the tokenizer)."""
-    letters, numbers, space = _class("L"), _class("N"), "\t\n\x0b\x0c\r \x85\xa0"
-    # Words come first and the endings share their apostrophe: alternatives that begin with other characters, in the order that is soonest done.
-    return re.compile(f" ?[{letters}]+|'(?:[stmd]|re|ve|ll)| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+|[{space}]+(?![^{space}])|[{space}]+")
+LETTER, NUMBER, SPACE, OTHER, ODD = range(5)
+
+
+def _kinds() -> np.ndarray:
+    """Kind of each code point below U+0280 in the byte-level pre-tokenizer's pattern (fixed by the tokenizer); odd beyond the plain ones."""
+    kinds = np.full(0x280, ODD, np.uint8)
+    for c in range(0x250):
+        kinds[c] = {"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(c))[0], OTHER)
+    kinds[[ord(c) for c in "\t\n\x0b\x0c\r \x85\xa0"]] = SPACE
+    return kinds
+
+
+KINDS = _kinds()
+#: Kind of a byte on its own, and the plain characters of three bytes, none of them a letter, number or white space.
+BYTES = np.where(np.arange(256) < 0x80, KINDS[:256], ODD).astype(np.uint8)
+FAR = np.array([c for c in range(0x250, 0x2100) if re.match(f"[{PLAIN}]", chr(c))])
+
+
+def _visible() -> np.ndarray:
+    """The character by which byte-level vocabularies write each byte."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    chars = np.arange(256, dtype="<u2")
+    chars[[b for b in range(256) if b not in seen]] = 256 + np.arange(256 - len(seen))
+    return chars
+
+
+VISIBLE = _visible()
+
+
+def kinds_of(data: np.ndarray) -> np.ndarray:
+    """Kind of the character of each byte of UTF-8."""
+    kinds = BYTES[data]
+    lead = np.flatnonzero(data >= 0xC2)
+    if len(lead):
+        one, two, three = np.append(data, np.zeros(2, np.uint8))[lead + np.arange(3)[:, None]].astype(np.int64)
+        short = (one <= 0xC9) & (two >> 6 == 2)
+        at = lead[short]
+        kinds[at] = kinds[at + 1] = KINDS[(one[short] & 31) << 6 | two[short] & 63]
+        at = lead[(one == 0xE2) & (two >> 6 == 2) & (three >> 6 == 2) & np.isin((one & 15) << 12 | (two & 63) << 6 | three & 63, FAR)]
+        kinds[at] = kinds[at + 1] = kinds[at + 2] = OTHER
+    return kinds
+
+
+def cut(data: np.ndarray, offsets: np.ndarray, whole: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Where the pre-tokenizer's pieces of texts begin in their bytes, and the end of all; a text marked ``whole`` is one piece.
+
+    Its pattern is ``'(?:[stmd]|re|ve|ll)| ?L+| ?N+| ?O+|S+(?!not S)|S+`` for letters, numbers, others and white space, so a piece
+    is a run of one kind but for three rules, one below another.
+    """
+    begins = np.zeros(len(data) + 1, bool)
+    begins[offsets] = True
+    cuts = begins.copy()
+    cuts[1:-1] |= kinds[1:] != kinds[:-1]
+    runs = np.flatnonzero(cuts)
+    start, stop = runs[:-1], runs[1:]
+    # White space before more text leaves its last character to itself; a blank goes to what follows.
+    after = stop[(kinds[start] == SPACE) & ~begins[stop]]
+    last = after - 1 - (data[after - 1] >= 0x80)
+    cuts[last] = True
+    cuts[after[data[last] == 0x20]] = False
+    # A lone apostrophe that begins a piece takes an ending with it.
+    at = start[(stop - start == 1) & (data[start] == ord("'"))]
+    at = at[cuts[at] & ~begins[at + 1]]
+    one, two = data[at + 1], np.where(begins[at + 2], 0, data[np.minimum(at + 2, len(data) - 1)])
+    size = np.select([np.isin(one, list(b"stmd")), (one == ord("l")) & (two == ord("l")) | np.isin(one, list(b"vr")) & (two == ord("e"))], [2, 3], 0)
+    at, size = at[size > 0], size[size > 0]
+    cuts[at + 1] = False
+    cuts[at + size] = True
+    for k in np.flatnonzero(whole):
+        cuts[offsets[k] + 1 : offsets[k + 1]] = False
+    return np.flatnonzero(cuts)
 
 
 class Encoder:
-    """Ids of texts as little-endian bytes, ``width`` of them an id."""
+    """Ids of texts as little-endian numbers, ``width`` bytes an id."""
 
     def __init__(self, path: str, most: int = PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.beyond = re.compile(f"[^{PLAIN}]").search
-        self.cut, self.known, self.older, self.most = _piece_pattern().findall, {}, {}, most
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        code = "H" if self.width == 2 else "I"
-        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _odd(self, text: str) -> bool:
-        """Whether a text goes to the library whole."""
-        if any(t in text for t in self.special):
-            return True
-        if text.isascii():
-            return False
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return self.beyond(text) is not None
-        return False
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        first = self.tokenizer.pre_tokenizer
+        #: Whether the cut is this tokenizer's; all texts go to the library whole otherwise.
+        self.cuts = self.tokenizer.normalizer is None and isinstance(first, pre_tokenizers.ByteLevel) and first.use_regex and not first.add_prefix_space
+        # A second copy for single pieces: these are kept here, so that the model's own cache would only cost time.
+        self.model = Tokenizer.from_file(path).model
+        self.model._resize_cache(0)
+        self.known, self.older, self.most = {}, {}, most
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array("H" if self.width == 2 else "I", ids).tobytes()
+
+    def _whole(self, texts: list[bytes]) -> list[bytes]:
+        return [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def _alone(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces by the library's model, which takes each byte as a visible character."""
+        text = VISIBLE[np.frombuffer(b"".join(pieces), np.uint8)].tobytes().decode("utf-16-le")
+        out, at = [], 0
+        for piece in pieces:
+            out.append(self._bytes([t.id for t in self.model.tokenize(text[at : at + len(piece)])]))
+            at += len(piece)
+        return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; memory is bounded by the texts given."""
-        cuts = [None if self._odd(t) else self.cut(t) for t in texts]
+    def _odd(self, data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """Which texts go to the library whole."""
+        odd = np.full(len(offsets) - 1, not self.cuts)
+        odd[np.searchsorted(offsets, np.flatnonzero(kinds == ODD), "right") - 1] = True
+        raw = data.tobytes()
+        for token in self.special:
+            at = raw.find(token)
+            while at >= 0:
+                odd[np.searchsorted(offsets, at, "right") - 1] = True
+                at = raw.find(token, at + 1)
+        return odd
+
+    def _look_up(self, pieces: list[bytes], whole: list[int]) -> list[bytes]:
+        """Ids of distinct pieces; those at ``whole`` are odd texts, which are not kept."""
         if len(self.known) > self.most:  # what is used again comes back from the older generation
             self.known, self.older = {}, self.known
-        flat = [p for c in cuts if c for p in c]
-        got = list(map(self.known.get, flat))
-        holes = [k for k, data in enumerate(got) if data is None]
-        if holes:
-            missing = {flat[k] for k in holes}
-            self.known.update([(p, self.older[p]) for p in missing if p in self.older])
-            new = [p for p in missing if p not in self.known]
-            self.known.update(zip(new, self._whole(new), strict=True))
-            for k in holes:
-                got[k] = self.known[flat[k]]
-        out, at = [], 0
-        for text, c in zip(texts, cuts, strict=True):
-            out.append(self._whole([text])[0] if c is None else b"".join(got[at : at + len(c)]))
-            at += len(c or ())
-        return out
+        got = list(map(self.known.get, pieces))
+        for k, ids in zip(whole, self._whole([pieces[k] for k in whole]), strict=True):
+            got[k] = ids
+        holes = [k for k, ids in enumerate(got) if ids is None]
+        new = []
+        for k in holes:
+            got[k] = self.older.get(pieces[k])
+            if got[k] is None:
+                new.append(k)
+        for k, ids in zip(new, self._alone([pieces[k] for k in new]), strict=True):
+            got[k] = ids
+        self.known.update((pieces[k], got[k]) for k in holes)
+        return got
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, their number a text) of texts as UTF-8 between offsets; memory is bounded by the texts given."""
+        if not len(data):
+            return np.zeros(0, f"<u{self.width}"), np.zeros(len(offsets) - 1, np.int64)
+        kinds = kinds_of(data)
+        odd = self._odd(data, offsets, kinds)
+        bounds = cut(data, offsets, odd, kinds)
+        found = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+        codes = found.indices.to_numpy()
+        whole = np.unique(codes[np.searchsorted(bounds, offsets[:-1][odd & (np.diff(offsets) > 0)])]).tolist()
+        got = self._look_up(found.dictionary.to_numpy(zero_copy_only=False).tolist(), whole)
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // self.width
+        firsts, many = np.cumsum(sizes) - sizes, sizes[codes]
+        ends = np.cumsum(many)
+        ids = np.frombuffer(b"".join(got), f"<u{self.width}")[np.repeat(firsts[codes] - ends + many, many) + np.arange(ends[-1])]
+        return ids, np.diff(np.append(0, ends)[np.searchsorted(bounds, offsets)])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as bytes."""
+        raw = [t.encode() for t in texts]
+        offsets = np.cumsum([0, *map(len, raw)])
+        ids, sizes = self.ids(np.frombuffer(b"".join(raw), np.uint8), offsets)
+        return [part.tobytes() for part in np.split(ids, np.cumsum(sizes))[:-1]]
 
 
 # --- the index ------------------------------------------------------------------------------------
@@ -245,16 +343,6 @@ def _load(path: str) -> bytes:
 # --- writing and reading --------------------------------------------------------------------------
 
 
-def _runs(texts: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
-    """Runs of rows whose texts have at most ``most`` bytes together, or of one row."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < len(ends):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
-        yield at, to
-        at = to
-
-
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, shards: int, end: int = END) -> DataFrame:
     """Write raw ids of all documents; returns where each went: (shard, path, width, pos, doc_id, nth, offset, length), nth within the shard."""
 
@@ -263,7 +351,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, shards: int, end:
             tb.held.clear()
             tb.held["ids", tokenizer] = Encoder(tokenizer)
         encoder = tb.held["ids", tokenizer]
-        width, closing = encoder.width, end.to_bytes(encoder.width, "little")
+        width = encoder.width
         out, path, shard = None, f"{folder}/{uuid.uuid4().hex}.ids", TaskContext.get().partitionId()
         pos = offset = nth = 0
         last = None
@@ -274,13 +362,11 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, shards: int, end:
                     fs.create_dir(base.rpartition("/")[0], recursive=True)
                     out = fs.open_output_stream(base, compression=None)
                 rows = []
-                for at, to in _runs(batch.column("text")):
-                    texts = [t or "" for t in batch.column("text").slice(at, to - at).to_pylist()]
-                    codes = encoder.encode(texts)
-                    out.write(closing.join([*codes, b""]))  # a run at once
-                    for doc_id, data in zip(batch.column("doc_id").slice(at, to - at).to_pylist(), codes, strict=True):
-                        nth = nth + 1 if pos and doc_id == last else 0
-                        last, size = doc_id, len(data) // width + 1
+                for part, data, offsets in tb.pieces(batch, "text", RUN):
+                    ids, sizes = encoder.ids(data, offsets)
+                    out.write(np.insert(ids, np.cumsum(sizes), end).tobytes())  # a run at once
+                    for doc_id, size in zip(part.column("doc_id").to_pylist(), (sizes + 1).tolist(), strict=True):
+                        nth, last = nth + 1 if pos and doc_id == last else 0, doc_id
                         rows.append((shard, path, width, pos, doc_id, nth, offset, size))
                         pos, offset = pos + 1, offset + size
                 names = ["shard", "path", "width", "pos", "doc_id", "nth", "offset", "length"]

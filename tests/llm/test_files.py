@@ -116,6 +116,47 @@ def test_pieces_encode_as_the_library(encoder, texts):
         assert np.frombuffer(data, f"<u{encoder.width}").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+AWKWARD = [*" \n\t\x85\xa0\x1c''stmdlverea1²!’€éſɏ", " ", "'s", "'ll", " '", "x'"]
+
+
+@given(st.lists(st.lists(st.sampled_from(AWKWARD), max_size=14).map("".join), max_size=6))
+@settings(max_examples=500, deadline=None)
+def test_pieces_are_the_librarys(encoder, texts):
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    bounds = tokenfile.cut(data, offsets, np.zeros(len(raw), bool), tokenfile.kinds_of(data)).tolist()
+    want = {len(data)}
+    for t, at in zip(texts, offsets.tolist(), strict=False):
+        want |= {at + len(t[:a].encode()) for _, (a, _) in encoder.tokenizer.pre_tokenizer.pre_tokenize_str(t)}
+    assert bounds == sorted(want)
+
+
+class Counted:
+    """Passes calls on and notes what was given."""
+
+    def __init__(self, inner):
+        self.inner, self.given = inner, []
+
+    def encode_batch_fast(self, texts, **kwargs):
+        self.given += texts
+        return self.inner.encode_batch_fast(texts, **kwargs)
+
+    def tokenize(self, piece):
+        self.given.append(piece)
+        return self.inner.tokenize(piece)
+
+
+def test_new_pieces_go_to_the_model_alone_and_once():
+    one = tokenfile.Encoder(tokenfile.default_tokenizer(), most=4)
+    one.tokenizer, one.model = Counted(one.tokenizer), Counted(one.model)
+    one.encode(["alpha beta alpha", "beta 日", "", "alpha beta", "beta 日"])
+    assert one.tokenizer.given == ["beta 日"]  # odd texts only: the whole library costs several times the model
+    assert sorted(one.model.given) == ["alpha", "Ġalpha", "Ġbeta"]
+    one.encode(["beta alpha beta", "c d e"])
+    one.encode([" beta"])  # from the older generation
+    assert sorted(one.model.given[3:]) == ["beta", "c", "Ġd", "Ġe"]
+
+
 @given(st.sets(st.tuples(st.integers(-(1 << 63), (1 << 63) - 1), st.integers(0, 1 << 40)), min_size=0, max_size=300), st.integers(0, 9))
 @settings(max_examples=60, deadline=None)
 def test_perfect_hash(keys, extra):
